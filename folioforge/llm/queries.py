@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.common import table
+from folioforge.llm.oracles import quality_rules_sql
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,38 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+#: Host and path rules of the URL filter.
+URL_RULES = (
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+)
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioforge.llm.url_filters import Rule, judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), [Rule(*r) for r in URL_RULES])
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioforge.llm.common import saved, shared_dir
+    from folioforge.llm.quality_rules import COUNTS, count_features, judge
+
+    docs = table(spark, sf_dir, "documents")
+    # a few numbers for each document, counted once and used for the fit and the verdict
+    counted = saved(count_features(docs).select("doc_id", "rule_f"), shared_dir(spark))
+    judged = judge(counted)
+    return judged.select("doc_id", *[judged["rule_f"][c].alias(c) for c in COUNTS], judged["rule_base_failed"].alias("base_failed"), judged["rule_kept"].alias("kept"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioforge.llm.media_columns import store_and_rebuild
+
+    return store_and_rebuild(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,7 +62,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_url_filters": op3_url_filters,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_media_columns": op7_media_columns,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules_sql(),
+}
