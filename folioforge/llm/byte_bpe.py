@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Positions of a linked list of byte spans wait in one bucket for each merge rank.
-A bitmap says which buckets hold anything, a second one which words of the first
-are not zero, a third the same of the second; find-first-set on the three picks
-the lowest rank in constant time, whatever the length of the pre-token, and
-stale positions are skipped when they come up.
+A bitmap says which buckets hold anything and a second one which words of the
+first are not zero; find-first-set on the two picks the lowest rank in constant
+time, whatever the length of the pre-token, and stale positions are skipped when
+they come up.
 
 `encode_documents` adds the ids, `decode_documents` turns ids back into bytes,
 `round_trip` does both and returns digests.  Documents are handled where they
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from folioforge.llm.pretoken import LETTER, NUMBER, OTHER, SPACE, Splitter
 
 #: Encoded pre-tokens that a worker remembers; the cache starts anew when full.
-CACHE = 1 << 18
+CACHE = 1 << 20
 #: Bits of one bitmap word are 2 to this power.
-SHIFT = 6
+SHIFT = 8
 MASK = (1 << SHIFT) - 1
 
 
@@ -42,9 +42,7 @@ class RankQueue:
 
     def __init__(self, ranks: int) -> None:
         self.buckets: dict[int, list[int]] = {}
-        words = (ranks >> SHIFT) + 1
-        self.low = [0] * words
-        self.mid = [0] * ((words >> SHIFT) + 1)
+        self.low = [0] * ((ranks >> SHIFT) + 1)
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
@@ -52,34 +50,38 @@ class RankQueue:
         if bucket is None:
             self.buckets[rank] = [position]
             word = rank >> SHIFT
-            if not self.low[word]:
-                group = word >> SHIFT
-                if not self.mid[group]:
-                    self.top |= 1 << group
-                self.mid[group] |= 1 << (word & MASK)
+            self.top |= 1 << word
             self.low[word] |= 1 << (rank & MASK)
         else:
             heappush(bucket, position)
 
+    def fill(self, ranks: list[int]) -> None:
+        """Push every place of the list that has a rank (one of -1 is none)."""
+        buckets, low = self.buckets, self.low
+        for position, rank in enumerate(ranks):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(position)  # ascending, so still a heap
+                else:
+                    buckets[rank] = [position]
+                    word = rank >> SHIFT
+                    self.top |= 1 << word
+                    low[word] |= 1 << (rank & MASK)
+
     def pop(self) -> tuple[int, int]:
         """The next rank and position; the caller knows that there is one."""
-        group = (self.top & -self.top).bit_length() - 1
-        mid = self.mid[group]
-        word = (group << SHIFT) + (mid & -mid).bit_length() - 1
+        word = (self.top & -self.top).bit_length() - 1
         low = self.low[word]
         rank = (word << SHIFT) + (low & -low).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            low &= low - 1
-            self.low[word] = low
-            if not low:
-                mid &= mid - 1
-                self.mid[group] = mid
-                if not mid:
-                    self.top &= self.top - 1
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        low &= low - 1
+        self.low[word] = low
+        if not low:
+            self.top &= self.top - 1
+        return rank, bucket[0]
 
 
 class ByteBPE:
@@ -113,30 +115,26 @@ class ByteBPE:
         get, queue = ranks.get, self.queue
         after = list(range(1, n + 2))
         before = list(range(-1, n))
-        wanted = [-1] * (n + 1)
-        for i in range(n - 1):
-            rank = get(data[i : i + 2])
-            if rank is not None:
-                wanted[i] = rank
-                queue.push(rank, i)
+        wanted = [get(data[i : i + 2], -1) for i in range(n - 1)]
+        wanted += [-1, -1]
+        queue.fill(wanted)
+        pop, push = queue.pop, queue.push
         while queue.top:
-            rank, i = queue.pop()
+            rank, i = pop()
             if wanted[i] != rank:
                 continue
             j = after[i]
             k = after[i] = after[j]
             before[k] = i
             wanted[j] = -1
-            rank = get(data[i : after[k]]) if k < n else None
-            wanted[i] = -1 if rank is None else rank
-            if rank is not None:
-                queue.push(rank, i)
+            wanted[i] = rank = get(data[i : after[k]], -1) if k < n else -1
+            if rank >= 0:
+                push(rank, i)
             h = before[i]
             if h >= 0:
-                rank = get(data[h:k])
-                wanted[h] = -1 if rank is None else rank
-                if rank is not None:
-                    queue.push(rank, h)
+                wanted[h] = rank = get(data[h:k], -1)
+                if rank >= 0:
+                    push(rank, h)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[data[i : after[i]]])
