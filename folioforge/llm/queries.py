@@ -51,6 +51,14 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_rebuild(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioforge.llm.lm_scoring import is_held_out, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = is_held_out(docs["doc_id"])
+    return score(docs, train(docs.where(~held_out)), held_out=held_out)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op7_media_columns": op7_media_columns,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
