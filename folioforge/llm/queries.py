@@ -45,6 +45,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[judged["rule_f"][c].alias(c) for c in COUNTS], judged["rule_base_failed"].alias("base_failed"), judged["rule_kept"].alias("kept"))
 
 
+def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioforge.llm.parity_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioforge.llm.media_columns import store_and_rebuild
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op5_parity_join": op5_parity_join,
     "op7_media_columns": op7_media_columns,
     "op8_lm_scoring": op8_lm_scoring,
     "op10_byte_bpe": op10_byte_bpe,
