@@ -1,16 +1,17 @@
 """Media columns: payloads stored as content-defined chunks and rebuilt from them.
 
 A payload becomes a WAV file of one channel of 8-bit samples.  A rolling gear
-hash cuts the file into chunks where its low bits are zero, so equal passages
+hash cuts the file into chunks where its high bits are zero, so equal passages
 give equal chunks wherever they stand.  Chunks are stored once for each digest;
-a medium is an ordered list of digests.  Joins on the digest and a regrouping by
-medium bring the bytes back, each chunk is verified against its digest and each
-medium against its own, and only then is anything computed from it.
+a medium is an ordered list of digests.  Joins on the digest bring shared chunks
+back, each chunk is verified against its digest and each medium against its own,
+and only then is anything computed from it.
 
 Equal media are one medium with many documents, so a group of copies moves its
-bytes once.  What is shuffled by digest or by medium are compressed chunks and
-digests, never whole uncompressed payloads; a medium is rebuilt in one row, as
-it is held in one row of the input.
+bytes once.  Chunks that several media share lie in a pool, one row for each
+digest, and are joined to the media that they stand in; the others lie with
+their medium and move once.  A medium is rebuilt in one row, as it is held in one
+row of the input.
 
 Defined cases: a null or empty text is a payload of padding alone; repeated rows
 and equal texts share one medium and give equal values; an empty table gives an
@@ -23,17 +24,19 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Payloads are padded with this byte to a positive multiple of `UNIT`.
 PAD, UNIT = b" ", 192
-#: Chunk sizes in bytes: no cut before `LEAST`, one at `MOST`; about `LEAST` + 2**`CUT_BITS` on average.
-LEAST, MOST, CUT_BITS = 2048, 65536, 13
+#: Chunk sizes: no cut before so many bytes, one at so many, and a cut where so many bits of the hash are zero.
+SIZES = 2048, 65536, 13
 SAMPLE_RATE = 8000
 #: Gear table: 256 pseudo-random 32-bit numbers from a fixed seed.
 GEAR = np.random.Generator(np.random.PCG64(20_011)).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -72,17 +75,18 @@ def gear_hash(data: bytes) -> np.ndarray:
     return h
 
 
-def cut_points(data: bytes) -> list[int]:
+def cut_points(data: bytes, sizes: tuple[int, int, int] = SIZES) -> list[int]:
     """Ends of the chunks of `data`."""
     n = len(data)
-    if n <= LEAST:
+    least, most, bits = sizes
+    if n <= least:
         return [n] if n else []
     # the high bits depend on all of the last 32 bytes
-    found = np.flatnonzero(gear_hash(data) >> np.uint32(32 - CUT_BITS) == 0) + 1
+    found = np.flatnonzero(gear_hash(data) >> np.uint32(32 - bits) == 0) + 1
     cuts, start = [], 0
-    while n - start > LEAST:
-        at = int(np.searchsorted(found, start + LEAST))
-        end = min(start + MOST, n, int(found[at]) if at < len(found) else n)
+    while n - start > least:
+        at = int(np.searchsorted(found, start + least))
+        end = min(start + most, n, int(found[at]) if at < len(found) else n)
         cuts.append(end)
         start = end
     if start < n:
@@ -110,57 +114,85 @@ def _media(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
 
 
-def _chunks(docs: DataFrame, text_col: str) -> DataFrame:
-    """Chunks of the distinct media of each partition: medium, place, digest and compressed bytes.
+class Pool(NamedTuple):
+    """A bitmap by the first bits of a digest: which chunks lie in the common pool."""
 
-    A digest's bytes are given the first time a batch meets it, and null after that.
+    bits: bytes
+
+    def __contains__(self, digest: bytes) -> bool:
+        slot = int.from_bytes(digest[:3])
+        return bool(self.bits[slot >> 3] >> (slot & 7) & 1)
+
+
+def _chunked(docs: DataFrame, text_col: str, sizes: tuple[int, int, int], pool: Broadcast | None, *, own: bool) -> DataFrame:
+    """The distinct media of each partition: digest and chunks in order, some of them with compressed bytes.
+
+    Without a pool none has its bytes.  With one, the chunks outside it have them
+    if `own`, else those in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=True)
-        met_media: set[bytes] = set()
+        met: set[bytes] = set()
         for batch in batches:
-            rows: list[tuple] = []
+            rows: list[tuple[bytes, list[dict]]] = []
             size = 0
             for value in batch.column(0):
                 media = to_wav(payload_of(value.as_py())[0])
                 digest = hashlib.sha256(media).digest()
-                if digest in met_media:
+                if digest in met:
                     continue
-                if len(met_media) >= 1 << 17:
-                    met_media.clear()
-                met_media.add(digest)
-                start = 0
-                for place, end in enumerate(cut_points(media)):
+                if len(met) >= 1 << 17:
+                    met.clear()
+                met.add(digest)
+                parts, start = [], 0
+                for end in cut_points(media, sizes):
                     chunk = media[start:end]
-                    packed = pack.compress(chunk)
-                    rows.append((digest, place, chunk_digest(chunk), packed))
-                    size += len(packed)
+                    name = chunk_digest(chunk)
+                    packed = pack.compress(chunk) if pool is not None and (name in pool.value) != own else None
+                    parts.append({"chunk": name, "packed": packed})
+                    size += 64 + len(packed or b"")
                     start = end
+                rows.append((digest, parts))
                 if size > 8 << 20:
                     yield _rows(rows)
                     rows, size = [], 0
             yield _rows(rows)
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "media binary, place int, chunk binary, packed binary")
+    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "media binary, parts array<struct<chunk: binary, packed: binary>>")
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    media, place, chunk, packed = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(media, pa.binary()), pa.array(place, pa.int32()), pa.array(chunk, pa.binary()), pa.array(packed, pa.binary())],
-        names=["media", "place", "chunk", "packed"],
-    )
+def _rows(rows: list[tuple[bytes, list[dict]]]) -> pa.RecordBatch:
+    parts = pa.list_(pa.struct([("chunk", pa.binary()), ("packed", pa.binary())]))
+    return pa.RecordBatch.from_arrays([pa.array([m for m, _ in rows], pa.binary()), pa.array([p for _, p in rows], parts)], names=["media", "parts"])
 
 
-def chunk_store(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The store: `chunk` (digest) and `packed` (its bytes, compressed), one row for each digest."""
-    return _chunks(docs, text_col).groupBy("chunk").agg(F.first("packed", ignorenulls=True).alias("packed"))
+def chunk_lists(docs: DataFrame, *, text_col: str = "text", sizes: tuple[int, int, int] = SIZES) -> DataFrame:
+    """The ordered chunk list of each medium: `media`, `place`, `chunk`."""
+    lists = _chunked(docs, text_col, sizes, None, own=False).select("media", F.posexplode("parts").alias("place", "part"))
+    return lists.select("media", "place", "part.chunk").distinct()
 
 
-def chunk_lists(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The ordered chunk list of each medium: `media`, `place`, `chunk`."""
-    return _chunks(docs, text_col).select("media", "place", "chunk").distinct()
+def store(docs: DataFrame, *, text_col: str = "text", sizes: tuple[int, int, int] = SIZES) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """The chunk store: media with the chunks that are theirs alone, and the pool of common chunks.
+
+    A digest that stands in several media is pooled, and so is any other that has
+    its first 24 bits, so that a bitmap of fixed size tells every task which
+    chunks go where.  Media: `media`, `parts` (the ordered chunk list, with bytes
+    outside the pool).  Pool: `chunk`, `packed`, one row for each digest.
+    """
+    lists = chunk_lists(docs, text_col=text_col, sizes=sizes).select("media", "chunk").distinct()
+    # Spark numbers the bits of its bitmaps from 1
+    slot = F.conv(F.hex(F.substring("chunk", 1, 3)), 16, 10).cast("long") + 1
+    shared = lists.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select(slot.alias("s"))
+    marked = shared.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    filled = bytearray(1 << 21)
+    for row in marked:  # 2 MB of bits, whatever the input
+        filled[(row["k"] - 1) * 4096 : row["k"] * 4096] = row["bits"]
+    pool = docs.sparkSession.sparkContext.broadcast(Pool(bytes(filled)))
+    media = _chunked(docs, text_col, sizes, pool, own=True).groupBy("media").agg(F.first("parts").alias("parts"))
+    pooled = _chunked(docs, text_col, sizes, pool, own=False).select(F.explode(F.expr("filter(parts, x -> x.packed IS NOT NULL)")).alias("part"))
+    return media, pooled.groupBy("part.chunk").agg(F.first("part.packed").alias("packed")), pool
 
 
 def features_of(payload: bytes) -> str:
@@ -172,18 +204,19 @@ def features_of(payload: bytes) -> str:
     spread = float(np.dot(counts, (np.arange(256) - level) ** 2) / len(x)) ** 0.5
     above = x > level
     crossings = int(np.count_nonzero(above[1:] != above[:-1]))
-    entropy = float(-(p * np.log2(p)).sum())
+    entropy = abs(float((p * np.log2(p)).sum()))
     return f"samples={len(x)};mean={level:.4f};std={spread:.4f};min={x.min()};max={x.max()};crossings={crossings};entropy={entropy:.4f}"
 
 
-def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
+def rebuild(media: DataFrame, pool: DataFrame, lists: DataFrame) -> DataFrame:
     """Read each medium back from its chunks, verify it and describe it.
 
+    `lists` has the `media` and `chunk` of every chunk that may be in the pool.
     Rows: `media`, `payload_bytes`, `payload_sha256`, `tail_crc32`, `media_bytes`,
     `media_sha256`, `feature`, `n_chunks`.
     """
-    joined = lists.join(store, "chunk")
-    whole = joined.groupBy("media").agg(F.sort_array(F.collect_list(F.struct("place", "chunk", "packed"))).alias("parts"))
+    loans = lists.join(pool, "chunk").groupBy("media").agg(F.collect_list(F.struct("chunk", "packed")).alias("loans"))
+    whole = media.join(loans, "media", "left").select("media", "parts", "loans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -191,11 +224,12 @@ def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
         kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             out: list[tuple] = []
-            for digest, parts in zip(batch.column(0), batch.column(1), strict=True):
+            for digest, parts, loaned in zip(*batch.columns, strict=True):
                 pieces = []
-                for k, part in enumerate(parts.as_py()):
-                    piece = unpack.decompress(part["packed"])
-                    if part["place"] != k or chunk_digest(piece) != part["chunk"]:
+                lent = {x["chunk"]: x["packed"] for x in loaned.as_py() or ()}
+                for part in parts.as_py():
+                    piece = unpack.decompress(part["packed"] or lent[part["chunk"]])
+                    if chunk_digest(piece) != part["chunk"]:
                         raise ValueError("a stored chunk is damaged")
                     pieces.append(piece)
                 media = b"".join(pieces)
@@ -209,10 +243,9 @@ def rebuild(lists: DataFrame, store: DataFrame) -> DataFrame:
     return whole.mapInArrow(run, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
 
 
-def store_and_rebuild(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def store_and_rebuild(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, int, int] = SIZES) -> DataFrame:
     """Every document's medium through the store and back: id, `n_bytes` and the columns of `rebuild`."""
-    chunks = _chunks(docs, text_col)
-    # one exchange by digest serves the store and the lists: a digest's row has its bytes once and all places it stands at
-    stored = chunks.groupBy("chunk").agg(F.first("packed", ignorenulls=True).alias("packed"))
-    media = rebuild(chunks.select("media", "place", "chunk").distinct(), stored)
+    media, pool, _ = store(docs, text_col=text_col, sizes=sizes)
+    lists = chunk_lists(docs, text_col=text_col, sizes=sizes).select("media", "chunk").distinct()
+    media = rebuild(media, pool, lists)
     return _media(docs, id_col, text_col).join(media, "media").drop("media").withColumnRenamed("id", id_col)
