@@ -19,6 +19,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are labelled as good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioforge.llm.quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), trusted_labels(spark, sf_dir))
+
+
 #: Host and path rules of the URL filter.
 URL_RULES = (
     ("block", "net", "/"),
@@ -76,6 +87,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_parity_join": op5_parity_join,
