@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folioforge.llm import quality_rules as q
+from folioforge.llm import source_mixing as m
 
 
 def quality_rules_ctes(docs: str = "documents") -> str:
@@ -66,3 +67,28 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND good >= 0.5 AS kept
 FROM counted JOIN good USING (p)"""
+
+
+def source_mixing_sql(budget: float = 0.8) -> str:
+    """Fitting as a recursion over the cells; the scale as the least one with k cells taken whole that is consistent."""
+    steps = [f"w * s_{d} / sum(w * t) OVER (PARTITION BY {d})" for d in ("source", "lang", "topic")]
+    shares = ", ".join(f"{d}_shares AS (SELECT {d}, pow(sum(t), {m.TEMPER}) / sum(pow(sum(t), {m.TEMPER})) OVER () AS s_{d} FROM cells GROUP BY {d})" for d in ("source", "lang", "topic"))
+    return f"""WITH RECURSIVE rows AS (SELECT doc_id, source, lang,
+    CASE WHEN regexp_matches(x, '(?i)licen[cs]e|rights reserved|copyright') THEN 'legal'
+      WHEN regexp_matches(x, '[0-9A-Za-z._-]+@[0-9A-Za-z-]+[.]|https?://|[0-9]{{6,}}') THEN 'contact'
+      WHEN length(x) < 600 THEN 'note' ELSE 'prose' END AS topic,
+    len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n_tokens,
+    ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 AS u
+  FROM (SELECT *, coalesce(text, '') AS x FROM documents)),
+cells AS (SELECT source, lang, topic, greatest(sum(n_tokens)::DOUBLE, 1.0) AS t FROM rows GROUP BY ALL),
+{shares},
+fit AS (SELECT 0 AS it, source, lang, topic, t, s_source, s_lang, s_topic, 1.0::DOUBLE AS w
+    FROM cells JOIN source_shares USING (source) JOIN lang_shares USING (lang) JOIN topic_shares USING (topic)
+  UNION ALL
+  SELECT it + 1, source, lang, topic, t, s_source, s_lang, s_topic, {steps[2]} FROM (SELECT * REPLACE ({steps[1]} AS w) FROM (SELECT * REPLACE ({steps[0]} AS w) FROM fit WHERE it < {m.ROUNDS}))),
+raked AS (SELECT * FROM fit WHERE it = {m.ROUNDS}),
+ordered AS (SELECT *, row_number() OVER (ORDER BY w DESC, source, lang, topic) AS place, coalesce(sum(t) OVER above, 0) AS taken, sum(w * t) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+    {budget} * sum(t) OVER () AS goal FROM raked WINDOW above AS (ORDER BY w DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+scale AS (SELECT arg_min((goal - taken) / rest, place) FILTER (WHERE (goal - taken) / rest * w < 1) AS k FROM ordered)
+SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(least(1.0, w * k), 6) AS p, u < least(1.0, w * k) AS kept
+FROM rows JOIN raked USING (source, lang, topic) CROSS JOIN scale"""

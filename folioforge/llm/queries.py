@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.common import table
-from folioforge.llm.oracles import quality_rules_sql
+from folioforge.llm.oracles import quality_rules_sql, source_mixing_sql
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,16 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs.where(~held_out)), held_out=held_out)
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from folioforge.llm.source_mixing import coarse_topic, mix
+
+    docs = table(spark, sf_dir, "documents")
+    mixed = mix(docs, {"source": docs["source"], "lang": docs["lang"], "topic": coarse_topic(docs["text"])}, columns=["doc_id"])
+    return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_p", 6).alias("p"), F.col("mix_kept").alias("kept"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -93,9 +103,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_parity_join": op5_parity_join,
     "op7_media_columns": op7_media_columns,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_source_mixing": op9_source_mixing,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules_sql(),
+    "op9_source_mixing": source_mixing_sql(),
 }
