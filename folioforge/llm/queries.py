@@ -62,6 +62,27 @@ def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree made of their ids, three levels deep.
+
+    A document that states its licence in its first four lines is the licence
+    file of a directory: by its id modulo 3 of the lowest, the middle or the
+    highest level.
+    """
+    from pyspark.sql import functions as F
+
+    from folioforge.llm.license_scans import scan_licenses
+
+    docs = table(spark, sf_dir, "documents")
+    opens = F.col("at_line").between(0, 3)
+    levels = [F.concat(F.lit("tree"), (F.col("doc_id") / F.lit(16384)).cast("long").cast("string")), (F.col("doc_id") / F.lit(1024)).cast("long").cast("string"), (F.col("doc_id") / F.lit(64)).cast("long").cast("string")]
+    name = F.concat(F.when(opens, F.lit("LICENSE-")).otherwise(F.lit("doc-")), F.col("doc_id").cast("string"))
+    place = F.when(opens & (F.col("doc_id") % 3 == 1), F.concat_ws("/", *levels[:2])).when(opens & (F.col("doc_id") % 3 == 2), levels[0]).otherwise(F.concat_ws("/", *levels))
+    path = F.concat(place, F.lit("/"), name)
+    found = scan_licenses(docs, opens, path=path)
+    return found.select("doc_id", "path", "license", F.round("cosine", 6).alias("cosine"), "origin", "license_dir")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioforge.llm.media_columns import store_and_rebuild
 
@@ -101,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_parity_join": op5_parity_join,
+    "op6_license_scans": op6_license_scans,
     "op7_media_columns": op7_media_columns,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_source_mixing": op9_source_mixing,
