@@ -428,3 +428,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = joined.join(least, "label").select("cid", "component_id")
     out = documents.select("id", "n", "cid").join(named, "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without those that link to one of smaller id, with the columns of `docs`.
+
+    Of each component the document of smallest id stays.  Rows that share an id
+    are one document and stay or go together; rows with a null id always stay.
+    """
+    parts = near_duplicates(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
+    extra = saved(parts.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("gone")).distinct(), shared_dir(docs.sparkSession))
+    return docs.join(extra, docs[id_col] == extra["gone"], "left_anti")

@@ -12,9 +12,8 @@ bound makes safe.  Feature counting stays within each row.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
 text with no cased letters or no line abstains where a rule needs one; repeated
-rows are judged alike; an empty table gives an empty result.  Extra columns are
-kept by `apply_rules`; its own columns are prefixed with `rule_`, and an input
-column with one of those names is replaced.
+rows are judged alike; an empty table gives an empty result.  `apply_rules` keeps all columns of its input,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -40,10 +39,11 @@ ROUNDS = 25
 SMOOTH = 1e-4
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+FEATURES = (*COUNTS, "n_lines", "n_upper", "n_lower", "n_exclaim", "n_distinct", "n_function")
 
 
 def count_features(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with a struct column `rule_f` of whole-text counts."""
+    """The rows of `docs` with whole-text counts, columns `rule_n_words` and so on (`FEATURES`)."""
     text = F.coalesce(docs[text_col], F.lit(""))
     staged = docs.withColumn("rule_t", text).withColumn("rule_w", word_array(F.col("rule_t")))
     staged = staged.withColumn(
@@ -58,25 +58,29 @@ def count_features(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         F.expr("transform(filter(rule_s, (x, k) -> x.g = get(rule_s, k - 1).g OR x.g = get(rule_s, k + 1).g), x -> x.i)"),
     ).withColumn("rule_l", F.filter(F.split("rule_t", "\n"), lambda x: F.regexp_replace(x, GAP, "") != ""))
     t, w = F.col("rule_t"), F.col("rule_w")
-    long = lambda c: c.cast("long")
-    features = F.struct(
-        long(F.size(w)).alias("n_words"),
-        long(F.length(F.regexp_replace(t, GAP, ""))).alias("word_chars"),
-        long(F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", ""))).alias("n_symbols"),
-        long(F.size("rule_l") - F.size(F.array_distinct("rule_l"))).alias("n_dup_lines"),
-        long(F.expr("size(array_distinct(flatten(array(rule_s, transform(rule_s, x -> x + 1), transform(rule_s, x -> x + 2)))))")).alias("n_repeat_words"),
-        long(F.size("rule_l")).alias("n_lines"),
-        long(F.length(F.regexp_replace(t, r"[^\p{Lu}]+", ""))).alias("n_upper"),
-        long(F.length(F.regexp_replace(t, r"[^\p{Ll}]+", ""))).alias("n_lower"),
-        long(F.length(F.regexp_replace(t, "[^!]+", ""))).alias("n_exclaim"),
-        long(F.size(F.array_distinct(w))).alias("n_distinct"),
-        long(F.size(F.array_intersect(w, F.array(*map(F.lit, FUNCTION_WORDS))))).alias("n_function"),
-    )
-    return staged.withColumn("rule_f", features).drop("rule_t", "rule_w", "rule_s", "rule_l")
-
-
-def votes(f: Column) -> list[Column]:
+    features = {
+        "n_words": F.size(w),
+        "word_chars": F.length(F.regexp_replace(t, GAP, "")),
+        "n_symbols": F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")),
+        "n_dup_lines": F.size("rule_l") - F.size(F.array_distinct("rule_l")),
+        "n_repeat_words": F.expr("size(array_distinct(flatten(array(rule_s, transform(rule_s, x -> x + 1), transform(rule_s, x -> x + 2)))))"),
+        "n_lines": F.size("rule_l"),
+        "n_upper": F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")),
+        "n_lower": F.length(F.regexp_replace(t, r"[^\p{Ll}]+", "")),
+        "n_exclaim": F.length(F.regexp_replace(t, "[^!]+", "")),
+        "n_distinct": F.size(F.array_distinct(w)),
+        "n_function": F.size(F.array_intersect(w, F.array(*map(F.lit, FUNCTION_WORDS)))),
+    }
+    # A term that is always 0 but not deterministic to Catalyst: else it would push filters on the
+    # counts through this projection, and copy the word arrays into every use inside lambdas.
+    features["n_words"] = features["n_words"] + F.when(F.monotonically_increasing_id() < 0, 1).otherwise(0)
+    # columns and not a struct, for the expressions of a struct are copied into every use of its fields
+    return staged.select(*docs.columns, *[c.cast("long").alias(f"rule_{n}") for n, c in features.items()])
+
+
+def votes() -> list[Column]:
     """The rules' votes: 2 good, 0 bad, 1 abstains."""
+    f = {n: F.col(f"rule_{n}") for n in FEATURES}
 
     def rule(bad: Column, good: Column) -> Column:
         return F.when(bad, 0).when(good, 2).otherwise(1)
@@ -96,16 +100,16 @@ def votes(f: Column) -> list[Column]:
     ]
 
 
-def pattern(f: Column) -> Column:
+def pattern() -> Column:
     """All votes as one number in base 3, first rule lowest."""
     total = F.lit(0)
-    for k, vote in enumerate(votes(f)):
+    for k, vote in enumerate(votes()):
         total = total + vote * 3**k
     return total.cast("int")
 
 
-def base_failed(f: Column) -> Column:
-    return (f["n_words"] < 50) | (f["n_repeat_words"] * 100 > f["n_words"] * 50)
+def base_failed() -> Column:
+    return F.expr("rule_n_words < 50 OR rule_n_repeat_words * 100 > rule_n_words * 50")
 
 
 def posteriors(patterns: DataFrame) -> DataFrame:
@@ -142,15 +146,15 @@ def posteriors(patterns: DataFrame) -> DataFrame:
 
 
 def judge(features: DataFrame) -> DataFrame:
-    """From rows with `rule_f`: adds `rule_p`, `rule_good`, `rule_base_failed` and `rule_kept`."""
-    voted = features.withColumn("rule_p", pattern(F.col("rule_f")))
+    """From rows of `count_features`: adds `rule_p`, `rule_good`, `rule_base_failed` and `rule_kept`."""
+    voted = features.withColumn("rule_p", pattern())
     good = posteriors(voted.select("rule_p"))
-    judged = voted.join(F.broadcast(good), "rule_p")
-    failed = base_failed(F.col("rule_f"))
-    return judged.withColumn("rule_base_failed", failed).withColumn("rule_kept", ~failed & (F.col("rule_good") >= 0.5))
+    judged = voted.join(F.broadcast(good), "rule_p").withColumn("rule_base_failed", base_failed())
+    return judged.withColumn("rule_kept", ~F.col("rule_base_failed") & (F.col("rule_good") >= 0.5))
 
 
 def apply_rules(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The documents that the rules keep, with the columns of `docs`."""
-    clean = docs.drop("rule_t", "rule_w", "rule_s", "rule_l", "rule_f", "rule_p", "rule_good")
-    return judge(count_features(clean, text_col=text_col)).where("rule_kept").select(*clean.columns)
+    renamed = docs.toDF(*[f"doc_{k}" for k in range(len(docs.columns))])  # no name can clash with the rules' own
+    counted = count_features(renamed, text_col=f"doc_{docs.columns.index(text_col)}")
+    return judge(counted).where("rule_kept").select(*renamed.columns).toDF(*docs.columns)
