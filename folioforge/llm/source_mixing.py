@@ -27,7 +27,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import saved, shared_dir, word_array
+from folioforge.llm.common import GAP, saved, shared_dir
 
 #: Most rounds of fitting; it ends earlier once every share is within `CLOSE` of its target.
 ROUNDS, CLOSE = 30, 1e-12
@@ -41,18 +41,16 @@ TEMPER = 0.7
 
 def token_estimate(text: Column) -> Column:
     """Words of a text, as the weight of a document."""
-    return F.size(word_array(text)).cast("long")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, GAP))).cast("long")
 
 
 def coarse_topic(text: Column) -> Column:
     """A topic from plain signs in the whole text: legal, contact, note or prose."""
     t = F.coalesce(text, F.lit(""))
-    return (
-        F.when(t.rlike(r"(?i)licen[cs]e|rights reserved|copyright"), "legal")
-        .when(t.rlike(r"[0-9A-Za-z._-]+@[0-9A-Za-z-]+[.]|https?://|[0-9]{6,}"), "contact")
-        .when(F.length(t) < 600, "note")
-        .otherwise("prose")
-    )
+    legal = t.contains("icense") | t.contains("icence") | t.contains("ights reserved") | t.contains("opyright")
+    contact = t.contains("@") | t.contains("://")
+    return F.when(legal, "legal").when(contact, "contact").when(F.length(t) < 600, "note").otherwise("prose")
 
 
 def uniform(doc_id: Column) -> Column:
@@ -143,6 +141,8 @@ def mix(
     columns = list(docs.columns if columns is None else columns)
     names = {f"mix_{d}": c for d, c in dimensions.items()}
     rows = docs.select(*[docs[c] for c in columns], uniform(docs[id_col]).alias("mix_u"), token_estimate(docs[text_col]).alias("mix_tokens"), *[c.alias(n) for n, c in names.items()])
+    if text_col not in columns:  # a few short values for each document: counted once
+        rows = saved(rows, f"{folder}/rows")
     cells = rake(cells_of(rows, list(names)), {n: (targets or {}).get(n.removeprefix("mix_")) for n in names}, folder)
     cells = saved(calibrate(cells, budget), f"{folder}/calibrated")
     drawn = cells.select(*[F.col(n).alias(f"c{k}") for k, n in enumerate(names)], F.col("p").alias("mix_p"))
