@@ -116,7 +116,7 @@ def posteriors(patterns: DataFrame) -> DataFrame:
     """From rows of `rule_p` the posterior of good, `rule_good`, for each pattern met."""
     counts = patterns.groupBy("rule_p").agg(F.count("*").cast("double").alias("n"))
     # at most PATTERNS rows: one array of them is bounded whatever the input
-    packed = counts.groupBy().agg(F.array_sort(F.collect_list(F.struct("rule_p", "n"))).alias("t"))
+    packed = counts.groupBy().agg(F.array_sort(F.collect_list(F.struct("rule_p", "n"))).alias("t")).where("size(t) > 0")
     digits = f"transform(sequence(0, {RULES - 1}), j -> CAST(floor(x.rule_p / pow(3, j)) AS INT) % 3)"
     packed = packed.selectExpr(
         "t",

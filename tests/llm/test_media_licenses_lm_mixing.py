@@ -1,0 +1,188 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from folioforge.llm import lm_scoring as lm
+from folioforge.llm import media_columns as media
+from folioforge.llm.elias_fano import EliasFano
+from folioforge.llm.license_scans import Matcher, TEMPLATES, inherit, match_files
+from folioforge.llm.source_mixing import coarse_topic, mix
+from folioforge.llm.words import word_hashes
+
+from .conftest import TEXTS, docs_frame, prose
+
+
+# -- media ---------------------------------------------------------------------
+
+
+def test_media_round_trip(spark, edge_docs, empty_docs):
+    rows = media.store_and_rebuild(edge_docs).collect()
+    texts = dict(TEXTS)
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        data = (texts[r["doc_id"]] or "").encode()
+        payload = data.ljust(max(192, -(-len(data) // 192) * 192))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
+        assert r["media_sha256"] == hashlib.sha256(media.to_wav(payload)).hexdigest()
+    assert media.store_and_rebuild(empty_docs).count() == 0
+
+
+def test_shared_chunks_are_stored_once(spark):
+    shared = prose(1, 400)
+    docs = docs_frame(spark, [(i, prose(100 + i, 80) + shared + prose(200 + i, 50 * (i % 3))) for i in range(12)])
+    sizes = (64, 512, 6)
+    stored, pool, _ = media.store(docs, sizes=sizes)
+    assert pool.count() > 3 and pool.select("chunk").distinct().count() == pool.count()
+    rows = media.store_and_rebuild(docs, sizes=sizes).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in rows:
+        assert r["payload_sha256"] == hashlib.sha256(media.payload_of(texts[r["doc_id"]])[0]).hexdigest()
+
+
+def test_cuts_follow_content():
+    data = prose(1, 30000).encode()
+    cuts = media.cut_points(data)
+    assert cuts[-1] == len(data) and all(2048 <= b - a <= 65536 for a, b in zip([0, *cuts], cuts[:-1], strict=False))
+    moved = media.cut_points(b"something in front " + data)
+    assert len({c - 19 for c in moved} & set(cuts)) > len(cuts) // 2
+    gear, h = media.gear_hash(b"abcdef" * 20), 0
+    for k, byte in enumerate(b"abcdef" * 20):
+        h = ((h << 1) + int(media.GEAR[byte])) & 0xFFFFFFFF
+        assert int(gear[k]) == h
+
+
+# -- licences ------------------------------------------------------------------
+
+
+def test_licenses_are_found_and_inherited(spark, empty_docs):
+    files = [
+        ("a/LICENSE", "Licensed under the Apache License, Version 2.0.\n" + prose(1, 50)),
+        ("a/b/c.txt", prose(2, 80)),
+        ("a/b/d/LICENSE", "x\n" + TEMPLATES["MIT"]),
+        ("a/b/d/e.txt", prose(3, 40)),
+        ("q/r.txt", prose(4, 40)),
+        ("q/own.txt", prose(5, 40) + "\n  all RIGHTS reserved.\n" + prose(6, 10)),
+        (None, None),
+        ("top.txt", ""),
+        ("z/long.txt", prose(7, 60000) + "\n" + TEMPLATES["GPL-3.0"]),
+    ]
+    df = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(files)], "doc_id long, path string, text string")
+    own = match_files(df).join(df.select("doc_id", "path"), "doc_id")
+    rows = {r["doc_id"]: r for r in inherit(own, F.col("path").endswith("LICENSE")).collect()}
+    got = [(rows[k]["license"], rows[k]["origin"], rows[k]["license_dir"]) for k in range(len(files))]
+    assert got == [
+        ("Apache-2.0", "own", None),
+        ("Apache-2.0", "inherited", "a"),
+        ("MIT", "own", None),
+        ("MIT", "inherited", "a/b/d"),
+        (None, "none", None),
+        ("Proprietary", "own", None),
+        (None, "none", None),
+        (None, "none", None),
+        ("GPL-3.0", "own", None),
+    ]
+    assert match_files(empty_docs).count() == 0
+
+
+def test_the_anchor_filter_is_exact():
+    matcher = Matcher(TEMPLATES, {"the": 900, "license": 30, "under": 100}, 1000)
+    for text in [*TEMPLATES.values(), prose(1, 30), "the license", "released under", "rights", "all rights", "apache 2.0", "cc by"]:
+        best = matcher.cosine(text)[0]
+        assert best < 0.6 or matcher.anchor.search(text.lower()), text
+
+
+# -- language model --------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("n", "universe"), [(0, 1), (1, 1), (7, 9), (500, 400), (2000, 10**12)])
+def test_elias_fano(n, universe):
+    r = np.random.default_rng(n)
+    values = np.sort(r.integers(0, universe, n)).astype(np.uint64)
+    ef = EliasFano.encode(values, universe)
+    if n:
+        at = r.integers(0, n, 300)
+        assert (ef.get(at) == values[at]).all()
+    asked = np.concatenate([values, r.integers(0, universe + 9, 300).astype(np.uint64)])
+    found = ef.find(asked)
+    assert ((found >= 0) == np.isin(asked, values)).all() and (values[found[found >= 0]] == asked[found >= 0]).all()
+
+
+def words_of(text):
+    low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(low)) + [None]
+
+
+def test_words_hash_like_words():
+    texts = [(t or "").encode() for _, t in TEXTS]
+    hashes, sizes = word_hashes(texts)
+    words = [w for _, t in TEXTS for w in words_of(t)[:-1]]
+    assert sizes.tolist() == [len(words_of(t)) - 1 for _, t in TEXTS] and len(hashes) == len(words)
+    assert len(set(hashes.tolist())) == len(set(words)) == len({(h, w) for h, w in zip(hashes.tolist(), words, strict=True)})
+
+
+def test_scores_equal_brute_force(spark, edge_docs):
+    docs = docs_frame(spark, [(100 + i, prose(i % 40, 60)) for i in range(60)]).unionByName(edge_docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    held = lm.is_held_out(docs["doc_id"])
+    model = lm.train(docs.where(~held))
+    rows = lm.score(docs, model, held_out=held).collect()
+    given = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+    train = [words_of(t) for i, t in given if not out(i)]
+    c = Counter(w for x in train for w in x)
+    pairs = Counter(p for x in train for p in zip([None, *x[:-1]], x, strict=True))
+    degree = Counter(u for u, _ in pairs)
+    n, v = sum(c.values()), len(c)
+    single = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    expected = []
+    for i, t in given:
+        x = words_of(t)
+        base = sum(math.log10(single(w)) for w in x)
+        full = sum(math.log10(single(w) if u not in c else max(pairs[u, w] - 0.75, 0) / c[u] + 0.75 * degree[u] / c[u] * single(w)) for u, w in zip([None, *x[:-1]], x, strict=True))
+        expected.append((-1 if i is None else i, out(i), len(x), sum(w in c for w in x), n, base, full / len(x)))
+    found = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"] / r["n_tokens"]) for r in rows)
+    expected.sort()
+    assert [r[:5] for r in found] == [r[:5] for r in expected]
+    assert np.allclose([r[5] for r in found], [r[5] for r in expected], rtol=1e-9)
+    assert np.allclose([r[6] for r in found], [r[6] for r in expected], atol=2e-4)
+
+
+def test_no_training_text(spark, edge_docs, empty_docs):
+    model = lm.train(empty_docs)
+    assert (model.words, model.tokens) == (0, 0)
+    rows = lm.score(edge_docs, model).collect()
+    assert all(r["n_known"] == 0 and math.isclose(r["base_score"], 0.0, abs_tol=1e-9) for r in rows)
+    assert lm.score(empty_docs, model).count() == 0
+
+
+# -- mixing ------------------------------------------------------------------------
+
+
+def test_shares_reach_targets(spark):
+    rows = [(i, prose(i, 40 + i % 90), "en" if i % 5 else "fr", f"s{i % 4 if i % 3 else 0}") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {"source": spark.createDataFrame([("s0", 0.25), ("s1", 0.25), ("s2", 0.25), ("s3", 0.25)], "value string, share double"), "lang": spark.createDataFrame([("en", 0.7), ("fr", 0.3)], "value string, share double")}
+    out = mix(docs, {"source": docs["source"], "lang": docs["lang"]}, want, budget=0.4, columns=["doc_id"]).toPandas()
+    assert (out.mix_p <= 1).all() and (out.mix_kept == (out.mix_p > 0) & out.mix_kept).all()
+    weighed = out.assign(w=out.mix_p * out.mix_tokens)
+    assert abs(weighed.w.sum() / out.mix_tokens.sum() - 0.4) < 1e-6
+    for column, shares in (("mix_source", {"s0": 0.25, "s3": 0.25}), ("mix_lang", {"fr": 0.3})):
+        got = weighed.groupby(column).w.sum() / weighed.w.sum()
+        for value, share in shares.items():
+            assert abs(got[value] - share) < 0.01
+    drawn = out[out.mix_kept]
+    assert abs(drawn.mix_tokens.sum() / out.mix_tokens.sum() - 0.4) < 0.05
+
+
+def test_mixing_edges(edge_docs, empty_docs):
+    dims = lambda d: {"source": d["source"], "lang": d["lang"], "topic": coarse_topic(d["text"])}
+    out = mix(edge_docs, dims(edge_docs))
+    assert out.count() == len(TEXTS) and out.columns[: len(edge_docs.columns)] == edge_docs.columns
+    assert all(r["mix_p"] is not None for r in out.collect())
+    assert mix(empty_docs, dims(empty_docs)).count() == 0
