@@ -98,3 +98,20 @@ def identifiers(docs: DataFrame) -> DataFrame:
     numbered = docs.select(book.alias("book_id"), "doc_id", F.concat(F.row_number().over(Window.partitionBy(book).orderBy("doc_id")).cast("string"), F.lit(":"), F.col("lang")).alias("t"))
     titles = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "|")
     return numbered.groupBy("book_id").agg(F.substring(F.sha2(F.concat(F.lit("epub|doc|cs|"), titles), 256), 1, 24).alias("identifier"))
+
+
+def lay_out(turns: DataFrame, height: int) -> DataFrame:
+    """Page and height used on it after each block of a conversation, by a fold that begins a new page on overflow."""
+    blocks = F.sort_array(F.collect_list(F.struct("turn", (F.lit(20) + F.length("text") % 90).alias("h"))))
+    empty = F.array().cast("array<struct<turn: bigint, page: bigint, used: bigint>>")
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        over = last["used"] + x["h"] > height
+        first = F.size(done) == 0
+        page = F.when(first, 1).when(over, last["page"] + 1).otherwise(last["page"]).cast("long")
+        used = F.when(first | over, x["h"]).otherwise(last["used"] + x["h"]).cast("long")
+        return F.concat(done, F.array(F.struct(x["turn"].alias("turn"), page.alias("page"), used.alias("used"))))
+
+    folded = turns.groupBy("conv_id").agg(blocks.alias("b")).select("conv_id", F.aggregate("b", empty, step).alias("p"))
+    return folded.select("conv_id", F.inline("p"))
