@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 
 from folioforge.llm.pretoken import LETTER, NUMBER, OTHER, SPACE, Splitter
 
-#: Encoded pre-tokens that a worker remembers; the cache starts anew when full.
-CACHE = 1 << 20
+#: Encoded pre-tokens that a worker remembers, at about 200 bytes each; the cache starts anew when full.
+CACHE = 1 << 18
 #: Bits of one bitmap word are 2 to this power.
 SHIFT = 8
 MASK = (1 << SHIFT) - 1
@@ -87,7 +87,7 @@ class RankQueue:
 class ByteBPE:
     """Encoder and decoder for a rank file (`.tiktoken`)."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, cache: int = CACHE) -> None:
         import tiktoken
 
         with open(path, "rb") as f:
@@ -101,6 +101,7 @@ class ByteBPE:
         ]
         self.splitter = Splitter(pattern, self._class)
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.most = cache
 
     def _class(self, char: str) -> str:
         return next((plain for e, plain in self._is if e.encode_ordinary(char)), OTHER)
@@ -145,7 +146,7 @@ class ByteBPE:
         out: list[int] = []
         cache = self.cache
         for pieces in self.splitter.lists(text):
-            if len(cache) >= CACHE:
+            if len(cache) >= self.most:
                 cache.clear()
             for piece in set(pieces).difference(cache):
                 cache[piece] = tuple(self.merge(piece.encode()))
@@ -157,8 +158,8 @@ class ByteBPE:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> ByteBPE:
-    return ByteBPE(path, pattern)
+def codec(path: str, pattern: str, cache: int = CACHE) -> ByteBPE:
+    return ByteBPE(path, pattern, cache)
 
 
 def _mapped(docs: DataFrame, columns: list[str], keep: Sequence[str], made: list[tuple[str, str, pa.DataType]], row: Callable[..., tuple]) -> DataFrame:
@@ -200,11 +201,11 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, *, ids_c
     return _mapped(encoded, [ids_col], keep, [("data", "binary", pa.binary())], row)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str, *, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, *, text_col: str = "text", keep: Sequence[str] = ("doc_id",), cache: int = CACHE) -> DataFrame:
     """Columns of `keep`, then `n_tokens`, `ids_sha256` and `decoded_sha256` of ids encoded and decoded again."""
 
     def row(text: str | None) -> tuple:
-        bpe = codec(vocabulary, pattern)
+        bpe = codec(vocabulary, pattern, cache)
         ids = bpe.encode(text or "")
         digest = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         return len(ids), digest, hashlib.sha256(bpe.decode(ids)).hexdigest()

@@ -92,3 +92,16 @@ ordered AS (SELECT *, row_number() OVER (ORDER BY w DESC, source, lang, topic) A
 scale AS (SELECT arg_min((goal - taken) / rest, place) FILTER (WHERE (goal - taken) / rest * w < 1) AS k FROM ordered)
 SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(least(1.0, w * k), 6) AS p, u < least(1.0, w * k) AS kept
 FROM rows JOIN raked USING (source, lang, topic) CROSS JOIN scale"""
+
+
+def parity_join_sql(n: int = 4, percent: int = 85) -> str:
+    """All pairs that share a shingle, and everything reachable by links: plain, for tables of test size."""
+    window = " || ' ' || ".join(f"l[i + {k}]" for k in range(n))
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) < {n} THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - {n - 2}), lambda i: {window}) END) AS g FROM w WHERE len(l) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= {percent} * (a.n + b.n - k)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT doc_id AS v, doc_id AS l FROM documents UNION SELECT v, y FROM reach JOIN both_ways ON l = x)
+SELECT v AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(l) AS component_id FROM reach LEFT JOIN n ON n.doc_id = v GROUP BY v"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.common import table
-from folioforge.llm.oracles import quality_rules_sql, source_mixing_sql
+from folioforge.llm.oracles import parity_join_sql, quality_rules_sql, source_mixing_sql
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioforge.llm.byte_bpe import round_trip
 
     docs = table(spark, sf_dir, "documents")
-    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=1 << 20)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -131,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules_sql(),
+    "op5_parity_join": parity_join_sql(),
     "op9_source_mixing": source_mixing_sql(),
 }
