@@ -292,7 +292,7 @@ def train(texts: DataFrame, *, text_col: str = "text", folder: str | None = None
         return model
 
     def pairs_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(model, weights=False)
+        words = _words(model)
         us, ws = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         size = 0
 
@@ -335,7 +335,7 @@ def train(texts: DataFrame, *, text_col: str = "text", folder: str | None = None
         widths = w[np.append(first[1:], len(u)) - 1] + 1
         pointers = np.concatenate([[0], np.cumsum(widths)])
         followers = np.repeat(pointers[:-1], degrees) + w
-        totals = _totals(Words(model, weights=False), contexts)
+        totals = _totals(_words(model), contexts)
         codes = _code(np.log10(np.maximum(counts - DISCOUNT, 1e-9) / np.repeat(totals, degrees)))
         levels = [EliasFano.encode(contexts, model.words), EliasFano.encode(pointers, int(pointers[-1]) + 1), EliasFano.encode(followers, int(pointers[-1]) + 1)]
         write_level(f"{folder}/pairs/{shard}", [a for level in levels for a in level.arrays()] + [codes])
@@ -361,6 +361,12 @@ def train(texts: DataFrame, *, text_col: str = "text", folder: str | None = None
     return model
 
 
+@lru_cache(maxsize=1)
+def _words(model: Model) -> Words:
+    """Opened once by each worker while a model is trained."""
+    return Words(model, weights=False)
+
+
 def _totals(words: Words, ids: np.ndarray) -> np.ndarray:
     """Counts of word ids in ascending order."""
     out = np.zeros(len(ids), np.int64)
