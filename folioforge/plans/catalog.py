@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators import books, media, requests, runs
-from folioforge.operators.sentences import chunk_rows, plan_rows, repair_rows
+from folioforge.operators.sentences import ABBREVIATIONS, BACK, FORWARD, chunk_rows, plan_rows, repair_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -244,7 +244,29 @@ def selection_parse(spark, sf_dir):
 # -- segmentation -----------------------------------------------------------------
 
 
-@query()
+def _chunk_sql(target: int) -> str:
+    """Marks that end sentences with the ends of their tails, then cut after cut by recursion."""
+    abbreviations = ", ".join(f"'{a}'" for a in sorted(ABBREVIATIONS))
+    back = "list_filter(b, lambda x: x.mark = '{0}' AND x.place >= e + " + str(int(BACK * target)) + f" AND x.place < e + {target})[-1].stop"
+    ahead = "list_filter(b, lambda x: x.mark = '{0}' AND x.place >= e + " + f"{target} AND x.place < most)[1].stop"
+    found = "coalesce(" + ", ".join([back.format(m) for m in ".!?"] + [ahead.format(m) for m in ".!?"]) + ")"
+    space_ahead = f"length(regexp_extract(substr(text, e + {target} + 1, most - e - {target}), '^[^\\s]*'))"
+    space_back = f"length(regexp_extract(substr(text, e + 2, {target} - 1), '[^\\s]*$'))"
+    forced = f"CASE WHEN {space_ahead} < most - e - {target} THEN e + {target} + {space_ahead} + 1 WHEN {space_back} < {target} - 1 THEN e + {target} - {space_back} ELSE most END"
+    return (
+        "WITH RECURSIVE marks AS (SELECT doc_id, i - 1 AS place, substr(text, i, 1) AS mark, substr(text, i - 1, 1) AS l, substr(text, i + 1, 1) AS r, substr(text, greatest(1, i - 8), least(9, i)) AS h, substr(text, i + 1, 200) AS tail"
+        " FROM documents, LATERAL (SELECT unnest(range(1, length(text) + 1)) AS i) WHERE substr(text, i, 1) IN ('.', '!', '?')),"
+        " ends AS (SELECT doc_id, list({'place': place, 'mark': mark, 'stop': place + 1 + length(regexp_extract(tail, '^[\"'')\\]}»”]*\\s*'))} ORDER BY place) AS b FROM marks"
+        f" WHERE mark <> '.' OR NOT (regexp_matches(l, '^\\d$') AND regexp_matches(r, '^\\d$')) AND NOT list_contains([{abbreviations}], lower(regexp_extract(h, '([\\p{{L}}]*)\\.$', 1))) AND NOT regexp_matches(h, '(?:[\\p{{L}}]\\.){{2,}}$') GROUP BY 1),"
+        " given AS (SELECT doc_id, text, length(text) AS n, coalesce(b, []) AS b FROM documents LEFT JOIN ends USING (doc_id)),"
+        " cuts AS (SELECT doc_id, -1 AS k, 0::BIGINT AS s, 0::BIGINT AS e, '' AS how FROM given UNION ALL"
+        f" SELECT doc_id, k + 1, e, CASE WHEN e + {target} >= n THEN n ELSE coalesce({found}, {forced}) END, CASE WHEN e + {target} >= n THEN 'chapter_end' WHEN {found} IS NULL THEN 'forced_split_no_sentence_boundary' ELSE 'sentence_complete' END"
+        f" FROM (SELECT cuts.*, text, n, b, least(n, e + {target} + {max(1, int(FORWARD * target))}) AS most FROM cuts JOIN given USING (doc_id) WHERE e < n))"
+        " SELECT doc_id, CAST(k AS BIGINT) AS chunk_index, substr(text, s + 1, e - s) AS text, s AS char_start, e AS char_end, how AS boundary_strategy FROM cuts JOIN given USING (doc_id) WHERE k >= 0"
+    )
+
+
+@query(_chunk_sql(1800))
 def chunk_fixed_target(spark, sf_dir):
     return chunk_rows(table(spark, sf_dir, "documents"), ["doc_id"], 1800)
 
