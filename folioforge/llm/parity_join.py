@@ -63,8 +63,10 @@ FREQUENT_MOST = 1 << 16
 GATHER = 3_000_000
 #: Bits of the fixed-size filter that spares most texts the join with pairs (a superset passes).
 FILTER_BITS = 1 << 24
-#: Distinct sets that a task remembers to send copies once.
+#: Distinct sets that a task remembers to send copies once, and pairs that it remembers to name them once.
 REMEMBER = 1 << 18
+#: Rows of the mixed buckets around one component that one task takes.
+SPREAD = 200_000
 
 
 class Bound(NamedTuple):
@@ -348,15 +350,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, bound: Bound,
 def _across(mixed: DataFrame, bound: Bound) -> DataFrame:
     """Pairs from different components of a bucket whose sketches allow a link.
 
-    `mixed` has `bkey`, `cid`, `label`, `n`, `sketch` and `minor`; of each bucket
-    the members outside its largest component come first, and all members stream
-    past them.
+    `mixed` has `part`, `bkey`, `cid`, `label`, `n`, `sketch`, `minor` and `is_pivot`.
+    Of each bucket the members outside its largest component come first, and all
+    members stream past them.  Pairs with the pivot were verified before.
     """
-    ordered = mixed.repartition("bkey").sortWithinPartitions("bkey", F.col("minor").desc()).select("bkey", "cid", "label", "n", "sketch", "minor")
+    ordered = mixed.repartition("part").sortWithinPartitions("bkey", F.col("minor").desc()).select("bkey", "cid", "label", "n", "sketch", "minor", "is_pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = None
         held: list[tuple] = []
+        met: set[tuple[int, int]] = set()  # buckets of the same documents share a task, and most of their pairs
         for batch in batches:
             found: set[tuple[int, int]] = set()
             start = 0
@@ -369,16 +372,19 @@ def _across(mixed: DataFrame, bound: Bound) -> DataFrame:
                     bucket, held = keys[end - 1], []
                 cid, label, n = (np.asarray(rows.column(k)) for k in (1, 2, 3))
                 raw = rows.column(4).to_pylist()
-                minor = np.asarray(rows.column(5).cast(pa.int8()))
+                minor, pivot = (np.asarray(rows.column(k).cast(pa.int8())) == 1 for k in (5, 6))
                 bits = 8 * min([len(x) for x in raw] + [len(h[3]) for h in held])
                 sketches = np.concatenate([folded(_words([x]), bits) for x in raw])
-                mine = list(zip(cid[minor == 1].tolist(), label[minor == 1].tolist(), n[minor == 1].tolist(), [x for x, m in zip(raw, minor, strict=True) if m], strict=True))
-                held += mine
+                held += [(int(cid[i]), int(label[i]), int(n[i]), raw[i]) for i in np.flatnonzero(minor & ~pivot)]
                 for c, own, size, x in held:
                     total = n + size
                     most = total - 2 * -(-bound.percent * total // (100 + bound.percent))
                     near = np.bitwise_count(sketches ^ folded(_words([x]), bits)).sum(axis=1) <= most
-                    found.update((min(c, d), max(c, d)) for d in cid[near & (label != own)].tolist())
+                    found.update((min(c, d), max(c, d)) for d in cid[near & (label != own) & ~pivot].tolist())
+            found -= met
+            if len(met) > REMEMBER:
+                met.clear()
+            met |= found
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -405,7 +411,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sent = sent.withColumn("least", F.min("cid").over(own)).withColumn("most", F.max("cid").over(own)).where("least < most")
     buckets = saved(sent.select("bkey", "cid").distinct(), f"{folder}/buckets")
     shared_blocks = buckets.groupBy("cid").agg(F.count("*").alias("k"))
-    pivots = buckets.join(shared_blocks, "cid").groupBy("bkey").agg(F.max_by("cid", F.struct("k", "cid")).alias("pivot"))
+    pivots = saved(buckets.join(shared_blocks, "cid").groupBy("bkey").agg(F.max_by("cid", F.struct("k", "cid")).alias("pivot")), f"{folder}/pivots")
     star = buckets.join(pivots, "bkey").where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
     star = saved(star, f"{folder}/star")
     links = _verified(star, rows, sets, bound, f"{folder}/first")
@@ -415,9 +421,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sizes = named.groupBy("bkey", "label").agg(F.count("*").alias("k"))
     open_buckets = sizes.groupBy("bkey").agg(F.count("*").alias("labels"), F.sum("k").alias("members"), F.max_by("label", F.struct("k", "label")).alias("major"))
     # the one pair of a bucket of two has been verified
-    open_buckets = open_buckets.where("labels > 1 AND members > 2").select("bkey", "major")
+    open_buckets = open_buckets.where("labels > 1 AND members > 2").select("bkey", "major", "members")
+    # buckets around one component go to one task, which then meets their common pairs, or to more if they are many
+    tasks = open_buckets.groupBy("major").agg(F.ceil(F.sum("members") / SPREAD).alias("tasks"))
+    open_buckets = open_buckets.join(tasks, "major").join(pivots, "bkey").withColumn("part", F.hash("major", F.pmod("bkey", "tasks"))).drop("tasks", "members")
     mixed = named.join(open_buckets, "bkey").join(sets.select("cid", "n", "sketch"), "cid")
-    mixed = mixed.select("bkey", "cid", "label", "n", "sketch", (F.col("label") != F.col("major")).alias("minor"))
+    mixed = mixed.select("part", "bkey", "cid", "label", "n", "sketch", (F.col("label") != F.col("major")).alias("minor"), (F.col("cid") == F.col("pivot")).alias("is_pivot"))
     rest = saved(_across(mixed, bound).join(star, ["a", "b"], "left_anti"), f"{folder}/rest")
     if not rest.isEmpty():
         more = _verified(rest, rows, sets, bound, f"{folder}/second")
