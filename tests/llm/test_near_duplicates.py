@@ -96,3 +96,12 @@ def test_components_of_paths_and_stars(spark, tmp_path):
     found = connected_components(spark.createDataFrame(edges, "a long, b long"), f"file://{tmp_path}/c").collect()
     labels = {r["v"]: r["label"] for r in found}
     assert all(labels[k] == 0 for k in range(41)) and all(labels[k] == 100 for k in range(100, 150)) and labels[500] == 500
+
+
+def test_components_of_a_long_path_in_random_order(spark, tmp_path):
+    nodes = list(range(2000))
+    random.Random(1).shuffle(nodes)
+    edges = list(zip(nodes, nodes[1:]))
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"), f"file://{tmp_path}/c").collect()
+    assert {r["v"]: r["label"] for r in found} == dict.fromkeys(nodes, 0)
+    assert len(list((tmp_path / "c").glob("labels-*"))) < 30
