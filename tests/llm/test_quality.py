@@ -112,3 +112,19 @@ def test_classifier_separates_and_handles_edges(spark, edge_docs, empty_docs):
     assert qc.classify(edge_docs, edge_docs.select("doc_id")).count() == len(TEXTS)
     assert qc.keep_good(edge_docs, edge_docs.select("doc_id")).columns == edge_docs.columns
     assert qc.classify(empty_docs, trusted).count() == 0
+
+
+def test_small_languages_have_models_and_thresholds_of_their_own(spark):
+    docs = docs_frame(spark, [(i, prose(i, 20)) for i in range(1055)])
+    lang = F.when(F.col("doc_id") >= 1045, "fi").when(F.col("doc_id") >= 1000, "es").otherwise("en")
+    model = qc.train(docs.withColumn("lang", lang), docs.select("doc_id"), sample=200)
+    assert set(model.levels) == {"", "en", "es"}
+    scores = spark.createDataFrame([(i, "en", 99, 1 + i % 10 / 100) for i in range(2000)] + [(2000 + i, "fi", 99, 3 + i / 100) for i in range(10)], "doc_id long, lang string, n_chars long, log_perplexity double")
+    limits = qc.thresholds(scores, scores.select("doc_id"), model)
+    assert limits["en"] < 1.3 and limits[""] > 3.09
+
+
+def test_pooled_threshold_without_trusted_documents_of_the_pooled_model(spark):
+    docs = docs_frame(spark, [(i, prose(i, 120)) for i in range(70)]).withColumn("lang", F.when(F.col("doc_id") < 60, "en"))
+    rows = qc.classify(docs, docs.where("doc_id < 60").select("doc_id")).collect()
+    assert all(r["kept"] and r["threshold"] < 100 for r in rows)
