@@ -3,7 +3,8 @@
 A file's statements are its lines, its paragraphs and its whole text; each is a
 sparse TF-IDF vector, and the file's licence is the template of highest cosine
 over all of them, if that reaches `LEAST`.  Inverse document frequencies of the
-template vocabulary come from all files.  A statement can only reach `LEAST` if
+template vocabulary come from all files; any other term has their median, which
+keeps level as the files grow in number.  A statement can only reach `LEAST` if
 it has one of a template's heaviest terms (Cauchy-Schwarz bounds what the others
 can add), so texts without any such anchor are passed over exactly.
 
@@ -25,6 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,6 +67,8 @@ class Matcher:
 
     def __init__(self, templates: Mapping[str, str], frequency: Mapping[str, int], files: int) -> None:
         self.files, self.frequency = files, frequency
+        self.vocabulary = {t for text in templates.values() for t in terms(text)}
+        self.other = median([self.idf(t) for t in self.vocabulary if frequency.get(t)] or [1.0])
         self.vectors: dict[str, dict[str, float]] = {}
         anchors: set[str] = set()
         for name in sorted(templates):
@@ -81,7 +85,9 @@ class Matcher:
         self.anchor = re.compile(r"(?<![a-z0-9])(?:" + "|".join(sorted(map(re.escape, anchors), key=len, reverse=True)) + r")(?![a-z0-9])")
 
     def idf(self, term: str) -> float:
-        """Of a term outside the template vocabulary: that of one file."""
+        """Of a term outside the template vocabulary: the median of those of it that are in files."""
+        if term not in self.vocabulary:
+            return self.other
         return math.log((1 + self.files) / (1 + self.frequency.get(term, 1))) + 1.0
 
     def cosine(self, statement: str) -> tuple[float, str | None]:

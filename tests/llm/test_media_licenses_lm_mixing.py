@@ -98,6 +98,16 @@ def test_the_anchor_filter_is_exact():
         assert best < 0.6 or matcher.anchor.search(text.lower()), text
 
 
+def test_a_notice_is_found_however_many_files_there_are():
+    notice = "This document is licensed under the apache license version 2.0"
+    found = []
+    for files in (1000, 10_000, 3_000_000):
+        shares = {"the": 0.6, "licensed": 0.01, "under": 0.03, "apache": 0.006, "license": 0.02, "version": 0.02, "2.0": 0.006, "is": 0.3, "this": 0.3}
+        found.append(Matcher(TEMPLATES, {t: int(x * files) for t, x in shares.items()}, files).scan(notice)[:2])
+    assert {name for name, _ in found} == {"Apache-2.0"}
+    assert max(x for _, x in found) - min(x for _, x in found) < 0.03
+
+
 # -- language model --------------------------------------------------------------
 
 
