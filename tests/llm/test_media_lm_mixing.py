@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from folioforge.llm import lm_scoring as lm
 from folioforge.llm import media_columns as media
 from folioforge.llm.elias_fano import EliasFano
-from folioforge.llm.license_scans import Matcher, TEMPLATES, inherit, match_files
 from folioforge.llm.source_mixing import coarse_topic, mix
 from folioforge.llm.words import word_hashes
 
@@ -58,56 +57,6 @@ def test_cuts_follow_content():
         assert int(gear[k]) == h
 
 
-# -- licences ------------------------------------------------------------------
-
-
-def test_licenses_are_found_and_inherited(spark, empty_docs):
-    files = [
-        ("a/LICENSE", "Licensed under the Apache License, Version 2.0.\n" + prose(1, 50)),
-        ("a/b/c.txt", prose(2, 80)),
-        ("a/b/d/LICENSE", "x\n" + TEMPLATES["MIT"]),
-        ("a/b/d/e.txt", prose(3, 40)),
-        ("q/r.txt", prose(4, 40)),
-        ("q/own.txt", prose(5, 40) + "\n  all RIGHTS reserved.\n" + prose(6, 10)),
-        (None, None),
-        ("top.txt", ""),
-        ("z/long.txt", prose(7, 60000) + "\n" + TEMPLATES["GPL-3.0"]),
-    ]
-    df = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(files)], "doc_id long, path string, text string")
-    own = match_files(df).join(df.select("doc_id", "path"), "doc_id")
-    rows = {r["doc_id"]: r for r in inherit(own, F.col("path").endswith("LICENSE")).collect()}
-    got = [(rows[k]["license"], rows[k]["origin"], rows[k]["license_dir"]) for k in range(len(files))]
-    assert got == [
-        ("Apache-2.0", "own", None),
-        ("Apache-2.0", "inherited", "a"),
-        ("MIT", "own", None),
-        ("MIT", "inherited", "a/b/d"),
-        (None, "none", None),
-        ("Proprietary", "own", None),
-        (None, "none", None),
-        (None, "none", None),
-        ("GPL-3.0", "own", None),
-    ]
-    assert match_files(empty_docs).count() == 0
-
-
-def test_the_anchor_filter_is_exact():
-    matcher = Matcher(TEMPLATES, {"the": 900, "license": 30, "under": 100}, 1000)
-    for text in [*TEMPLATES.values(), prose(1, 30), "the license", "released under", "rights", "all rights", "apache 2.0", "cc by"]:
-        best = matcher.cosine(text)[0]
-        assert best < 0.6 or matcher.anchor.search(text.lower()), text
-
-
-def test_a_notice_is_found_however_many_files_there_are():
-    notice = "This document is licensed under the apache license version 2.0"
-    found = []
-    for files in (1000, 10_000, 3_000_000):
-        shares = {"the": 0.6, "licensed": 0.01, "under": 0.03, "apache": 0.006, "license": 0.02, "version": 0.02, "2.0": 0.006, "is": 0.3, "this": 0.3}
-        found.append(Matcher(TEMPLATES, {t: int(x * files) for t, x in shares.items()}, files).scan(notice)[:2])
-    assert {name for name, _ in found} == {"Apache-2.0"}
-    assert max(x for _, x in found) - min(x for _, x in found) < 0.03
-
-
 # -- language model --------------------------------------------------------------
 
 
