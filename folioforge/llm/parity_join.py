@@ -4,9 +4,9 @@ A document is its set of distinct word n-grams; two link when
 100 * |intersection| >= `percent` * |union|.  For sets of sizes a and b that
 bounds the symmetric difference, so:
 
-* Sets are dealt to size bands, and each to the band below as well while a
-  smaller partner there could reach it.  D is the largest difference that a
-  linked pair of the band can have.
+* Sets are dealt to size bands, and each to every band below that a smaller
+  partner could be in; a pair meets in the band of its smaller set.  D is the
+  largest difference that a linked pair of the band can have.
 * Tokens are dealt by hash to m = D + 1 + W blocks of the band.  XOR of token
   hashes in each block is the block's parity digest.  A differing token spoils
   one block, so linked sets agree on at least 1 + W blocks (pigeonhole).
@@ -23,8 +23,14 @@ bounds the symmetric difference, so:
 * Linked pairs make components.  A bucket whose members all lie in one
   component is finished.  In the others each member outside the bucket's largest
   component is held against all members of other components by sketch, and what
-  passes and wasn't verified yet is verified too.  No link between components is
-  lost, and pairs inside one are never listed.
+  passes and wasn't verified yet is verified too.
+  No link between components is lost, and pairs inside one are never listed.  A
+  large bucket is a grid of cells of at most `HELD` held and `SPREAD` passing
+  members, and each cell is a task's work.
+
+No key's rows need to be in one task: which buckets have two sets is found by
+partial aggregation, joins on a bucket are left to Spark's splitting of skewed
+joins, and each text is sent to the pairs of the member that has more of them.
 
 Copies, and texts with equal sets, are one set with many documents.  Very
 frequent tokens are only a matter of speed: the result doesn't depend on them.
@@ -46,8 +52,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import saved, shared_dir
@@ -61,12 +67,12 @@ FREQUENT, RARE = 0.002, 24
 FREQUENT_MOST = 1 << 16
 #: Tokens that a task gathers before it counts them.
 GATHER = 3_000_000
-#: Bits of the fixed-size filter that spares most texts the join with pairs (a superset passes).
-FILTER_BITS = 1 << 24
+#: Bits for each key of the bitmaps that spare most rows a join (a superset passes), and most bits of one (32 MB).
+FILTER_BITS, FILTER_MOST = 16, 1 << 28
 #: Distinct sets that a task remembers to send copies once, and pairs that it remembers to name them once.
 REMEMBER = 1 << 18
-#: Rows of the mixed buckets around one component that one task takes.
-SPREAD = 200_000
+#: Rows of mixed buckets that one task takes, about, and members that it holds against others.
+SPREAD, HELD = 16_384, 2048
 
 
 class Bound(NamedTuple):
@@ -99,6 +105,10 @@ class Bound(NamedTuple):
             k += 1
         return k
 
+    def bands(self, size: int) -> range:
+        """The bands in which a set of `size` or a smaller partner of it can be."""
+        return range(self.band(max(1, -(-size * self.percent // 100))), self.band(size) + 1)
+
     @lru_cache(maxsize=1 << 16)  # noqa: B019
     def spoiled(self, band: int) -> int:
         """D of a band."""
@@ -229,9 +239,26 @@ def _sets(docs: DataFrame, bound: Bound) -> DataFrame:
     return docs.select("text", "id").mapInArrow(run, f"id {kind.simpleString()}, cid long, n long, sketch binary, token long")
 
 
-def _buckets(docs: DataFrame, bound: Bound, frequent: np.ndarray) -> DataFrame:
-    """Rows `bkey`, `cid`: under which keys each set is sent; a task sends copies once."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
+def _presence(keys: DataFrame, column: str) -> Broadcast:
+    """A bitmap by the low bits of 64-bit hashes, sized by their number within `FILTER_MOST`."""
+    bits = min(FILTER_MOST, 1 << max(16, (FILTER_BITS * keys.count()).bit_length()))
+    # Spark numbers the bits of its bitmaps from 1
+    places = keys.select((F.pmod(F.col(column), F.lit(bits)) + 1).alias("p"))
+    rows = places.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    filled = np.zeros(max(bits // 8, 4096), np.uint8)
+    for r in rows:  # FILTER_MOST bits at most, whatever the input
+        filled[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast((filled.tobytes(), bits))
+
+
+def _present(shared: Broadcast, hashes: np.ndarray) -> np.ndarray:
+    bitmap, bits = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
+    at = hashes & (bits - 1)
+    return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def _buckets(docs: DataFrame, bound: Bound, frequent: Broadcast, wanted: Broadcast | None = None) -> DataFrame:
+    """Rows `bkey`, `cid`: under which keys each set is sent, those in `wanted` if given; a task sends copies once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -248,12 +275,10 @@ def _buckets(docs: DataFrame, bound: Bound, frequent: np.ndarray) -> DataFrame:
                     if len(met) >= REMEMBER:
                         met.clear()
                     met.add(name)
-                    band = bound.band(len(tokens))
-                    bands = [band]
-                    if band and len(tokens) <= bound.partner(bound.edge(band) - 1):
-                        bands.append(band - 1)
-                    for k in bands:
-                        own = block_keys(tokens, k, bound, shared.value)
+                    for k in bound.bands(len(tokens)):
+                        own = block_keys(tokens, k, bound, frequent.value)
+                        if wanted is not None:
+                            own = own[_present(wanted, own.astype(np.int64))]
                         keys.append(own)
                         names.append(np.full(len(own), name, np.int64))
                         size += len(own)
@@ -295,22 +320,12 @@ def _by_sketch(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
 
 def _texts(docs: DataFrame, names: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
     """The text of each set named in `names` (`cid`), as `cid`, `text`, one row each."""
-    spark = docs.sparkSession
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    # Spark numbers the bits of its bitmaps from 1
-    wanted = sets.join(names, "cid", "left_semi").select((place("id") + 1).alias("p"))
-    rows = wanted.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    filled = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
-    for r in rows:  # a bitmap of FILTER_BITS bits, whatever the input
-        filled[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(filled.tobytes())
+    place = F.xxhash64("id").alias("p")
+    shared = _presence(sets.join(names, "cid", "left_semi").select(place), "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            at = np.asarray(batch.column("p"))
-            hit = bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-            texts = batch.column("text").filter(pa.array(hit))
+            texts = batch.column("text").filter(pa.array(_present(shared, np.asarray(batch.column("p")))))
             cids, kept = [], []
             for block in blocks(texts):
                 for text, tokens in zip(block, token_sets(block, bound.n), strict=True):
@@ -319,17 +334,21 @@ def _texts(docs: DataFrame, names: DataFrame, sets: DataFrame, bound: Bound) ->
                         kept.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(kept, pa.binary())], names=["cid", "text"])
 
-    found = docs.select(place("id").alias("p"), "text").mapInArrow(run, "cid long, text binary")
+    found = docs.select(place, "text").mapInArrow(run, "cid long, text binary")
     return found.join(names, "cid", "left_semi").dropDuplicates(["cid"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, bound: Bound, folder: str) -> DataFrame:
     """The pairs `a`, `b` that link, held against each other on their whole texts."""
     pairs = saved(_by_sketch(pairs, sets, bound), f"{folder}/pairs")
-    names = saved(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), f"{folder}/names")
+    names = saved(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).groupBy("cid").agg(F.count("*").alias("k")), f"{folder}/names")
     if names.isEmpty():
         return pairs
     texts = _texts(docs, names, sets, bound)
+    # the member with more pairs comes first: its text is sent once, the other's with the pair
+    left, right = names.select(F.col("cid").alias("a"), F.col("k").alias("ka")), names.select(F.col("cid").alias("b"), F.col("k").alias("kb"))
+    swap = F.col("kb") > F.col("ka")
+    pairs = pairs.join(left, "a").join(right, "b").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
     both = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,19 +366,42 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, bound: Bound,
     return saved(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), f"{folder}/links")
 
 
-def _across(mixed: DataFrame, bound: Bound) -> DataFrame:
-    """Pairs from different components of a bucket whose sketches allow a link.
+def _grid(named: DataFrame, buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of mixed buckets dealt to cells: `part`, `cell`, `held`, `cid`, `label`, `n`, `sketch`, `is_pivot`.
 
-    `mixed` has `part`, `bkey`, `cid`, `label`, `n`, `sketch`, `minor` and `is_pivot`.
-    Of each bucket the members outside its largest component come first, and all
-    members stream past them.  Pairs with the pivot were verified before.
+    `buckets` has `bkey`, `pivot`, `major` (the largest component), `members` and
+    `minors` (those outside it).  Minors are held, in slices; all members pass the
+    held ones, in slices too.
+    """
+    slices = lambda rows, most: F.pow(2, F.ceil(F.log2(F.greatest(F.lit(1.0), rows / most)))).cast("int")
+    cut = buckets.withColumn("hs", slices(F.col("minors"), HELD)).withColumn("ms", slices(F.col("members"), SPREAD))
+    # cells of the same slices of buckets around one component share a task while they are few: their pairs are named once
+    load = F.sum(F.col("members") / F.col("ms") + F.col("minors") / F.col("hs"))
+    groups = cut.groupBy("major", "hs", "ms").agg(F.ceil(load / SPREAD).alias("groups"))
+    cut = cut.join(groups, ["major", "hs", "ms"])
+    rows = named.join(cut, "bkey").join(sets.select("cid", "n", "sketch"), "cid")
+    rows = rows.withColumn("minor", F.col("label") != F.col("major")).withColumn("is_pivot", F.col("cid") == F.col("pivot"))
+    own = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    keep = ["bkey", "major", "groups", "hs", "ms", "cid", "label", "n", "sketch", "is_pivot"]
+    passing = rows.select(*keep, F.lit(False).alias("held"), F.explode(upto("hs")).alias("h"), own(F.col("ms")).alias("m"))
+    holding = rows.where(F.col("minor") & ~F.col("is_pivot")).select(*keep, F.lit(True).alias("held"), own(F.col("hs")).alias("h"), F.explode(upto("ms")).alias("m"))
+    part = F.xxhash64("major", "hs", "ms", "h", "m", F.pmod("bkey", "groups"))
+    return passing.union(holding).select(part.alias("part"), F.xxhash64("bkey", "h", "m").alias("cell"), "held", "cid", "label", "n", "sketch", "is_pivot")
+
+
+def _across(grid: DataFrame, bound: Bound) -> DataFrame:
+    """Pairs from different components of a cell whose sketches allow a link.
+
+    Of each cell the held members come first, and the others stream past them.
+    Pairs with the pivot were verified before.
     """
-    ordered = mixed.repartition("part").sortWithinPartitions("bkey", F.col("minor").desc()).select("bkey", "cid", "label", "n", "sketch", "minor", "is_pivot")
+    ordered = grid.repartition("part").sortWithinPartitions("cell", F.col("held").desc()).select("cell", "held", "cid", "label", "n", "sketch", "is_pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = None
+        cell = None
         held: list[tuple] = []
-        met: set[tuple[int, int]] = set()  # buckets of the same documents share a task, and most of their pairs
+        met: set[tuple[int, int]] = set()  # cells of the same documents share a task, and most of their pairs
         for batch in batches:
             found: set[tuple[int, int]] = set()
             start = 0
@@ -368,19 +410,23 @@ def _across(mixed: DataFrame, bound: Bound) -> DataFrame:
             for end in edges:
                 rows = batch.slice(start, end - start)
                 start = end
-                if keys[end - 1] != bucket:
-                    bucket, held = keys[end - 1], []
-                cid, label, n = (np.asarray(rows.column(k)) for k in (1, 2, 3))
-                raw = rows.column(4).to_pylist()
-                minor, pivot = (np.asarray(rows.column(k).cast(pa.int8())) == 1 for k in (5, 6))
-                bits = 8 * min([len(x) for x in raw] + [len(h[3]) for h in held])
-                sketches = np.concatenate([folded(_words([x]), bits) for x in raw])
-                held += [(int(cid[i]), int(label[i]), int(n[i]), raw[i]) for i in np.flatnonzero(minor & ~pivot)]
+                if keys[end - 1] != cell:
+                    cell, held = keys[end - 1], []
+                first, pivot = (np.asarray(rows.column(k).cast(pa.int8())) == 1 for k in (1, 6))
+                cid, label, n = (np.asarray(rows.column(k)) for k in (2, 3, 4))
+                raw = rows.column(5).to_pylist()
+                held += [(int(cid[i]), int(label[i]), int(n[i]), raw[i]) for i in np.flatnonzero(first)]
+                passing = np.flatnonzero(~first & ~pivot)
+                if not len(passing) or not held:
+                    continue
+                cid, label, n = cid[passing], label[passing], n[passing]
+                bits = 8 * min([len(raw[i]) for i in passing] + [len(x[3]) for x in held])
+                sketches = np.concatenate([folded(_words([raw[i]]), bits) for i in passing])
                 for c, own, size, x in held:
                     total = n + size
                     most = total - 2 * -(-bound.percent * total // (100 + bound.percent))
                     near = np.bitwise_count(sketches ^ folded(_words([x]), bits)).sum(axis=1) <= most
-                    found.update((min(c, d), max(c, d)) for d in cid[near & (label != own) & ~pivot].tolist())
+                    found.update((min(c, d), max(c, d)) for d in cid[near & (label != own)].tolist())
             found -= met
             if len(met) > REMEMBER:
                 met.clear()
@@ -405,11 +451,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = documents.where("cid IS NOT NULL").groupBy("cid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = saved(groups, f"{folder}/groups")
 
-    # a window streams each key's rows and spills, so no bucket needs to fit in memory
-    own = Window.partitionBy("bkey")
-    sent = _buckets(rows, bound, frequent)
-    sent = sent.withColumn("least", F.min("cid").over(own)).withColumn("most", F.max("cid").over(own)).where("least < most")
-    buckets = saved(sent.select("bkey", "cid").distinct(), f"{folder}/buckets")
+    shared = spark.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
+    # keys of two sets or more, by partial aggregation; then the sets are sent again, under those keys alone
+    ends = _buckets(rows, bound, shared).groupBy("bkey").agg(F.min("cid").alias("least"), F.max("cid").alias("most"))
+    keys = saved(ends.where("least < most").select("bkey"), f"{folder}/keys")
+    sent = _buckets(rows, bound, shared, _presence(keys, "bkey"))
+    buckets = saved(sent.join(keys, "bkey", "left_semi").distinct(), f"{folder}/buckets")
     shared_blocks = buckets.groupBy("cid").agg(F.count("*").alias("k"))
     pivots = saved(buckets.join(shared_blocks, "cid").groupBy("bkey").agg(F.max_by("cid", F.struct("k", "cid")).alias("pivot")), f"{folder}/pivots")
     star = buckets.join(pivots, "bkey").where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
@@ -419,15 +466,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     named = buckets.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("bkey", "cid", F.coalesce("label", "cid").alias("label"))
     sizes = named.groupBy("bkey", "label").agg(F.count("*").alias("k"))
-    open_buckets = sizes.groupBy("bkey").agg(F.count("*").alias("labels"), F.sum("k").alias("members"), F.max_by("label", F.struct("k", "label")).alias("major"))
+    open_buckets = sizes.groupBy("bkey").agg(F.count("*").alias("labels"), F.sum("k").alias("members"), F.max("k").alias("most"), F.max_by("label", F.struct("k", "label")).alias("major"))
     # the one pair of a bucket of two has been verified
-    open_buckets = open_buckets.where("labels > 1 AND members > 2").select("bkey", "major", "members")
-    # buckets around one component go to one task, which then meets their common pairs, or to more if they are many
-    tasks = open_buckets.groupBy("major").agg(F.ceil(F.sum("members") / SPREAD).alias("tasks"))
-    open_buckets = open_buckets.join(tasks, "major").join(pivots, "bkey").withColumn("part", F.hash("major", F.pmod("bkey", "tasks"))).drop("tasks", "members")
-    mixed = named.join(open_buckets, "bkey").join(sets.select("cid", "n", "sketch"), "cid")
-    mixed = mixed.select("part", "bkey", "cid", "label", "n", "sketch", (F.col("label") != F.col("major")).alias("minor"), (F.col("cid") == F.col("pivot")).alias("is_pivot"))
-    rest = saved(_across(mixed, bound).join(star, ["a", "b"], "left_anti"), f"{folder}/rest")
+    open_buckets = open_buckets.where("labels > 1 AND members > 2").select("bkey", "major", "members", (F.col("members") - F.col("most")).alias("minors"))
+    grid = _grid(named, open_buckets.join(pivots, "bkey"), sets)
+    rest = saved(_across(grid, bound).join(star, ["a", "b"], "left_anti"), f"{folder}/rest")
     if not rest.isEmpty():
         more = _verified(rest, rows, sets, bound, f"{folder}/second")
         labels = connected_components(links.union(more), f"{folder}/components-2")

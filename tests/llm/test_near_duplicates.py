@@ -1,9 +1,10 @@
 import random
 import re
-from itertools import combinations
+from itertools import combinations, product
 
 import pytest
 
+from folioforge.llm import parity_join
 from folioforge.llm.components import connected_components
 from folioforge.llm.parity_join import Bound, block_keys, keep_one, near_duplicates, token_sets
 
@@ -53,7 +54,7 @@ def near_copies():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (1, 60)])
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (1, 60), (2, 50), (1, 20), (3, 95)])
 def test_components_equal_brute_force(spark, n, percent):
     rows = near_copies()
     found = near_duplicates(docs_frame(spark, rows), n=n, percent=percent).collect()
@@ -64,15 +65,33 @@ def test_pigeonhole_holds():
     """Linked sets share a key in a band where both are sent, whatever tokens are held to be frequent."""
     import numpy as np
 
-    r, bound = np.random.default_rng(2), Bound()
-    for size in (1, 2, 5, 6, 7, 12, 13, 40, 118, 119, 500, 3000):
-        for _ in range(30):
+    r = np.random.default_rng(2)
+    for size, percent in product((1, 2, 5, 6, 7, 12, 13, 40, 118, 119, 500, 3000), (85, 66, 50, 20)):
+        bound = Bound(4, percent)
+        for _ in range(30 if size < 500 else 4):
             a = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
             frequent = np.sort(r.choice(a, r.integers(0, len(a)), replace=False))
             most = max(d for d in range(len(a) + 1) if bound.difference(len(a), len(a) - d) >= d)
             b = np.sort(r.choice(a, len(a) - r.integers(0, most + 1), replace=False))
-            bands = [{k for k in (bound.band(len(x)), bound.band(len(x)) - 1) if k >= 0 and (k == bound.band(len(x)) or len(x) <= bound.partner(bound.edge(k + 1) - 1))} for x in (a, b)]
-            assert any(set(block_keys(a, k, bound, frequent)) & set(block_keys(b, k, bound, frequent)) for k in bands[0] & bands[1]), (size, len(b))
+            assert any(set(block_keys(a, k, bound, frequent)) & set(block_keys(b, k, bound, frequent)) for k in set(bound.bands(len(a))) & set(bound.bands(len(b)))), (size, len(b))
+
+
+def test_links_across_bands(spark):
+    """18 words and the same with 12 more link at 60 percent, and chains through sizes that grow link end to end."""
+    words = [f"y{k}" for k in range(30)]
+    rows = [(0, " ".join(words[:18])), (1, " ".join(words))] + [(2 + k, " ".join(f"x{j}" for j in range(round(10 * 1.9**k)))) for k in range(7)]
+    for percent in (60, 50, 30):
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs_frame(spark, rows), n=1, percent=percent).collect()}
+        assert found == brute(rows, 1, percent) and found[1][1] == 0 and (percent == 60 or found[8][1] == 2)
+
+
+def test_cells_of_a_grid(spark, monkeypatch):
+    """Buckets cut to small cells lose no pair."""
+    monkeypatch.setattr(parity_join, "HELD", 4)
+    monkeypatch.setattr(parity_join, "SPREAD", 8)
+    rows = near_copies()
+    found = near_duplicates(docs_frame(spark, rows), n=4, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, 4, 85)
 
 
 def test_edges(edge_docs, empty_docs):
