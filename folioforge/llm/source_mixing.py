@@ -8,16 +8,22 @@ tokens are the budget, with probabilities above one set to one and the rest
 scaled up.  A document stays if a number drawn from a hash of its id is below
 its cell's probability.
 
+Documents weigh their tokens: a column of counts if `tokens` gives one (those of
+a tokenizer, say), else their words, as counting with a tokenizer isn't within
+DataFrame functions.
+
 All fitting is on cells, pre-aggregated before any shuffle, so a source with a
-third of all rows is a handful of rows by then.  Cells are joined back by
-broadcast if there are at most `BROADCAST` of them, else by a shuffled join.
+third of all rows is a handful of rows by then.  Up to `BROADCAST` cells are
+raked in windows and joined back by broadcast; more are raked by partial sums
+joined back to the cells, and joined to the documents by a shuffled join.
 
 Defined cases: a null source, language or topic is a value of its own; a null or
 empty text has no tokens and is drawn like any other row of its cell; a null id
 is drawn as an empty one; repeated rows stay or go together; targets for values
 that don't occur are ignored and values without a target keep their share; an
-empty table gives an empty result.  Extra columns are kept; working columns
-start with `mix_`.
+empty table gives an empty result.  Extra columns are kept, whatever their
+names; result columns of `mix` replace clashing ones of the input, and `draw`
+returns the columns of its input alone.
 """
 
 from __future__ import annotations
@@ -82,11 +88,21 @@ def target_shares(cells: DataFrame, column: str, targets: DataFrame | None, fold
     return shares.select("v", (F.col("s") / scale).alias("share"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame | None], folder: str) -> DataFrame:
+def _raked(cells: DataFrame, column: str, share: str, small: bool) -> DataFrame:
+    """One step: weights under which the shares of one dimension are its targets (shares add up to one)."""
+    mass = F.sum(F.col("w") * F.col("t"))
+    if small:
+        return cells.withColumn("w", F.col("w") * F.col(share) / mass.over(Window.partitionBy(column)))
+    sums = cells.groupBy(F.col(column).alias("v")).agg(mass.alias("m"))
+    return cells.join(sums, cells[column].eqNullSafe(F.col("v"))).withColumn("w", F.col("w") * F.col(share) / F.col("m")).drop("v", "m")
+
+
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame | None], folder: str, *, broadcast: int = BROADCAST) -> DataFrame:
     """The cells with `w`, weights under which each dimension's token shares are its targets."""
     dims = list(targets)
     # tokens of a cell without any count as one, so that a value can't have a target and no weight
     cells = saved(cells.withColumn("t", F.greatest("t", F.lit(1.0))), f"{folder}/cells")
+    small = cells.count() <= broadcast
     for k, (column, wanted) in enumerate(targets.items()):
         shares = target_shares(cells, column, wanted, f"{folder}/{k}")
         cells = cells.join(shares, cells[column].eqNullSafe(F.col("v")), "left").drop("v").withColumnRenamed("share", f"s{k}")
@@ -95,12 +111,13 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame | None], folder: str)
     for it in range(0, ROUNDS, STRIDE):
         for _ in range(STRIDE):
             for k, column in enumerate(dims):
-                # shares add up to one, so the weighted tokens do after each step
-                cells = cells.withColumn("w", F.col("w") * F.col(f"s{k}") / mass.over(Window.partitionBy(column)))
+                cells = _raked(cells, column, f"s{k}", small)
         cells = saved(cells, f"{folder}/raked-{it}")
-        gaps = cells.select(*[F.abs(mass.over(Window.partitionBy(c)) - F.col(f"s{k}")).alias(f"g{k}") for k, c in enumerate(dims)])
-        worst = gaps.agg(*[F.max(f"g{k}") for k in range(len(dims))]).first()
-        if max((x or 0.0) for x in worst) < CLOSE:
+        worst = 0.0
+        for k, column in enumerate(dims):
+            gap = cells.groupBy(column).agg(mass.alias("m"), F.first(f"s{k}").alias("s")).agg(F.max(F.abs(F.col("m") - F.col("s")))).first()[0]
+            worst = max(worst, gap or 0.0)
+        if worst < CLOSE:
             break
     return cells
 
@@ -122,35 +139,64 @@ def calibrate(cells: DataFrame, budget: float) -> DataFrame:
     return cells.withColumn("p", F.least(F.lit(1.0), F.col("w") * scale))
 
 
+def _drawn(
+    docs: DataFrame, dimensions: Mapping[str, Column], targets: Mapping[str, DataFrame | None] | None, budget: float, tokens: Column | None, id_col: str, text_col: str, keep: Sequence[str], broadcast: int
+) -> DataFrame:
+    """The columns of `keep` by position (`k0`, `k1` and so on), dimensions (`d0` ...), `tokens`, `p` and `u`."""
+    folder = shared_dir(docs.sparkSession)
+    weight = token_estimate(docs[text_col]) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
+    names = [f"d{k}" for k in range(len(dimensions))]
+    rows = docs.select(
+        *[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], *[c.alias(n) for n, c in zip(names, dimensions.values(), strict=True)], weight.alias("mix_tokens"), uniform(docs[id_col]).alias("u")
+    )
+    if text_col not in keep:  # a few short values for each document: counted once
+        rows = saved(rows, f"{folder}/rows")
+    cells = rake(cells_of(rows, names), {n: (targets or {}).get(d) for n, d in zip(names, dimensions, strict=True)}, folder, broadcast=broadcast)
+    cells = saved(calibrate(cells, budget), f"{folder}/calibrated")
+    drawn = cells.select(*[F.col(n).alias(f"c{k}") for k, n in enumerate(names)], "p")
+    if cells.count() <= broadcast:
+        drawn = F.broadcast(drawn)
+    match = F.lit(True)
+    for k, n in enumerate(names):
+        match = match & F.col(n).eqNullSafe(F.col(f"c{k}"))
+    return rows.join(drawn, match).withColumnRenamed("mix_tokens", "tokens")
+
+
 def mix(
     docs: DataFrame,
     dimensions: Mapping[str, Column],
     targets: Mapping[str, DataFrame | None] | None = None,
     *,
     budget: float = 0.8,
+    tokens: Column | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     columns: Sequence[str] | None = None,
+    broadcast: int = BROADCAST,
 ) -> DataFrame:
     """`columns` of `docs` (all unless given), then `mix_<dimension>`, `mix_tokens`, `mix_p` and `mix_kept`.
 
     `dimensions` gives each dimension's name and column; `targets` a table of
     `value` and `share`, or None for tempered observed shares.
     """
-    folder = shared_dir(docs.sparkSession)
-    columns = list(docs.columns if columns is None else columns)
-    names = {f"mix_{d}": c for d, c in dimensions.items()}
-    rows = docs.select(*[docs[c] for c in columns], uniform(docs[id_col]).alias("mix_u"), token_estimate(docs[text_col]).alias("mix_tokens"), *[c.alias(n) for n, c in names.items()])
-    if text_col not in columns:  # a few short values for each document: counted once
-        rows = saved(rows, f"{folder}/rows")
-    cells = rake(cells_of(rows, list(names)), {n: (targets or {}).get(n.removeprefix("mix_")) for n in names}, folder)
-    cells = saved(calibrate(cells, budget), f"{folder}/calibrated")
-    drawn = cells.select(*[F.col(n).alias(f"c{k}") for k, n in enumerate(names)], F.col("p").alias("mix_p"))
-    if cells.count() <= BROADCAST:
-        drawn = F.broadcast(drawn)
-    match = None
-    for k, n in enumerate(names):
-        same = F.col(n).eqNullSafe(F.col(f"c{k}"))
-        match = same if match is None else match & same
-    joined = rows.join(drawn, match).withColumn("mix_kept", F.col("mix_u") < F.col("mix_p"))
-    return joined.select(*columns, *names, "mix_tokens", "mix_p", "mix_kept")
+    made = [*(f"mix_{d}" for d in dimensions), "mix_tokens", "mix_p", "mix_kept"]
+    keep = [c for c in (docs.columns if columns is None else columns) if c not in made]
+    joined = _drawn(docs, dimensions, targets, budget, tokens, id_col, text_col, keep, broadcast)
+    picked = joined.select(*[f"k{i}" for i in range(len(keep))], *[f"d{k}" for k in range(len(dimensions))], "tokens", "p", F.col("u") < F.col("p"))
+    return picked.toDF(*keep, *made)
+
+
+def draw(
+    docs: DataFrame,
+    dimensions: Mapping[str, Column],
+    targets: Mapping[str, DataFrame | None] | None = None,
+    *,
+    budget: float = 0.8,
+    tokens: Column | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    broadcast: int = BROADCAST,
+) -> DataFrame:
+    """The documents drawn, with the columns of `docs`, whatever they are called."""
+    joined = _drawn(docs, dimensions, targets, budget, tokens, id_col, text_col, docs.columns, broadcast)
+    return joined.where(F.col("u") < F.col("p")).select(*[f"k{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

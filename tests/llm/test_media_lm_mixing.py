@@ -2,7 +2,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folioforge.llm import lm_scoring as lm
 from folioforge.llm import media_columns as media
 from folioforge.llm.elias_fano import EliasFano
-from folioforge.llm.source_mixing import coarse_topic, mix
+from folioforge.llm.source_mixing import coarse_topic, draw, mix
 from folioforge.llm.words import word_hashes
 
 from .conftest import TEXTS, docs_frame, prose
@@ -139,9 +139,76 @@ def test_shares_reach_targets(spark):
     assert abs(drawn.mix_tokens.sum() / out.mix_tokens.sum() - 0.4) < 0.05
 
 
+def brute_mix(rows, budget, rounds=400):
+    """Raking and calibration by dictionaries: the probability of each cell; rows are (id, cell, tokens)."""
+    t = defaultdict(float)
+    for _, cell, n in rows:
+        t[cell] += n
+    t = {c: max(x, 1.0) for c, x in t.items()}
+    w = dict.fromkeys(t, 1.0)
+    shares = []
+    for k in range(len(next(iter(t)))):
+        sums = defaultdict(float)
+        for c, x in t.items():
+            sums[c[k]] += x
+        whole = sum(x**0.7 for x in sums.values())
+        shares.append({v: x**0.7 / whole for v, x in sums.items()})
+    for _ in range(rounds):
+        for k, share in enumerate(shares):
+            sums = defaultdict(float)
+            for c in t:
+                sums[c[k]] += w[c] * t[c]
+            w = {c: x * share[c[k]] / sums[c[k]] for c, x in w.items()}
+    goal, low, high = budget * sum(t.values()), 0.0, 1e12
+    for _ in range(300):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(min(1.0, w[c] * middle) * t[c] for c in t) < goal else (low, middle)
+    return {c: min(1.0, x * low) for c, x in w.items()}
+
+
+def drawn_number(i):
+    return int(hashlib.md5(b"" if i is None else str(i).encode()).hexdigest()[:8], 16) / 2**32
+
+
+@pytest.mark.parametrize("broadcast", [0, 50_000])
+def test_mixing_equals_brute_force(spark, broadcast):
+    r = np.random.default_rng(4)
+    rows = [(int(i), f"s{min(int(r.zipf(1.6)), 9)}" if i % 17 else None, ("en", "fr", "de", None)[int(r.integers(4))], " ".join(["w"] * int(r.integers(0, 60)))) for i in range(900)]
+    rows += [(5, *rows[5][1:])] * 3 + [(None, "s1", "en", "a b"), (2000, "s1", "en", None), (2001, "s1", "fr", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    out = mix(docs, {"source": docs["source"], "lang": docs["lang"]}, budget=0.5, broadcast=broadcast).collect()
+    p = brute_mix([(i, (s, x), len((t or "").split())) for i, s, x, t in rows], 0.5)
+    assert len(out) == len(rows)
+    for row in out:
+        expected = p[row["source"], row["lang"]]
+        assert math.isclose(row["mix_p"], expected, rel_tol=1e-6)
+        assert row["mix_kept"] == (drawn_number(row["doc_id"]) < row["mix_p"])
+    kept = Counter(r["doc_id"] for r in draw(docs, {"source": docs["source"], "lang": docs["lang"]}, budget=0.5, broadcast=broadcast).collect())
+    assert kept == Counter(row["doc_id"] for row in out if row["mix_kept"])
+
+
+def test_mixing_rakes_the_counts_that_are_given(spark):
+    from folioforge.llm.token_counts import count_tokens
+    import public_tokenizers as P
+
+    docs = docs_frame(spark, [(i, prose(i, 30 + i % 40)) for i in range(200)])
+    counted = count_tokens(docs, P.path("byte_bpe_50k.json"), P.PATTERN).select("doc_id", F.col("n_tokens").alias("tokens"))
+    joined = docs.join(counted, "doc_id")
+    want = {"source": spark.createDataFrame([("src0", 0.2), ("src1", 0.8)], "value string, share double")}
+    out = mix(joined, {"source": joined["source"]}, want, budget=0.3, tokens=joined["tokens"]).toPandas()
+    weighed = out.mix_p * out.tokens
+    assert (out.mix_tokens == out.tokens).all() and abs(weighed[out.source == "src1"].sum() / weighed.sum() - 0.8) < 1e-6
+
+
 def test_mixing_edges(edge_docs, empty_docs):
     dims = lambda d: {"source": d["source"], "lang": d["lang"], "topic": coarse_topic(d["text"])}
     out = mix(edge_docs, dims(edge_docs))
     assert out.count() == len(TEXTS) and out.columns[: len(edge_docs.columns)] == edge_docs.columns
     assert all(r["mix_p"] is not None for r in out.collect())
     assert mix(empty_docs, dims(empty_docs)).count() == 0
+    names = ["c0", "d0", "k0", "u", "p", "v", "t", "w", "s0", "tokens", "mix_tokens", "mix_p", "mix_kept", "mix_topic", "gone", "v0"]
+    clashing = edge_docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    out = mix(clashing, dims(clashing))
+    assert out.columns == [c for c in clashing.columns if not c.startswith("mix_")] + ["mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_p", "mix_kept"]
+    kept = draw(clashing, dims(clashing))
+    assert kept.columns == clashing.columns and {r["mix_kept"] for r in kept.collect()} == {names.index("mix_kept")}
