@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's documents.  A stage works on all
 that its predecessor kept, and what it rejects is gone; all but the last return
-the columns of documents.
+the columns of documents, whatever they are called, extra ones with them.
+
+Defined cases: a null or empty text fails the base rules and goes; a null language
+or source is a value of its own; rows that share an id are judged each by its
+text, but stay or go together as near duplicates and in the draw; rows with a
+null id are no near duplicates; an empty table gives an empty result, and with no
+trusted label the classifier keeps everything.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from folioforge.llm.parity_join import keep_one
 from folioforge.llm.quality_classifier import keep_good
 from folioforge.llm.quality_rules import apply_rules
 from folioforge.llm.queries import trusted_labels
-from folioforge.llm.source_mixing import coarse_topic, mix
+from folioforge.llm.source_mixing import coarse_topic, draw
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents are drawn so that source, language and topic reach their target shares."""
-    mixed = mix(docs, {"source": docs["source"], "lang": docs["lang"], "topic": coarse_topic(docs["text"])}, budget=0.9)
-    return mixed.where("mix_kept").select(*docs.columns)
+    return draw(docs, {"source": docs["source"], "lang": docs["lang"], "topic": coarse_topic(docs["text"])}, budget=0.9)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

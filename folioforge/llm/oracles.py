@@ -9,6 +9,7 @@ from folioforge.llm import source_mixing as m
 def quality_rules_ctes(docs: str = "documents") -> str:
     """CTEs `counted` (counts, pattern) and `good` (posterior for each pattern) over table `docs`."""
     words = ", ".join(f"'{w}'" for w in dict.fromkeys(q.FUNCTION_WORDS))
+    langs = ", ".join(f"'{x}'" for x in q.LANGUAGES)
     n = q.RULES
 
     def rule(bad: str, good: str) -> str:
@@ -23,7 +24,6 @@ def quality_rules_ctes(docs: str = "documents") -> str:
         rule("n_exclaim * 5 > n_words", "n_exclaim * 50 <= n_words"),
         rule("n_distinct * 8 < least(n_words, 1000)", "n_distinct * 3 > least(n_words, 1000)"),
         rule("word_chars < n_words * 3 OR word_chars > n_words * 11", "word_chars >= n_words * 4 AND word_chars <= n_words * 9"),
-        rule("n_symbols * 4 > n_words", "n_symbols = 0"),
     ]
     code = " + ".join(f"({r}) * {3**k}" for k, r in enumerate(rules))
     mass = "list_sum(list_transform(range(1, len(n) + 1), lambda i: n[i] * {}))"
@@ -33,7 +33,7 @@ def quality_rules_ctes(docs: str = "documents") -> str:
         f" - ln(({part.format('(1 - q[i])')} + s) / ({mass.format('(1 - q[i])')} + 3 * s))"
     )
     return f"""
-texts AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS k FROM {docs}),
+texts AS (SELECT doc_id, lang, coalesce(text, '') AS t, row_number() OVER () AS k FROM {docs}),
 worded AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
     list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g') <> '') AS l FROM texts),
 places AS (SELECT k, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM worded),
@@ -45,7 +45,7 @@ featured AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\
     coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines,
     length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\\p{{Ll}}]+', '', 'g')) AS n_lower,
     length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaim, len(list_distinct(w)) AS n_distinct,
-    len(list_filter([{words}], lambda x: list_contains(w, x))) AS n_function
+    CASE WHEN lang IN ({langs}) THEN len(list_filter([{words}], lambda x: list_contains(w, x))) END AS n_function
     FROM worded LEFT JOIN covered USING (k)),
 counted AS (SELECT *, {code} AS p FROM featured),
 packed AS (SELECT list(p ORDER BY p) AS p, list(n ORDER BY p) AS n, {q.SMOOTH} * sum(n) AS s,

@@ -6,14 +6,15 @@ and on bad documents; the posterior probability of good then decides, in place
 of an all-must-pass filter.
 
 Documents are reduced to one integer, the vote pattern, before anything is
-shuffled, so what EM sees is a table of at most 3**9 rows, whatever the input
+shuffled, so what EM sees is a table of at most 3**8 rows, whatever the input
 and however skewed it is; its posteriors join back by broadcast, which that
 bound makes safe.  Feature counting stays within each row.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
-text with no cased letters or no line abstains where a rule needs one; repeated
-rows are judged alike; an empty table gives an empty result.  `apply_rules` keeps all columns of its input,
-whatever their names.
+text with no cased letters or no line abstains where a rule needs one, and so does
+the rule on function words in a language without a list of them (null included);
+repeated rows are judged alike; an empty table gives an empty result.
+`apply_rules` keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import GAP, word_array
+from folioforge.llm.common import GAP, saved, shared_dir, word_array
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -32,7 +33,9 @@ FUNCTION_WORDS = (
     "der die und das den von zu mit ist ein eine auf nicht im "
     "el los las del una por con para como se es y"
 ).split()
-RULES = 9
+#: The languages that these words are of.
+LANGUAGES = ("en", "fr", "de", "es")
+RULES = 8
 PATTERNS = 3**RULES
 ROUNDS = 25
 #: Share of all documents that each vote gets in advance in each class, so that no rate is zero.
@@ -42,7 +45,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = (*COUNTS, "n_lines", "n_upper", "n_lower", "n_exclaim", "n_distinct", "n_function")
 
 
-def count_features(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+def count_features(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs` with whole-text counts, columns `rule_n_words` and so on (`FEATURES`)."""
     text = F.coalesce(docs[text_col], F.lit(""))
     staged = docs.withColumn("rule_t", text).withColumn("rule_w", word_array(F.col("rule_t")))
@@ -69,7 +72,7 @@ def count_features(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         "n_lower": F.length(F.regexp_replace(t, r"[^\p{Ll}]+", "")),
         "n_exclaim": F.length(F.regexp_replace(t, "[^!]+", "")),
         "n_distinct": F.size(F.array_distinct(w)),
-        "n_function": F.size(F.array_intersect(w, F.array(*map(F.lit, FUNCTION_WORDS)))),
+        "n_function": F.when(docs[lang_col].isin(*LANGUAGES), F.size(F.array_intersect(w, F.array(*map(F.lit, FUNCTION_WORDS))))),
     }
     # A term that is always 0 but not deterministic to Catalyst: else it would push filters on the
     # counts through this projection, and copy the word arrays into every use inside lambdas.
@@ -96,7 +99,6 @@ def votes() -> list[Column]:
         rule(f["n_exclaim"] * 5 > n, f["n_exclaim"] * 50 <= n),
         rule(f["n_distinct"] * 8 < F.least(n, F.lit(1000)), f["n_distinct"] * 3 > F.least(n, F.lit(1000))),
         rule((f["word_chars"] < n * 3) | (f["word_chars"] > n * 11), (f["word_chars"] >= n * 4) & (f["word_chars"] <= n * 9)),
-        rule(f["n_symbols"] * 4 > n, f["n_symbols"] == 0),
     ]
 
 
@@ -153,8 +155,11 @@ def judge(features: DataFrame) -> DataFrame:
     return judged.withColumn("rule_kept", ~F.col("rule_base_failed") & (F.col("rule_good") >= 0.5))
 
 
-def apply_rules(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+def apply_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that the rules keep, with the columns of `docs`."""
     renamed = docs.toDF(*[f"doc_{k}" for k in range(len(docs.columns))])  # no name can clash with the rules' own
-    counted = count_features(renamed, text_col=f"doc_{docs.columns.index(text_col)}")
-    return judge(counted).where("rule_kept").select(*renamed.columns).toDF(*docs.columns)
+    counted = count_features(renamed, text_col=f"doc_{docs.columns.index(text_col)}", lang_col=f"doc_{docs.columns.index(lang_col)}")
+    # counted once: the fit and the verdict need no more than the pattern and the base rules
+    voted = saved(counted.select(*renamed.columns, pattern().alias("rule_p"), base_failed().alias("rule_base_failed")), shared_dir(docs.sparkSession))
+    judged = voted.join(F.broadcast(posteriors(voted.select("rule_p"))), "rule_p")
+    return judged.where(~F.col("rule_base_failed") & (F.col("rule_good") >= 0.5)).select(*renamed.columns).toDF(*docs.columns)

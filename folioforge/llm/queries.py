@@ -51,7 +51,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     # a few numbers for each document, counted once and used for the fit and the verdict
-    counted = saved(count_features(docs.select("doc_id", "text")).drop("text"), shared_dir(spark))
+    counted = saved(count_features(docs.select("doc_id", "text", "lang")).drop("text", "lang"), shared_dir(spark))
     judged = judge(counted)
     return judged.select("doc_id", *[judged[f"rule_{c}"].alias(c) for c in COUNTS], judged["rule_base_failed"].alias("base_failed"), judged["rule_kept"].alias("kept"))
 

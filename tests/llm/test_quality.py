@@ -23,7 +23,7 @@ def brute_counts(text):
 
 
 def test_counts_equal_brute_force(edge_docs):
-    rows = count_features(edge_docs.select("doc_id", "text")).collect()
+    rows = count_features(edge_docs.select("doc_id", "text", "lang")).collect()
     texts = dict(TEXTS)
     for r in rows:
         assert tuple(r[f"rule_{c}"] for c in COUNTS) == brute_counts(texts[r["doc_id"]]), r["doc_id"]
@@ -49,7 +49,7 @@ def test_rules_on_edges_and_clashing_columns(edge_docs, empty_docs):
     assert out.columns == clashing.columns
     assert {r["doc_id"] for r in out.collect()} <= {6}
     assert apply_rules(empty_docs).count() == 0
-    judged = judge(count_features(edge_docs.select("doc_id", "text"))).select("doc_id", "rule_base_failed", "rule_kept").collect()
+    judged = judge(count_features(edge_docs.select("doc_id", "text", "lang"))).select("doc_id", "rule_base_failed", "rule_kept").collect()
     assert len(judged) == len(TEXTS) and all(r["rule_base_failed"] for r in judged if r["doc_id"] != 6)
 
 
