@@ -7,11 +7,14 @@ a medium is an ordered list of digests.  Joins on the digest bring shared chunks
 back, each chunk is verified against its digest and each medium against its own,
 and only then is anything computed from it.
 
-Equal media are one medium with many documents, so a group of copies moves its
-bytes once.  Chunks that several media share lie in a pool, one row for each
-digest, and are joined to the media that they stand in; the others lie with
-their medium and move once.  A medium is rebuilt in one row, as it is held in one
-row of the input.
+A chunk that is met more than once lies in a pool, one row for each digest; the
+others lie with their medium, packed together.  Which chunks those are comes from
+the digests alone, before any bytes are moved.  Media and pool are tables in the
+shared folder: a medium's row is written by the task that read its text, so bytes
+of chunks that stand in one place move to storage and nowhere else, and only media
+with pooled chunks are joined with the pool.  Everything computed comes from the
+stored bytes, read back.  A medium is rebuilt in one row, as it is held in one row
+of the input.
 
 Defined cases: a null or empty text is a payload of padding alone; repeated rows
 and equal texts share one medium and give equal values; an empty table gives an
@@ -33,10 +36,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.common import presence, present, saved, shared_dir
+
 #: Payloads are padded with this byte to a positive multiple of `UNIT`.
 PAD, UNIT = b" ", 192
-#: Chunk sizes: no cut before so many bytes, one at so many, and a cut where so many bits of the hash are zero.
-SIZES = 2048, 65536, 13
+#: Chunk sizes, for texts: no cut before so many bytes, one at so many, and a cut where so many bits of the hash are zero.
+SIZES = 256, 4096, 9
+#: Bytes of a chunk's digest (of SHA-256).
+DIGEST = 16
+#: Media that a task remembers to chunk and store copies once.
+REMEMBER = 1 << 17
 SAMPLE_RATE = 8000
 #: Gear table: 256 pseudo-random 32-bit numbers from a fixed seed.
 GEAR = np.random.Generator(np.random.PCG64(20_011)).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -95,104 +104,134 @@ def cut_points(data: bytes, sizes: tuple[int, int, int] = SIZES) -> list[int]:
 
 
 def chunk_digest(chunk: bytes) -> bytes:
-    return hashlib.sha256(chunk).digest()
+    return hashlib.sha256(chunk).digest()[:DIGEST]
+
+
+def _chunks(media: bytes, sizes: tuple[int, int, int]) -> list[bytes]:
+    ends = cut_points(media, sizes)
+    return [media[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+class _Met:
+    """Media that a task has seen, forgotten when they are many."""
 
+    def __init__(self) -> None:
+        self.seen: set[bytes] = set()
 
-def _media(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id, unpadded length and media digest of each document."""
+    def again(self, digest: bytes) -> bool:
+        if digest in self.seen:
+            return True
+        if len(self.seen) >= REMEMBER:
+            self.seen.clear()
+        self.seen.add(digest)
+        return False
+
+
+def chunk_lists(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, int, int] = SIZES) -> DataFrame:
+    """Id, `n_bytes` (unpadded), `media` (its digest) and the ordered `chunks` of each document.
+
+    Of copies that a task meets, the first alone has its chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met()
         for batch in batches:
-            sizes, digests = [], []
+            rows = []
             for value in batch.column(1):
                 payload, size = payload_of(value.as_py())
-                sizes.append(size)
-                digests.append(hashlib.sha256(to_wav(payload)).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["id", "n_bytes", "media"])
+                media = to_wav(payload)
+                digest = hashlib.sha256(media).digest()
+                rows.append((size, digest, None if met.again(digest) else [chunk_digest(x) for x in _chunks(media, sizes)]))
+            sizes_, digests, chunks = zip(*rows, strict=True) if rows else ((), (), ())
+            arrays = [batch.column(0), pa.array(sizes_, pa.int64()), pa.array(digests, pa.binary()), pa.array(chunks, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_bytes", "media", "chunks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
-
-
-class Pool(NamedTuple):
-    """A bitmap by the first bits of a digest: which chunks lie in the common pool."""
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary, chunks array<binary>")
 
-    bits: bytes
 
-    def __contains__(self, digest: bytes) -> bool:
-        slot = int.from_bytes(digest[:3])
-        return bool(self.bits[slot >> 3] >> (slot & 7) & 1)
+def _slot(digest: bytes) -> int:
+    return int.from_bytes(digest[:7])
 
 
-def _chunked(docs: DataFrame, text_col: str, sizes: tuple[int, int, int], pool: Broadcast | None, *, own: bool) -> DataFrame:
-    """The distinct media of each partition: digest and chunks in order, some of them with compressed bytes.
-
-    Without a pool none has its bytes.  With one, the chunks outside it have them
-    if `own`, else those in it.
-    """
+def _stored(docs: DataFrame, text_col: str, sizes: tuple[int, int, int], pooled: Broadcast) -> DataFrame:
+    """The distinct media of each task: `media`, `chunks`, their `sizes`, how many are `pooled`, and the others' bytes, `own`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=True)
-        met: set[bytes] = set()
+        met = _Met()
         for batch in batches:
-            rows: list[tuple[bytes, list[dict]]] = []
-            size = 0
+            rows: list[tuple] = []
+            held = 0
             for value in batch.column(0):
                 media = to_wav(payload_of(value.as_py())[0])
                 digest = hashlib.sha256(media).digest()
-                if digest in met:
+                if met.again(digest):
                     continue
-                if len(met) >= 1 << 17:
-                    met.clear()
-                met.add(digest)
-                parts, start = [], 0
-                for end in cut_points(media, sizes):
-                    chunk = media[start:end]
-                    name = chunk_digest(chunk)
-                    packed = pack.compress(chunk) if pool is not None and (name in pool.value) != own else None
-                    parts.append({"chunk": name, "packed": packed})
-                    size += 64 + len(packed or b"")
-                    start = end
-                rows.append((digest, parts))
-                if size > 8 << 20:
+                chunks = _chunks(media, sizes)
+                names = [chunk_digest(x) for x in chunks]
+                common = present(pooled, np.array([_slot(x) for x in names], np.int64))
+                own = b"".join(x for x, there in zip(chunks, common, strict=True) if not there)
+                rows.append((digest, names, [len(x) for x in chunks], int(common.sum()), pack.compress(own) if own else None))
+                held += len(rows[-1][4] or b"") + 64 * len(names)
+                if held > 8 << 20:
                     yield _rows(rows)
-                    rows, size = [], 0
+                    rows, held = [], 0
             yield _rows(rows)
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "media binary, parts array<struct<chunk: binary, packed: binary>>")
+    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "media binary, chunks array<binary>, sizes array<int>, pooled int, own binary")
 
 
-def _rows(rows: list[tuple[bytes, list[dict]]]) -> pa.RecordBatch:
-    parts = pa.list_(pa.struct([("chunk", pa.binary()), ("packed", pa.binary())]))
-    return pa.RecordBatch.from_arrays([pa.array([m for m, _ in rows], pa.binary()), pa.array([p for _, p in rows], parts)], names=["media", "parts"])
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * 5
+    kinds = [pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["media", "chunks", "sizes", "pooled", "own"])
 
 
-def chunk_lists(docs: DataFrame, *, text_col: str = "text", sizes: tuple[int, int, int] = SIZES) -> DataFrame:
-    """The ordered chunk list of each medium: `media`, `place`, `chunk`."""
-    lists = _chunked(docs, text_col, sizes, None, own=False).select("media", F.posexplode("parts").alias("place", "part"))
-    return lists.select("media", "place", "part.chunk").distinct()
+def _pool(docs: DataFrame, text_col: str, sizes: tuple[int, int, int], pooled: Broadcast) -> DataFrame:
+    """The bytes of pooled chunks (`chunk`, `packed`), each once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=True)
+        media_met, chunks_met = _Met(), _Met()
+        for batch in batches:
+            out: dict[bytes, bytes] = {}
+            for value in batch.column(0):
+                media = to_wav(payload_of(value.as_py())[0])
+                if media_met.again(hashlib.sha256(media).digest()):
+                    continue
+                chunks = _chunks(media, sizes)
+                names = [chunk_digest(x) for x in chunks]
+                common = present(pooled, np.array([_slot(x) for x in names], np.int64))
+                for name, chunk, there in zip(names, chunks, common, strict=True):
+                    if there and not chunks_met.again(name):
+                        out[name] = pack.compress(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["chunk", "packed"])
+
+    sent = docs.select(docs[text_col].alias("text")).mapInArrow(run, "chunk binary, packed binary")
+    return sent.groupBy("chunk").agg(F.first("packed").alias("packed"))
+
+
+class Store(NamedTuple):
+    """A written chunk store: documents with their media, media with their chunks, and the pool of common chunks."""
 
-def store(docs: DataFrame, *, text_col: str = "text", sizes: tuple[int, int, int] = SIZES) -> tuple[DataFrame, DataFrame, Broadcast]:
-    """The chunk store: media with the chunks that are theirs alone, and the pool of common chunks.
+    documents: DataFrame
+    media: DataFrame
+    pool: DataFrame
 
-    A digest that stands in several media is pooled, and so is any other that has
-    its first 24 bits, so that a bitmap of fixed size tells every task which
-    chunks go where.  Media: `media`, `parts` (the ordered chunk list, with bytes
-    outside the pool).  Pool: `chunk`, `packed`, one row for each digest.
+
+def store(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, int, int] = SIZES) -> Store:
+    """Write the chunk store of `docs` in `folder`, which is shared.
+
+    A chunk that is met more than once is pooled, and so is any other whose bit of
+    the bitmap that tells tasks so is set; so the pool has every chunk whose bit is.
     """
-    lists = chunk_lists(docs, text_col=text_col, sizes=sizes).select("media", "chunk").distinct()
-    # Spark numbers the bits of its bitmaps from 1
-    slot = F.conv(F.hex(F.substring("chunk", 1, 3)), 16, 10).cast("long") + 1
-    shared = lists.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select(slot.alias("s"))
-    marked = shared.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
-    filled = bytearray(1 << 21)
-    for row in marked:  # 2 MB of bits, whatever the input
-        filled[(row["k"] - 1) * 4096 : row["k"] * 4096] = row["bits"]
-    pool = docs.sparkSession.sparkContext.broadcast(Pool(bytes(filled)))
-    media = _chunked(docs, text_col, sizes, pool, own=True).groupBy("media").agg(F.first("parts").alias("parts"))
-    pooled = _chunked(docs, text_col, sizes, pool, own=False).select(F.explode(F.expr("filter(parts, x -> x.packed IS NOT NULL)")).alias("part"))
-    return media, pooled.groupBy("part.chunk").agg(F.first("part.packed").alias("packed")), pool
+    documents = saved(chunk_lists(docs, id_col=id_col, text_col=text_col, sizes=sizes), f"{folder}/documents")
+    met = documents.where("chunks IS NOT NULL").select(F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
+    slot = F.conv(F.hex(F.substring("chunk", 1, 7)), 16, 10).cast("long").alias("slot")
+    pooled = presence(saved(met.where("n > 1").select(slot), f"{folder}/common"), "slot")
+    media = saved(_stored(docs, text_col, sizes, pooled), f"{folder}/media")
+    return Store(documents, media, saved(_pool(docs, text_col, sizes, pooled), f"{folder}/pool"))
 
 
 def features_of(payload: bytes) -> str:
@@ -208,15 +247,8 @@ def features_of(payload: bytes) -> str:
     return f"samples={len(x)};mean={level:.4f};std={spread:.4f};min={x.min()};max={x.max()};crossings={crossings};entropy={entropy:.4f}"
 
 
-def rebuild(media: DataFrame, pool: DataFrame, lists: DataFrame) -> DataFrame:
-    """Read each medium back from its chunks, verify it and describe it.
-
-    `lists` has the `media` and `chunk` of every chunk that may be in the pool.
-    Rows: `media`, `payload_bytes`, `payload_sha256`, `tail_crc32`, `media_bytes`,
-    `media_sha256`, `feature`, `n_chunks`.
-    """
-    loans = lists.join(pool, "chunk").groupBy("media").agg(F.collect_list(F.struct("chunk", "packed")).alias("loans"))
-    whole = media.join(loans, "media", "left").select("media", "parts", "loans")
+def _read_back(media: DataFrame) -> DataFrame:
+    """Rebuild media from `chunks`, `sizes`, `own` and `loans`, verify them and describe them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -224,28 +256,46 @@ def rebuild(media: DataFrame, pool: DataFrame, lists: DataFrame) -> DataFrame:
         kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             out: list[tuple] = []
-            for digest, parts, loaned in zip(*batch.columns, strict=True):
-                pieces = []
-                lent = {x["chunk"]: x["packed"] for x in loaned.as_py() or ()}
-                for part in parts.as_py():
-                    piece = unpack.decompress(part["packed"] or lent[part["chunk"]])
-                    if chunk_digest(piece) != part["chunk"]:
+            for digest, chunks, lengths, own, loans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lent = {x["chunk"]: unpack.decompress(x["packed"]) for x in loans or ()}
+                rest = unpack.decompress(own) if own else b""
+                pieces, at = [], 0
+                for name, length in zip(chunks, lengths, strict=True):
+                    piece = lent.get(name)
+                    if piece is None:
+                        piece, at = rest[at : at + length], at + length
+                    if chunk_digest(piece) != name:
                         raise ValueError("a stored chunk is damaged")
                     pieces.append(piece)
-                media = b"".join(pieces)
-                if hashlib.sha256(media).digest() != digest.as_py():
+                whole = b"".join(pieces)
+                if hashlib.sha256(whole).digest() != digest:
                     raise ValueError("a stored medium is damaged")
-                payload = from_wav(media)
-                out.append((digest.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), digest.as_py().hex(), features_of(payload), len(pieces)))
+                payload = from_wav(whole)
+                out.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(whole), digest.hex(), features_of(payload), len(pieces)))
             columns = zip(*out, strict=True) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
 
-    return whole.mapInArrow(run, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
+    picked = media.select("media", "chunks", "sizes", "own", "loans")
+    return picked.mapInArrow(run, "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
+
+
+def rebuild(stored: Store) -> DataFrame:
+    """Every medium of a store from its stored bytes.
+
+    Rows: `media`, `payload_bytes`, `payload_sha256`, `tail_crc32`, `media_bytes`,
+    `media_sha256`, `feature`, `n_chunks`.
+    """
+    lent = "array<struct<chunk: binary, packed: binary>>"
+    alone = stored.media.where("pooled = 0").withColumn("loans", F.lit(None).cast(lent))
+    others = stored.media.where("pooled > 0").groupBy("media").agg(*[F.first(c).alias(c) for c in ("chunks", "sizes", "own")])
+    asked = others.select("media", F.explode(F.array_distinct("chunks")).alias("chunk"))
+    loans = asked.join(stored.pool, "chunk").groupBy("media").agg(F.collect_list(F.struct("chunk", "packed")).alias("loans"))
+    described = _read_back(alone).union(_read_back(others.join(loans, "media")))
+    return described.dropDuplicates(["media"])  # copies that different tasks stored whole
 
 
 def store_and_rebuild(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, int, int] = SIZES) -> DataFrame:
     """Every document's medium through the store and back: id, `n_bytes` and the columns of `rebuild`."""
-    media, pool, _ = store(docs, text_col=text_col, sizes=sizes)
-    lists = chunk_lists(docs, text_col=text_col, sizes=sizes).select("media", "chunk").distinct()
-    media = rebuild(media, pool, lists)
-    return _media(docs, id_col, text_col).join(media, "media").drop("media").withColumnRenamed("id", id_col)
+    stored = store(docs, shared_dir(docs.sparkSession), id_col=id_col, text_col=text_col, sizes=sizes)
+    joined = stored.documents.select("id", "n_bytes", "media").join(rebuild(stored), "media")
+    return joined.drop("media").withColumnRenamed("id", id_col)

@@ -56,7 +56,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import saved, shared_dir
+from folioforge.llm.common import presence, present, saved, shared_dir
 from folioforge.llm.components import connected_components
 from folioforge.llm.words import blocks, mix, word_hashes
 
@@ -67,8 +67,6 @@ FREQUENT, RARE = 0.002, 24
 FREQUENT_MOST = 1 << 16
 #: Tokens that a task gathers before it counts them.
 GATHER = 3_000_000
-#: Bits for each key of the bitmaps that spare most rows a join (a superset passes), and most bits of one (32 MB).
-FILTER_BITS, FILTER_MOST = 16, 1 << 28
 #: Distinct sets that a task remembers to send copies once, and pairs that it remembers to name them once.
 REMEMBER = 1 << 18
 #: Rows of mixed buckets that one task takes, about, and members that it holds against others.
@@ -239,24 +237,6 @@ def _sets(docs: DataFrame, bound: Bound) -> DataFrame:
     return docs.select("text", "id").mapInArrow(run, f"id {kind.simpleString()}, cid long, n long, sketch binary, token long")
 
 
-def _presence(keys: DataFrame, column: str) -> Broadcast:
-    """A bitmap by the low bits of 64-bit hashes, sized by their number within `FILTER_MOST`."""
-    bits = min(FILTER_MOST, 1 << max(16, (FILTER_BITS * keys.count()).bit_length()))
-    # Spark numbers the bits of its bitmaps from 1
-    places = keys.select((F.pmod(F.col(column), F.lit(bits)) + 1).alias("p"))
-    rows = places.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    filled = np.zeros(max(bits // 8, 4096), np.uint8)
-    for r in rows:  # FILTER_MOST bits at most, whatever the input
-        filled[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return keys.sparkSession.sparkContext.broadcast((filled.tobytes(), bits))
-
-
-def _present(shared: Broadcast, hashes: np.ndarray) -> np.ndarray:
-    bitmap, bits = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
-    at = hashes & (bits - 1)
-    return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-
-
 def _buckets(docs: DataFrame, bound: Bound, frequent: Broadcast, wanted: Broadcast | None = None) -> DataFrame:
     """Rows `bkey`, `cid`: under which keys each set is sent, those in `wanted` if given; a task sends copies once."""
 
@@ -278,7 +258,7 @@ def _buckets(docs: DataFrame, bound: Bound, frequent: Broadcast, wanted: Broadca
                     for k in bound.bands(len(tokens)):
                         own = block_keys(tokens, k, bound, frequent.value)
                         if wanted is not None:
-                            own = own[_present(wanted, own.astype(np.int64))]
+                            own = own[present(wanted, own.astype(np.int64))]
                         keys.append(own)
                         names.append(np.full(len(own), name, np.int64))
                         size += len(own)
@@ -321,11 +301,11 @@ def _by_sketch(pairs: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
 def _texts(docs: DataFrame, names: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
     """The text of each set named in `names` (`cid`), as `cid`, `text`, one row each."""
     place = F.xxhash64("id").alias("p")
-    shared = _presence(sets.join(names, "cid", "left_semi").select(place), "p")
+    shared = presence(sets.join(names, "cid", "left_semi").select(place), "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").filter(pa.array(_present(shared, np.asarray(batch.column("p")))))
+            texts = batch.column("text").filter(pa.array(present(shared, np.asarray(batch.column("p")))))
             cids, kept = [], []
             for block in blocks(texts):
                 for text, tokens in zip(block, token_sets(block, bound.n), strict=True):
@@ -455,7 +435,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # keys of two sets or more, by partial aggregation; then the sets are sent again, under those keys alone
     ends = _buckets(rows, bound, shared).groupBy("bkey").agg(F.min("cid").alias("least"), F.max("cid").alias("most"))
     keys = saved(ends.where("least < most").select("bkey"), f"{folder}/keys")
-    sent = _buckets(rows, bound, shared, _presence(keys, "bkey"))
+    sent = _buckets(rows, bound, shared, presence(keys, "bkey"))
     buckets = saved(sent.join(keys, "bkey", "left_semi").distinct(), f"{folder}/buckets")
     shared_blocks = buckets.groupBy("cid").agg(F.count("*").alias("k"))
     pivots = saved(buckets.join(shared_blocks, "cid").groupBy("bkey").agg(F.max_by("cid", F.struct("k", "cid")).alias("pivot")), f"{folder}/pivots")

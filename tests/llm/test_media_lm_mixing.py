@@ -33,22 +33,58 @@ def test_media_round_trip(spark, edge_docs, empty_docs):
     assert media.store_and_rebuild(empty_docs).count() == 0
 
 
-def test_shared_chunks_are_stored_once(spark):
+def brute_feature(payload):
+    mean = sum(payload) / len(payload)
+    std = math.sqrt(sum((x - mean) ** 2 for x in payload) / len(payload))
+    crossings = sum((a > mean) != (b > mean) for a, b in zip(payload, payload[1:], strict=False))
+    entropy = abs(-sum(n / len(payload) * math.log2(n / len(payload)) for n in Counter(payload).values()))
+    return f"samples={len(payload)};mean={mean:.4f};std={std:.4f};min={min(payload)};max={max(payload)};crossings={crossings};entropy={entropy:.4f}"
+
+
+def test_features_equal_brute_force(spark):
+    docs = docs_frame(spark, [(i, prose(i, 7 * i)) for i in range(30)] + [(40, None), (41, "ABC"), (42, "é" * 96)])
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = media.store_and_rebuild(docs).collect()
+    assert len(rows) == len(texts) and all(r["feature"] == brute_feature(media.payload_of(texts[r["doc_id"]])[0]) for r in rows)
+
+
+def test_shared_chunks_are_stored_once(spark, tmp_path):
     shared = prose(1, 400)
-    docs = docs_frame(spark, [(i, prose(100 + i, 80) + shared + prose(200 + i, 50 * (i % 3))) for i in range(12)])
+    made = [(i, prose(100 + i, 80) + shared + prose(200 + i, 50 * (i % 3))) for i in range(12)]
+    docs = docs_frame(spark, made + [(50 + i, made[0][1]) for i in range(9)] + [(70, None), (70, None)])
     sizes = (64, 512, 6)
-    stored, pool, _ = media.store(docs, sizes=sizes)
-    assert pool.count() > 3 and pool.select("chunk").distinct().count() == pool.count()
+    stored = media.store(docs.repartition(5), f"file://{tmp_path}/store", sizes=sizes)
+    assert {"documents", "media", "pool"} <= {x.name for x in (tmp_path / "store").iterdir()}
+    pool = {bytes(r["chunk"]) for r in stored.pool.collect()}
+    assert len(pool) > 3 and stored.pool.count() == len(pool)
+    own = 0
+    for r in stored.media.collect():
+        data = media.zstandard.ZstdDecompressor().decompress(bytes(r["own"])) if r["own"] else b""
+        assert len(data) == sum(n for n, c in zip(r["sizes"], r["chunks"], strict=True) if bytes(c) not in pool)
+        assert r["pooled"] == sum(bytes(c) in pool for c in r["chunks"])
+        own += len(data)
+    assert own < sum(len(t) for _, t in made) * 0.7  # the shared passage isn't among them
     rows = media.store_and_rebuild(docs, sizes=sizes).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(rows) == docs.count()
     for r in rows:
         assert r["payload_sha256"] == hashlib.sha256(media.payload_of(texts[r["doc_id"]])[0]).hexdigest()
 
 
+def test_damage_is_found(spark, tmp_path):
+    docs = docs_frame(spark, [(1, prose(1, 300)), (2, prose(2, 300))])
+    stored = media.store(docs, f"file://{tmp_path}/store")
+    other = media.zstandard.ZstdCompressor().compress(prose(3, 900).encode())
+    broken = stored._replace(media=stored.media.withColumn("own", F.lit(bytearray(other))))
+    with pytest.raises(Exception, match="damaged"):
+        media.rebuild(broken).collect()
+
+
 def test_cuts_follow_content():
     data = prose(1, 30000).encode()
     cuts = media.cut_points(data)
-    assert cuts[-1] == len(data) and all(2048 <= b - a <= 65536 for a, b in zip([0, *cuts], cuts[:-1], strict=False))
+    least, most, _ = media.SIZES
+    assert cuts[-1] == len(data) and all(least <= b - a <= most for a, b in zip([0, *cuts], cuts[:-1], strict=False))
     moved = media.cut_points(b"something in front " + data)
     assert len({c - 19 for c in moved} & set(cuts)) > len(cuts) // 2
     gear, h = media.gear_hash(b"abcdef" * 20), 0
