@@ -8,7 +8,7 @@ they come up.
 
 `encode_documents` adds the ids, `decode_documents` turns ids back into bytes,
 `round_trip` does both and returns digests.  Documents are handled where they
-are read: no shuffle; memory is bounded by an Arrow batch and a bounded cache.
+are read: no shuffle; memory is bounded by an Arrow batch and a cache of so many bytes.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; the id
 column may be null; repeated rows give repeated results; an empty table gives an
@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 
 from folioforge.llm.pretoken import LETTER, NUMBER, OTHER, SPACE, Splitter
 
-#: Encoded pre-tokens that a worker remembers, at about 200 bytes each; the cache starts anew when full.
-CACHE = 1 << 18
+#: Bytes of encoded pre-tokens that a worker remembers, about; the cache starts anew when full.
+CACHE = 96 << 20
+#: Bytes of an entry besides its pre-token and ids, and longest pre-token that is remembered.
+ENTRY, LONGEST = 240, 1 << 12
 #: Bits of one bitmap word are 2 to this power.
 SHIFT = 8
 MASK = (1 << SHIFT) - 1
@@ -101,7 +103,7 @@ class ByteBPE:
         ]
         self.splitter = Splitter(pattern, self._class)
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.most = cache
+        self.most, self.held = cache, 0
 
     def _class(self, char: str) -> str:
         return next((plain for e, plain in self._is if e.encode_ordinary(char)), OTHER)
@@ -146,11 +148,21 @@ class ByteBPE:
         out: list[int] = []
         cache = self.cache
         for pieces in self.splitter.lists(text):
-            if len(cache) >= self.most:
+            if self.held > self.most:
                 cache.clear()
+                self.held = 0
+            long: dict[str, tuple[int, ...]] = {}
             for piece in set(pieces).difference(cache):
-                cache[piece] = tuple(self.merge(piece.encode()))
-            out.extend(chain.from_iterable(map(cache.__getitem__, pieces)))
+                ids = tuple(self.merge(piece.encode()))
+                if len(piece) > LONGEST:
+                    long[piece] = ids
+                else:
+                    cache[piece] = ids
+                    self.held += ENTRY + 4 * len(piece) + 8 * len(ids)
+            if long:
+                out.extend(chain.from_iterable(long[p] if p in long else cache[p] for p in pieces))
+            else:
+                out.extend(chain.from_iterable(map(cache.__getitem__, pieces)))
         return out
 
     def decode(self, ids: Sequence[int]) -> bytes:

@@ -113,7 +113,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioforge.llm.byte_bpe import round_trip
 
     docs = table(spark, sf_dir, "documents")
-    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=1 << 20)
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=256 << 20)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

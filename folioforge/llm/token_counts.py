@@ -7,7 +7,7 @@ and again, stale entries are passed over, and every merge takes one from the
 count.  No identifier is emitted: the count is initial symbols minus merges.
 
 Documents are counted where they are read: no shuffle, and memory is bounded by
-one Arrow batch and a cache of `CACHE` pre-token counts for each worker.
+one Arrow batch and a cache of `CACHE_BYTES` of pre-token counts for each worker.
 
 Defined cases: a null or empty text counts 0 bytes and 0 tokens and isn't over
 any limit; a null id stays null; repeated rows give repeated results; an empty
@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame
 
 from folioforge.llm.pretoken import LETTER, NUMBER, OTHER, SPACE, Splitter
 
-#: Pre-token counts that a worker remembers; the cache starts anew when full.
-CACHE = 1 << 19
+#: Bytes of pre-token counts that a worker remembers, about; the cache starts anew when full.
+CACHE_BYTES = 96 << 20
+#: Bytes of an entry besides its pre-token, and longest pre-token that is remembered.
+ENTRY, LONGEST = 180, 1 << 12
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -61,6 +63,7 @@ class MergeCounter:
         self._pre = Tokenizer.from_file(path).pre_tokenizer
         self.splitter = Splitter(pattern, self._class)
         self.cache: dict[str, int] = {}
+        self.held = 0
 
     def _class(self, char: str) -> str:
         for plain in (LETTER, NUMBER, OTHER):
@@ -108,11 +111,21 @@ class MergeCounter:
     def _plain(self, text: str) -> int:
         total, cache = 0, self.cache
         for pieces in self.splitter.lists(text):
-            if len(cache) >= CACHE:
+            if self.held > CACHE_BYTES:
                 cache.clear()
+                self.held = 0
+            long: dict[str, int] = {}
             for piece in set(pieces).difference(cache):
-                cache[piece] = self.merged(piece.encode())
-            total += sum(map(cache.__getitem__, pieces))
+                n = self.merged(piece.encode())
+                if len(piece) > LONGEST:
+                    long[piece] = n
+                else:
+                    cache[piece] = n
+                    self.held += ENTRY + 4 * len(piece)
+            if long:
+                total += sum(long[p] if p in long else cache[p] for p in pieces)
+            else:
+                total += sum(map(cache.__getitem__, pieces))
         return total
 
     def count(self, text: str) -> int:

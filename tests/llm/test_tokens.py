@@ -7,6 +7,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from folioforge.llm import byte_bpe, token_counts
 from folioforge.llm.byte_bpe import RankQueue, codec, decode_documents, encode_documents, round_trip
 from folioforge.llm.token_counts import count_tokens, counter
 
@@ -70,3 +71,17 @@ def test_encode_then_decode(edge_docs):
     assert encoded.columns == ["doc_id", "ids", "n_tokens"]
     back = {r["doc_id"]: bytes(r["data"]) for r in decode_documents(encoded, RANKS, P.PATTERN).collect()}
     assert back == {i: (t or "").encode() for i, t in TEXTS}
+
+
+def test_caches_are_bounded_in_bytes(monkeypatch, library):
+    """A corpus of long pre-tokens, none of them twice, leaves little behind."""
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 1 << 20)
+    tokenizer, count = Tokenizer.from_file(JSON), token_counts.MergeCounter(JSON, P.PATTERN)
+    bpe = byte_bpe.ByteBPE(RANKS, P.PATTERN, 1 << 20)
+    r = random.Random(9)
+    for k in range(40):
+        text = " ".join("".join(r.choices("abcdefgh", k=r.choice((3, 900, 5000)))) for _ in range(60))
+        assert count.count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+        assert bpe.encode(text) == library.encode_ordinary(text)
+        for held in (count, bpe):
+            assert sum(len(x) for x in held.cache) < 2 << 20 and not any(len(x) > 4096 for x in held.cache)
