@@ -124,9 +124,9 @@ def test_verdicts_equal_brute_force(spark, mixed, broadcast):
     out = {r["doc_id"]: r for r in qc.classify(docs, trusted, upper=0.9, broadcast=broadcast).collect()}
     assert len(out) == len(rows)
     for i, t, x in rows:
-        assert math.isclose(out[i]["log_perplexity"], expected[i], rel_tol=1e-9) and out[i]["n_bytes"] == len((t or "").encode()), i
-        assert math.isclose(out[i]["threshold"], limits[judge(x)], rel_tol=1e-9)
-        assert out[i]["kept"] == (not t or expected[i] <= limits[judge(x)] + 1e-12), i
+        assert math.isclose(out[i]["log_perplexity"], expected[i], rel_tol=1e-6) and out[i]["n_bytes"] == len((t or "").encode()), i
+        assert math.isclose(out[i]["threshold"], limits[judge(x)], rel_tol=1e-6)
+        assert out[i]["kept"] == (not t or expected[i] <= limits[judge(x)] * (1 + 1e-6)), i
     kept = {r["doc_id"] for r in qc.keep_good(docs, trusted, upper=0.9, broadcast=broadcast).collect()}
     assert kept == {i for i in out if out[i]["kept"]} and 903 not in kept
 
