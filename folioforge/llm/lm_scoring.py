@@ -1,24 +1,34 @@
 """Language-model scoring with an Elias-Fano coded n-gram trie.
 
-Training text gives two levels: words with their counts, and for each word (the
-context) the words that followed it.  Word pairs are dealt to shards by a hash
-of the pair, so the followers of a frequent word spread over all shards.  In a
-shard, contexts and their pointers are monotone sequences; a follower is stored
-relative to its context's pointer, which makes all followers one monotone
-sequence too.  All three are Elias-Fano coded; beside the last lie the pairs'
-discounted probabilities, quantised to 16 bits on a log scale, and beside the
-words their back-off weights.  The levels are files in the shared folder, mapped
-into memory by the tasks that score, so a task touches only the pages it needs
-and no process holds the model.
-
-A pair's probability interpolates the discounted pair with the word's own
-additive estimate:  p(w|u) = max(c(u,w) - D, 0) / c(u) + D * n(u) / c(u) * p1(w),
-p1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)).  The context of a text's first word
-is the end token; after an unknown word p1 alone counts.
-
-What moves between tasks are packed arrays, pre-aggregated for each partition of
-the input.  Files are written under another name and then renamed, so a task
-that is run again replaces its file by the same bytes.
+Training text gives one level for each order: words, and for each n-gram (the
+context) the words that followed it.  Words are dealt to shards by hash.  Longer
+n-grams are dealt by a hash of their first two words, so a word's followers
+spread over all shards, and a context's node and its followers are in one shard
+at every order.
+
+The word level of a shard is the monotone sequence of its words' hashes.  In the
+levels above, a follower is stored relative to its context's pointer, which makes
+all followers of a level one monotone sequence; contexts' pointers are another.
+All are Elias-Fano coded; beside them lie the n-grams' discounted probabilities
+and their back-off weights, quantised on a log scale.  A shard's levels are one
+file in the shared folder, mapped into memory by the tasks that score, so a task
+touches only the pages it needs.  Where the folder isn't mounted, a process holds
+at most `HELD` bytes of shards, those it used last.
+
+A probability interpolates the discounted n-gram with the next shorter one, down
+to the word's own additive estimate:
+
+    p(w|h) = max(c(h,w) - D, 0) / c(h) + D * n(h) / c(h) * p(w|h'),
+    p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)),
+
+with h' the context without its first word, c(h) the followers of h and n(h) the
+different ones.  A context that was never followed is passed over.  Texts are
+preceded by one end token and never reach into the text before.
+
+There is a shard for each `SHARD` bytes of training text, whatever their number;
+a task builds one shard at a time, from packed arrays that are pre-aggregated for
+each partition of the input.  Files are written under another name and then
+renamed, so a task that is run again replaces its file by the same bytes.
 
 Defined cases: a null or empty text is one end token; a null id counts as the
 empty text in the split and is held out; repeated rows are counted and scored
@@ -29,12 +39,14 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,24 +54,32 @@ from folioforge.llm.common import shared_dir
 from folioforge.llm.elias_fano import EliasFano
 from folioforge.llm.words import blocks, mix, word_hashes
 
+#: Order of the model, in words.
+ORDER = 3
 ADD = 0.1
 DISCOUNT = 0.75
+#: Bytes of training text for each shard.
+SHARD = 32 << 20
 #: The end token, as a word hash.
 END = np.uint64(0x454E44_0F_7E87)
-#: Quantised log10 values lie in [-FLOOR, 0].
-FLOOR, LEVELS = 12.0, (1 << 16) - 1
-#: Distinct pairs that a task gathers before it sends them on.
-PAIRS = 6_000_000
+#: Quantised log10 values lie in [-FLOOR, 0]: on 16 bits, and on 8 for the highest order.
+FLOOR, FINE, COARSE = 8.0, (1 << 16) - 1, (1 << 8) - 1
+#: Tokens that a task gathers before it sends them on.
+GATHER = 4_000_000
+#: Bytes of shards that a process holds where they can't be mapped, and shards that it keeps mapped.
+HELD, MAPPED = 256 << 20, 1 << 14
 
 U = np.uint64
+LOW = U(0xFFFFFFFF)
 
 
-def _code(log10: np.ndarray) -> np.ndarray:
-    return np.rint(np.clip(-log10 / FLOOR, 0, 1) * LEVELS).astype(np.uint16)
+def _code(p: np.ndarray, levels: int) -> np.ndarray:
+    logs = -np.log10(np.maximum(p, 1e-300))
+    return np.rint(np.clip(logs / FLOOR, 0, 1) * levels).astype(np.uint8 if levels == COARSE else np.uint16)
 
 
 def _decode(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code.astype(np.float64) * (-FLOOR / LEVELS))
+    return 10.0 ** (code.astype(np.float64) * (-FLOOR / (COARSE if code.dtype == np.uint8 else FINE)))
 
 
 # -- files in the shared folder ------------------------------------------------
@@ -89,10 +109,12 @@ def write_level(uri: str, arrays: list[np.ndarray]) -> None:
 
 
 def open_level(uri: str) -> list[np.ndarray]:
-    """The arrays of a level: mapped if the shared folder is mounted, else read into memory."""
+    """The arrays of a file: mapped if the shared folder is mounted, else read into memory; none if a shard has no file."""
     import pyarrow.fs as fs
 
     system, path = _place(uri)
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return []
     if isinstance(system, fs.LocalFileSystem):
         raw = np.memmap(path, np.uint8, "r")
     else:
@@ -116,82 +138,155 @@ class Model(NamedTuple):
     #: First word id of each word shard, and the number of words at the end.
     bases: tuple[int, ...]
     tokens: int
+    order: int
 
     @property
     def words(self) -> int:
         return self.bases[-1]
 
 
+class _Opened:
+    """Files by name: mapped ones as they come, held ones within `HELD` bytes, those used last."""
+
+    def __init__(self) -> None:
+        self.files: OrderedDict[str, list[np.ndarray]] = OrderedDict()
+        self.held = 0
+
+    def __call__(self, uri: str) -> list[np.ndarray]:
+        arrays = self.files.get(uri)
+        if arrays is None:
+            arrays = self.files[uri] = open_level(uri)
+            self.held += self._size(arrays)
+            while len(self.files) > MAPPED or (self.held > HELD and len(self.files) > 1):
+                _, old = self.files.popitem(last=False)
+                self.held -= self._size(old)
+        else:
+            self.files.move_to_end(uri)
+        return arrays
+
+    @staticmethod
+    def _size(arrays: list[np.ndarray]) -> int:
+        return sum(x.nbytes for x in arrays if not isinstance(x, np.memmap))
+
+
+def _word_shift(shards: int) -> int:
+    return 64 - (shards.bit_length() - 1)
+
+
+def _stretches(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Shards met and the stretch of each in an array that has them in order."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]).tolist()
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield int(shard[a]), a, b
+
+
 class Words:
     """The first level: every word's hash, count and back-off weight, in shards by hash."""
 
-    def __init__(self, model: Model, *, weights: bool) -> None:
-        self.shift = U(64 - (model.shards.bit_length() - 1))
+    def __init__(self, model: Model, opened: _Opened, *, weights: bool) -> None:
+        self.model, self.opened, self.weights = model, opened, weights
+        self.shift = _word_shift(model.shards)
         self.bases = np.array(model.bases, np.int64)
-        self.parts = [open_level(f"{model.folder}/words/{s}") if b > a else None for s, (a, b) in enumerate(zip(model.bases, model.bases[1:], strict=False))]
-        self.weights = [open_level(f"{model.folder}/weights/{s}")[0] if weights and p else None for s, p in enumerate(self.parts)]
 
-    def _split(self, ordered: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Shards met and the stretch of the ordered hashes in each."""
-        shard = (ordered >> self.shift).astype(np.int64) if self.shift < 64 else np.zeros(len(ordered), np.int64)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(ordered)]])
-        for a, b in zip(edges, edges[1:], strict=False):
-            if b > a:
-                yield int(shard[a]), int(a), int(b)
+    def part(self, shard: int) -> tuple[EliasFano, np.ndarray]:
+        arrays = self.opened(f"{self.model.folder}/words/{shard}")
+        return EliasFano.of(*arrays[:4]), arrays[4]
 
     def find(self, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids (-1: unknown), counts and back-off weights of hashes in ascending order."""
         ids, counts, weights = np.full(len(ordered), -1, np.int64), np.zeros(len(ordered), np.int64), np.ones(len(ordered))
-        for shard, a, b in self._split(ordered):
-            part = self.parts[shard]
-            if part is None:
+        for shard, a, b in _stretches(_word_shard(ordered, self.model.shards)):
+            if self.bases[shard] == self.bases[shard + 1]:
                 continue
-            hashes, own = part
-            at = np.minimum(np.searchsorted(hashes, ordered[a:b]), len(hashes) - 1)
-            hit = np.flatnonzero(hashes[at] == ordered[a:b])
+            hashes, own = self.part(shard)
+            at = hashes.find(_within(ordered[a:b], self.shift))
+            hit = np.flatnonzero(at >= 0)
             ids[a + hit] = at[hit] + self.bases[shard]
             counts[a + hit] = own[at[hit]]
-            if self.weights[shard] is not None:
-                weights[a + hit] = _decode(self.weights[shard][at[hit]])
+            if self.weights:
+                weights[a + hit] = _decode(self.opened(f"{self.model.folder}/weights/{shard}")[0][at[hit]])
         return ids, counts, weights
 
+    def totals(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of word ids in ascending order."""
+        out = np.zeros(len(ids), np.int64)
+        for shard, a, b in _stretches(np.searchsorted(self.bases, ids, "right") - 1):
+            out[a:b] = self.part(shard)[1][ids[a:b] - self.bases[shard]]
+        return out
+
+
+def _word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    shift = _word_shift(shards)
+    return (hashes >> U(shift)).astype(np.int64) if shift < 64 else np.zeros(len(hashes), np.int64)
+
 
-class Followers:
-    """The second level: quantised probabilities of word pairs, in shards by pair hash."""
+def _within(hashes: np.ndarray, shift: int) -> np.ndarray:
+    return hashes & U((1 << shift) - 1)
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.parts: dict[int, tuple] = {}
 
-    def _part(self, shard: int) -> tuple:
-        part = self.parts.get(shard)
-        if part is None:
-            a = open_level(f"{self.model.folder}/pairs/{shard}")
-            part = self.parts[shard] = (*(EliasFano.of(*a[k : k + 4]) for k in (0, 4, 8)), a[12])
-        return part
+class Level:
+    """One order of a shard: pointers of contexts, followers, their codes, and their weights as contexts."""
 
-    def find(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Discounted probability of each pair of ids, 0 where it was never met."""
-        out = np.zeros(len(u))
+    #: Arrays of a level in its file.
+    ARRAYS = 10
+
+    def __init__(self, arrays: list[np.ndarray]) -> None:
+        self.pointers, self.followers = EliasFano.of(*arrays[:4]), EliasFano.of(*arrays[4:8])
+        self.codes, self.weights = arrays[8], arrays[9]
+
+    def successors(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of each word among the followers of its context, -1 where it never followed."""
+        start, end = self.pointers.get(context), self.pointers.get(context + 1)
+        target = start + word.astype(U)
+        # a successor beyond the next context's pointer belongs to that context
+        inside = np.flatnonzero(target < end)
+        out = np.full(len(context), -1, np.int64)
+        out[inside] = self.followers.find(target[inside])
+        return out
+
+
+class Grams:
+    """The levels from the second on, in shards by the first two words."""
+
+    def __init__(self, model: Model, opened: _Opened) -> None:
+        self.model, self.opened = model, opened
+
+    def _levels(self, shard: int) -> list[np.ndarray]:
+        return self.opened(f"{self.model.folder}/grams/{shard}")
+
+    def pairs(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Shard, node (-1: never met), probability and weight as a context of each pair of ids."""
         shard = pair_shard(u, w, self.model.shards)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
-        for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            if b == a:
+        node, p, weight = np.full(len(u), -1, np.int64), np.zeros(len(u)), np.ones(len(u))
+        order = np.argsort(shard.astype(np.uint32), kind="stable")
+        for s, a, b in _stretches(shard[order]):
+            arrays, rows = self._levels(s), order[a:b]
+            if not arrays:
                 continue
-            contexts, pointers, followers, codes = self._part(s)
-            rows = order[a:b]
-            place = contexts.find(u[rows].astype(U))
-            known = np.flatnonzero(place >= 0)
-            rows, place = rows[known], place[known]
-            start, end = pointers.get(place), pointers.get(place + 1)
-            target = start + w[rows].astype(U)
-            # a successor beyond the next context's pointer belongs to that context
-            inside = np.flatnonzero(target < end)
-            found = followers.find(target[inside])
-            hit = found >= 0
-            out[rows[inside[hit]]] = _decode(codes[found[hit]])
-        return out
+            context = EliasFano.of(*arrays[:4]).find(u[rows].astype(U))
+            rows, context = rows[context >= 0], context[context >= 0]
+            level = Level(arrays[4 : 4 + Level.ARRAYS])
+            found = level.successors(context, w[rows])
+            rows, found = rows[found >= 0], found[found >= 0]
+            node[rows], p[rows] = found, _decode(level.codes[found])
+            if len(level.weights):
+                weight[rows] = _decode(level.weights[found])
+        return shard, node, p, weight
+
+    def longer(self, k: int, shard: np.ndarray, context: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Node, probability and weight at order k of words after contexts (nodes of order k - 1 in their shards)."""
+        node, p, weight = np.full(len(w), -1, np.int64), np.zeros(len(w)), np.ones(len(w))
+        order = np.argsort(shard.astype(np.uint32), kind="stable")
+        for s, a, b in _stretches(shard[order]):
+            rows, at = order[a:b], 4 + Level.ARRAYS * (k - 2)
+            level = Level(self._levels(s)[at : at + Level.ARRAYS])
+            found = level.successors(context[rows], w[rows])
+            rows, found = rows[found >= 0], found[found >= 0]
+            node[rows], p[rows] = found, _decode(level.codes[found])
+            if len(level.weights):
+                weight[rows] = _decode(level.weights[found])
+        return node, p, weight
 
 
 def pair_shard(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
@@ -199,36 +294,27 @@ def pair_shard(u: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
     return (h >> U(32)).astype(np.int64) & (shards - 1)
 
 
-def _counted(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the parallel arrays `keys` in order, with their counts added up."""
-    if not len(counts):
+def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with their counts added up."""
+    if not len(keys):
         return keys, counts
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    keys = [k[order] for k in keys]
-    first = np.zeros(len(counts), bool)
-    first[0] = True
-    for k in keys:
-        first[1:] |= k[1:] != k[:-1]
-    at = np.flatnonzero(first)
-    return [k[at] for k in keys], np.add.reduceat(counts[order], at)
-
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(counts[order], at)
 
-def _pairs(u: np.ndarray, w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if len(u) and max(int(u.max()), int(w.max())) < 1 << 32:
-        (key,), counts = _counted([u.astype(U) << U(32) | w.astype(U)], counts)
-        return (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64), counts
-    (u, w), counts = _counted([u, w], counts)
-    return u, w, counts
 
+def _packed(a: np.ndarray) -> bytes:
+    """Non-negative numbers as compressed planes of bytes, in 4 bytes each if they fit, else in 8."""
+    width = 8 if len(a) and int(a.max()) >= 1 << 32 else 4
+    planes = np.ascontiguousarray(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-def _small(a: np.ndarray) -> bytes:
-    """Non-negative numbers in 4 bytes if they fit, else in 8, behind one byte that says which."""
-    wide = len(a) and int(a.max()) >= 1 << 32
-    return (b"8" + a.astype("<u8").tobytes()) if wide else (b"4" + a.astype("<u4").tobytes())
 
-
-def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u8" if data[:1] == b"8" else "<u4", offset=1).astype(np.int64)
+def _unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}").astype(np.int64)
 
 
 def token_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -242,139 +328,207 @@ def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield from blocks(batch.column(0))
 
 
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bytes, ...]]]]:
+    """Each shard of a task with its rows of packed arrays; a task has one shard unless partitions were merged."""
+    rows: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
+    for batch in batches:
+        for shard, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows[shard].append(tuple(packed))
+    while rows:
+        yield rows.popitem()
+
+
 # -- training -------------------------------------------------------------------
 
 
-def train(texts: DataFrame, *, text_col: str = "text", folder: str | None = None, shards: int | None = None) -> Model:
+def _windows(ids: np.ndarray, sizes: np.ndarray, end: int, order: int, none: int) -> list[np.ndarray]:
+    """For each token the one before it (the end token for a text's first), itself and what follows it (`none` after the end)."""
+    after = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes) - np.repeat(sizes, sizes)  # -1 at the end token
+    columns = [_contexts(ids, sizes, end), ids]
+    for k in range(1, order - 1):
+        column = np.full(len(ids), none, np.int64)
+        column[: len(ids) - k] = ids[k:]
+        column[after + k >= 0] = none
+        columns.append(column)
+    return columns
+
+
+def _distinct(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct windows in order, with their counts added up."""
+    if not len(counts):
+        return columns, counts
+    group = columns[0].astype(U)
+    if int(columns[0].max()) >= 1 << 32:
+        group = np.unique(group, return_inverse=True)[1].astype(U)
+    for k, column in enumerate(columns[1:], 1):
+        if int(column.max()) >= 1 << 32:
+            column = np.unique(column, return_inverse=True)[1]
+        key = group << U(32) | column.astype(U)
+        if k < len(columns) - 1:
+            group = np.unique(key, return_inverse=True)[1].astype(U)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return [c[order[at]] for c in columns], np.add.reduceat(counts[order], at)
+
+
+def _levels(columns: list[np.ndarray], counts: np.ndarray, none: int, totals, words: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The arrays of a shard's file from its distinct windows in order; also its contexts of order 1 and their numbers of followers.
+
+    `totals` gives the counts of word ids.
+    """
+    contexts, parent = np.unique(columns[0], return_inverse=True)
+    total = totals(contexts).astype(np.float64)
+    arrays = EliasFano.encode(contexts, words).arrays()
+    degrees_1 = None
+    for k in range(1, len(columns)):
+        word = columns[k]
+        rows = np.flatnonzero(word != none)
+        parent, word, counts, columns = parent[rows], word[rows], counts[rows], [c[rows] for c in columns]
+        first = np.flatnonzero(np.concatenate([[True], (parent[1:] != parent[:-1]) | (word[1:] != word[:-1])])) if len(rows) else np.zeros(0, np.int64)
+        node = np.zeros(len(rows), np.int64)
+        node[first[1:]] = 1
+        node = np.cumsum(node)
+        own, w = parent[first], word[first]
+        c = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
+        if total is None:  # contexts of order 2 and more: how often anything followed them
+            total = np.bincount(own, c, parents)
+        degrees = np.bincount(own, minlength=len(total))
+        if k == 1:
+            degrees_1 = degrees
+        else:
+            # the level below gets its weights: a context that nothing followed is passed over
+            arrays[-1] = _code(np.where(total > 0, DISCOUNT * degrees / np.maximum(total, 1), 1.0), FINE)
+        widths = np.zeros(len(total), np.int64)
+        last = np.flatnonzero(np.append(own[1:] != own[:-1], True)) if len(own) else np.zeros(0, np.int64)
+        widths[own[last]] = w[last] + 1  # the words of a context ascend
+        pointers = np.concatenate([[0], np.cumsum(widths)])
+        top = int(pointers[-1]) + 1
+        levels = COARSE if k == len(columns) - 1 else FINE
+        codes = _code((c - DISCOUNT) / total[own], levels)
+        arrays += [*EliasFano.encode(pointers, top).arrays(), *EliasFano.encode(pointers[own] + w, top).arrays(), codes, np.zeros(0, np.uint16)]
+        parent, parents, total = node, len(own), None
+    return arrays, contexts, degrees_1
+
+
+def train(texts: DataFrame, *, text_col: str = "text", folder: str | None = None, shards: int | None = None, order: int = ORDER) -> Model:
     """Count `texts` and write the trie; its files stay in `folder` in the shared storage."""
     spark = texts.sparkSession
     folder = folder or shared_dir(spark)
-    shards = shards or 1 << (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     rows = texts.select(texts[text_col].alias("text"))
-    shift = 64 - (shards.bit_length() - 1)
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        shards = 1 << max(3, (size // SHARD).bit_length())
+    shift = _word_shift(shards)
 
     def words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [np.zeros(0, U)], np.zeros(0, np.int64)
+        keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
         waiting: list[np.ndarray] = []
         size = 0
 
-        def merged() -> tuple[list[np.ndarray], np.ndarray]:
+        def sent() -> pa.RecordBatch:
+            edges = np.searchsorted(_word_shard(keys, shards), np.arange(shards + 1))
+            found = [(s, keys[a:b].astype("<u8").tobytes(), _packed(counts[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+            return _batch(found, ["shard", "words", "counts"])
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
             new = np.concatenate([*waiting, np.zeros(0, U)])
-            return _counted([np.concatenate([keys[0], new])], np.concatenate([counts, np.ones(len(new), np.int64)]))
+            return _counted(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
 
         for texts in _text_blocks(batches):
             hashes = token_stream(texts)[0]
             waiting.append(hashes)
             size += len(hashes)
-            if size > PAIRS:
-                (keys, counts), waiting, size = merged(), [], 0
+            if size > GATHER:
+                keys, counts = merged()
+                waiting, size = [], 0
+                if len(keys) > GATHER:
+                    yield sent()
+                    keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
         keys, counts = merged()
-        shard = (keys[0] >> U(shift)).astype(np.int64) if shift < 64 else np.zeros(len(counts), np.int64)
-        edges = np.searchsorted(shard, np.arange(shards + 1))
-        found = [(s, keys[0][a:b].astype("<u8").tobytes(), _small(counts[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-        yield _batch(found, ["shard", "words", "counts"])
-
-    def words_in(key: tuple, table: pa.Table) -> pa.Table:
-        hashes = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("words")])
-        counts = np.concatenate([_wide(x.as_py()) for x in table.column("counts")])
-        (hashes,), counts = _counted([hashes], counts)
-        shard = key[0].as_py()
-        write_level(f"{folder}/words/{shard}", [hashes, counts])
-        return pa.table({"shard": pa.array([shard], pa.int32()), "words": pa.array([len(hashes)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
-
-    sent = rows.mapInArrow(words_out, "shard int, words binary, counts binary")
-    sizes = {r["shard"]: r for r in sent.groupBy("shard").applyInArrow(words_in, "shard int, words long, tokens long").collect()}
+        yield sent()
+
+    def words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, parts in _by_shard(batches):
+            hashes = np.concatenate([np.frombuffer(x, "<u8") for x, _ in parts])
+            hashes, counts = _counted(hashes, np.concatenate([_unpacked(x) for _, x in parts]))
+            wide = len(counts) and int(counts.max()) >= 1 << 32
+            write_level(f"{folder}/words/{shard}", [*EliasFano.encode(_within(hashes, shift), 1 << shift).arrays(), counts.astype(np.uint64 if wide else np.uint32)])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(hashes)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["shard", "words", "tokens"])
+
+    sent = rows.mapInArrow(words_out, "shard int, words binary, counts binary").repartitionById(shards, F.col("shard"))
+    sizes = {r["shard"]: r for r in sent.mapInArrow(words_in, "shard int, words long, tokens long").collect()}
     bases = [0]
     for s in range(shards):
         bases.append(bases[-1] + (sizes[s]["words"] if s in sizes else 0))
-    model = Model(folder, shards, tuple(bases), sum(r["tokens"] for r in sizes.values()))
+    model = Model(folder, shards, tuple(bases), sum(r["tokens"] for r in sizes.values()), order)
     if not model.words:
         return model
+    none = model.words
+    names = ["contexts", "seconds", *(f"w{k}" for k in range(2, order)), "counts"]
+    packed = ", ".join(f"{n} binary" for n in names)
 
-    def pairs_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(model)
-        us, ws = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        end = int(words.find(np.array([END]))[0][0])
+        waiting: list[list[np.ndarray]] = []
         size = 0
 
         def sent() -> pa.RecordBatch:
-            u, w = np.concatenate(us), np.concatenate(ws)
-            u, w, counts = _pairs(u, w, np.ones(len(u), np.int64))
-            shard = pair_shard(u, w, shards)
-            order = np.argsort(shard, kind="stable")
-            u, w, counts = u[order], w[order], counts[order]
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            columns, counts = _distinct(columns, np.ones(len(columns[0]), np.int64))
+            shard = pair_shard(columns[0], columns[1], shards)
+            order_ = np.argsort(shard.astype(np.uint32), kind="stable")
+            columns, counts = [c[order_] for c in columns], counts[order_]
             found = []
-            for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                if b > a:
-                    first = np.flatnonzero(np.concatenate([[True], np.diff(u[a:b]) != 0]))
-                    found.append((s, _small(u[a:b][first]), _small(np.diff(np.append(first, b - a))), _small(w[a:b]), _small(counts[a:b])))
-            return _batch(found, ["shard", "contexts", "degrees", "followers", "counts"])
+            for s, a, b in _stretches(shard[order_]):
+                first = np.diff(columns[0][a:b], prepend=0)  # ascending within a shard
+                found.append((s, _packed(first), *(_packed(c[a:b]) for c in columns[1:]), _packed(counts[a:b])))
+            return _batch(found, ["shard", *names])
 
         for texts in _text_blocks(batches):
             hashes, sizes = token_stream(texts)
             distinct, inverse = np.unique(hashes, return_inverse=True)
-            ids = words.find(distinct)[0][inverse]
-            us.append(_contexts(ids, sizes, int(words.find(np.array([END]))[0][0])))
-            ws.append(ids)
-            size += len(ids)
-            if size > PAIRS:
+            waiting.append(_windows(words.find(distinct)[0][inverse], sizes, end, order, none))
+            size += len(hashes)
+            if size > GATHER:
                 yield sent()
-                us, ws, size = [], [], 0
+                waiting, size = [], 0
         if size:
             yield sent()
 
-    def pairs_in(key: tuple, table: pa.Table) -> pa.Table:
-        u = np.concatenate([np.repeat(_wide(a.as_py()), _wide(b.as_py())) for a, b in zip(table.column("contexts"), table.column("degrees"), strict=True)])
-        w = np.concatenate([_wide(x.as_py()) for x in table.column("followers")])
-        counts = np.concatenate([_wide(x.as_py()) for x in table.column("counts")])
-        u, w, counts = _pairs(u, w, counts)
-        shard = key[0].as_py()
-        first = np.flatnonzero(np.concatenate([[True], np.diff(u) != 0]))
-        degrees = np.diff(np.append(first, len(u)))
-        contexts = u[first]
-        widths = w[np.append(first[1:], len(u)) - 1] + 1
-        pointers = np.concatenate([[0], np.cumsum(widths)])
-        followers = np.repeat(pointers[:-1], degrees) + w
-        totals = _totals(_words(model), contexts)
-        codes = _code(np.log10(np.maximum(counts - DISCOUNT, 1e-9) / np.repeat(totals, degrees)))
-        levels = [EliasFano.encode(contexts, model.words), EliasFano.encode(pointers, int(pointers[-1]) + 1), EliasFano.encode(followers, int(pointers[-1]) + 1)]
-        write_level(f"{folder}/pairs/{shard}", [a for level in levels for a in level.arrays()] + [codes])
-        # each context's number of followers, to the shard of the word
-        owner = np.searchsorted(np.array(model.bases), contexts, "right") - 1
-        edges = np.searchsorted(owner, np.arange(shards + 1))
-        out = [(s, _small(contexts[a:b]), _small(degrees[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-        return pa.Table.from_batches([_batch(out, ["shard", "contexts", "degrees"])])
-
-    def weights_in(key: tuple, table: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        base, end = model.bases[shard], model.bases[shard + 1]
-        degrees = np.zeros(end - base, np.int64)
-        for a, b in zip(table.column("contexts"), table.column("degrees"), strict=True):
-            degrees[_wide(a.as_py()) - base] += _wide(b.as_py())
-        counts = open_level(f"{folder}/words/{shard}")[1]
-        write_level(f"{folder}/weights/{shard}", [_code(np.log10(np.maximum(DISCOUNT * degrees, 1e-12) / counts))])
-        return pa.table({"shard": pa.array([shard], pa.int32())})
-
-    met = rows.mapInArrow(pairs_out, "shard int, contexts binary, degrees binary, followers binary, counts binary")
-    degrees = met.groupBy("shard").applyInArrow(pairs_in, "shard int, contexts binary, degrees binary")
-    degrees.groupBy("shard").applyInArrow(weights_in, "shard int").collect()
+    def grams_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _words(model)
+        for shard, parts in _by_shard(batches):
+            columns = [np.concatenate([np.cumsum(_unpacked(p[0])) for p in parts])] + [np.concatenate([_unpacked(p[k]) for p in parts]) for k in range(1, order)]
+            columns, counts = _distinct(columns, np.concatenate([_unpacked(p[-1]) for p in parts]))
+            arrays, contexts, degrees = _levels(columns, counts, none, words.totals, model.words)
+            write_level(f"{folder}/grams/{shard}", arrays)
+            # each context's number of followers, to the shard of the word
+            owner = np.searchsorted(words.bases, contexts, "right") - 1
+            yield _batch([(s, _packed(contexts[a:b]), _packed(degrees[a:b])) for s, a, b in _stretches(owner)], ["shard", "contexts", "degrees"])
+
+    def weights_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _words(model)
+        for shard, parts in _by_shard(batches):
+            base, end = model.bases[shard], model.bases[shard + 1]
+            degrees = np.zeros(end - base, np.int64)
+            for contexts, numbers in parts:
+                degrees[_unpacked(contexts) - base] += _unpacked(numbers)
+            counts = words.part(shard)[1]
+            write_level(f"{folder}/weights/{shard}", [_code(DISCOUNT * degrees / np.maximum(counts, 1), FINE)])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
+
+    met = rows.mapInArrow(grams_out, f"shard int, {packed}").repartitionById(shards, F.col("shard"))
+    degrees = met.mapInArrow(grams_in, "shard int, contexts binary, degrees binary").repartitionById(shards, F.col("shard"))
+    degrees.mapInArrow(weights_in, "shard int").collect()
     return model
 
 
 @lru_cache(maxsize=1)
 def _words(model: Model) -> Words:
     """Opened once by each worker while a model is trained."""
-    return Words(model, weights=False)
-
-
-def _totals(words: Words, ids: np.ndarray) -> np.ndarray:
-    """Counts of word ids in ascending order."""
-    out = np.zeros(len(ids), np.int64)
-    edges = np.searchsorted(ids, words.bases)
-    for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        if b > a:
-            out[a:b] = words.parts[s][1][ids[a:b] - words.bases[s]]
-    return out
+    return Words(model, _Opened(), weights=False)
 
 
 def _contexts(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
@@ -394,38 +548,76 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 @lru_cache(maxsize=1)
-def _opened(model: Model) -> tuple[Words, Followers]:
-    return Words(model, weights=True), Followers(model)
+def _opened(model: Model) -> tuple[Words, Grams]:
+    opened = _Opened()
+    return Words(model, opened, weights=True), Grams(model, opened)
+
+
+def _shifted(a: np.ndarray, by: int, fill) -> np.ndarray:
+    out = np.full_like(a, fill)
+    out[by:] = a[: len(a) - by]
+    return out
+
+
+def _interpolated(model: Model, ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray, end: int, end_weight: float, p: np.ndarray) -> np.ndarray:
+    """Probability of each token after those before it in its text, from `p`, the words' own."""
+    _, grams = _opened(model)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    before, weight = _contexts(ids, sizes, end), _contexts(weights, sizes, end_weight)
+    # pairs: each different one is looked up once
+    both = np.flatnonzero((before >= 0) & (ids >= 0))
+    shard, node, found, after = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64), np.zeros(len(ids)), np.ones(len(ids))
+    if len(both):
+        if model.words < 1 << 32:
+            key, inverse = np.unique(before[both].astype(U) << U(32) | ids[both].astype(U), return_inverse=True)
+            u, w = (key >> U(32)).astype(np.int64), (key & LOW).astype(np.int64)
+        else:
+            key, inverse = np.unique(np.stack([before[both], ids[both]]), axis=1, return_inverse=True)
+            u, w = key
+        for out, values in zip((shard, node, found, after), grams.pairs(u, w), strict=True):
+            out[both] = values[inverse]
+    p = np.where(before >= 0, found + weight * p, p)
+    for k in range(3, model.order + 1):
+        # the context of order k - 1 ended at the token before, in the same text
+        context, home, weight = _shifted(node, 1, -1), _shifted(shard, 1, 0), _shifted(after, 1, 1.0)
+        seen = (context >= 0) & (place >= k - 2)
+        rows = np.flatnonzero(seen & (ids >= 0))
+        shard, node, found, after = home, np.full(len(ids), -1, np.int64), np.zeros(len(ids)), np.ones(len(ids))
+        node[rows], found[rows], after[rows] = grams.longer(k, home[rows], context[rows], ids[rows])
+        p = np.where(seen, found + weight * p, p)
+    return p
 
 
 def _scored(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Tokens, known tokens, log10 probability under p1 alone and under the trie of each text."""
+    """Tokens, known tokens, log10 probability under the words alone and under the trie of each text."""
     hashes, sizes = token_stream(texts)
     starts = np.cumsum(sizes) - sizes
     total = model.tokens + ADD * (model.words + 1)
-    if model.words:
-        words, followers = _opened(model)
-        distinct, inverse = np.unique(hashes, return_inverse=True)
-        ids, counts, weights = (x[inverse] for x in words.find(distinct))
-    else:
-        ids, counts, weights = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.ones(len(hashes))
-    single = (counts + ADD) / total
-    known = counts > 0
-    p = single.copy()
-    if model.words:
-        end = np.flatnonzero(hashes == END)
-        before = _contexts(ids, sizes, int(ids[end[0]]))
-        weight = _contexts(weights, sizes, weights[end[0]])
-        both = np.flatnonzero((before >= 0) & known)
-        u, w = before[both], ids[both]
-        order = np.lexsort((w, u))
-        fresh = np.concatenate([[True], (np.diff(u[order]) != 0) | (np.diff(w[order]) != 0)]) if len(order) else np.zeros(0, bool)
-        found = followers.find(u[order][fresh], w[order][fresh])
-        pair = np.zeros(len(hashes))
-        pair[both[order]] = found[np.cumsum(fresh) - 1]
-        p = np.where(before >= 0, pair + weight * single, single)
     add = lambda x: np.add.reduceat(x, starts)
-    return sizes, add(known.astype(np.int64)), add(np.log10(single)), add(np.log10(p))
+    if not model.words:
+        single = np.full(len(hashes), ADD / total)
+        return sizes, add(np.zeros(len(hashes), np.int64)), add(np.log10(single)), add(np.log10(single))
+    distinct, inverse = np.unique(hashes, return_inverse=True)
+    known = _opened(model)[0].find(distinct)
+    ids, counts, weights = (x[inverse] for x in known)
+    at = int(np.searchsorted(distinct, END))
+    single = (counts + ADD) / total
+    p = _interpolated(model, ids, sizes, weights, int(known[0][at]), float(known[2][at]), single)
+    return sizes, add((counts > 0).astype(np.int64)), add(np.log10(single)), add(np.log10(p))
+
+
+def _gathered(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[list[bytes]]:
+    """The texts of a batch in lists of about `most` bytes, so that a shard's pages are visited for many at once."""
+    block: list[bytes] = []
+    size = 0
+    for texts in blocks(batch.column(0)):
+        block += texts
+        size += sum(map(len, texts))
+        if size > most:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
@@ -435,7 +627,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_scored(model, texts) for texts in blocks(batch.column(0))]
+            parts = [_scored(model, texts) for texts in _gathered(batch)]
             n_tokens, n_known, base, full = (np.concatenate(x) if x else np.zeros(0) for x in (zip(*parts, strict=True) if parts else ((), (), (), ())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([model.tokens] * len(n_tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())],
