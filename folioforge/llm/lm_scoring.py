@@ -59,13 +59,13 @@ ORDER = 3
 ADD = 0.1
 DISCOUNT = 0.75
 #: Bytes of training text for each shard.
-SHARD = 32 << 20
+SHARD = 24 << 20
 #: The end token, as a word hash.
 END = np.uint64(0x454E44_0F_7E87)
 #: Quantised log10 values lie in [-FLOOR, 0]: on 16 bits, and on 8 for the highest order.
 FLOOR, FINE, COARSE = 8.0, (1 << 16) - 1, (1 << 8) - 1
 #: Tokens that a task gathers before it sends them on.
-GATHER = 4_000_000
+GATHER = 2_500_000
 #: Bytes of shards that a process holds where they can't be mapped, and shards that it keeps mapped.
 HELD, MAPPED = 256 << 20, 1 << 14
 
@@ -277,7 +277,8 @@ class Grams:
     def longer(self, k: int, shard: np.ndarray, context: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Node, probability and weight at order k of words after contexts (nodes of order k - 1 in their shards)."""
         node, p, weight = np.full(len(w), -1, np.int64), np.zeros(len(w)), np.ones(len(w))
-        order = np.argsort(shard.astype(np.uint32), kind="stable")
+        # in order of their contexts, so that a level is read from one end to the other
+        order = np.argsort(shard << 40 | context)
         for s, a, b in _stretches(shard[order]):
             rows, at = order[a:b], 4 + Level.ARRAYS * (k - 2)
             level = Level(self._levels(s)[at : at + Level.ARRAYS])
@@ -606,7 +607,7 @@ def _scored(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return sizes, add((counts > 0).astype(np.int64)), add(np.log10(single)), add(np.log10(p))
 
 
-def _gathered(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[list[bytes]]:
+def _gathered(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[list[bytes]]:
     """The texts of a batch in lists of about `most` bytes, so that a shard's pages are visited for many at once."""
     block: list[bytes] = []
     size = 0
