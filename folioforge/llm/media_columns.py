@@ -127,65 +127,61 @@ class _Met:
         return False
 
 
-def chunk_lists(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, int, int] = SIZES) -> DataFrame:
-    """Id, `n_bytes` (unpadded), `media` (its digest) and the ordered `chunks` of each document.
-
-    Of copies that a task meets, the first alone has its chunks.
-    """
+def chunk_counts(docs: DataFrame, *, text_col: str = "text", sizes: tuple[int, int, int] = SIZES) -> DataFrame:
+    """How often each `chunk` is met (`n`); of copies that a task meets, the first alone counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _Met()
         for batch in batches:
-            rows = []
-            for value in batch.column(1):
-                payload, size = payload_of(value.as_py())
-                media = to_wav(payload)
-                digest = hashlib.sha256(media).digest()
-                rows.append((size, digest, None if met.again(digest) else [chunk_digest(x) for x in _chunks(media, sizes)]))
-            sizes_, digests, chunks = zip(*rows, strict=True) if rows else ((), (), ())
-            arrays = [batch.column(0), pa.array(sizes_, pa.int64()), pa.array(digests, pa.binary()), pa.array(chunks, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_bytes", "media", "chunks"])
+            names: list[bytes] = []
+            for value in batch.column(0):
+                media = to_wav(payload_of(value.as_py())[0])
+                if not met.again(hashlib.sha256(media).digest()):
+                    names += map(chunk_digest, _chunks(media, sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary())], names=["chunk"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary, chunks array<binary>")
+    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "chunk binary").groupBy("chunk").agg(F.count("*").alias("n"))
 
 
 def _slot(digest: bytes) -> int:
     return int.from_bytes(digest[:7])
 
 
-def _stored(docs: DataFrame, text_col: str, sizes: tuple[int, int, int], pooled: Broadcast) -> DataFrame:
-    """The distinct media of each task: `media`, `chunks`, their `sizes`, how many are `pooled`, and the others' bytes, `own`."""
+def _stored(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, int, int], pooled: Broadcast) -> DataFrame:
+    """Of each document `id`, `n_bytes` and `media` (its digest); with the first of copies that a task meets, the medium.
+
+    That is its ordered `chunks`, their `sizes`, how many are `pooled`, and the others' bytes, `own`.
+    """
+    names = ["id", "n_bytes", "media", "chunks", "sizes", "pooled", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=True)
+        pack = zstandard.ZstdCompressor(level=9, write_checksum=False, write_content_size=True)
+        kinds = [pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int32(), pa.binary()]
         met = _Met()
         for batch in batches:
             rows: list[tuple] = []
-            held = 0
-            for value in batch.column(0):
-                media = to_wav(payload_of(value.as_py())[0])
+            start = held = 0
+            for k, value in enumerate(batch.column(1), 1):
+                payload, size = payload_of(value.as_py())
+                media = to_wav(payload)
                 digest = hashlib.sha256(media).digest()
                 if met.again(digest):
-                    continue
-                chunks = _chunks(media, sizes)
-                names = [chunk_digest(x) for x in chunks]
-                common = present(pooled, np.array([_slot(x) for x in names], np.int64))
-                own = b"".join(x for x, there in zip(chunks, common, strict=True) if not there)
-                rows.append((digest, names, [len(x) for x in chunks], int(common.sum()), pack.compress(own) if own else None))
-                held += len(rows[-1][4] or b"") + 64 * len(names)
-                if held > 8 << 20:
-                    yield _rows(rows)
-                    rows, held = [], 0
-            yield _rows(rows)
-
-    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "media binary, chunks array<binary>, sizes array<int>, pooled int, own binary")
+                    rows.append((size, digest, None, None, None, None))
+                else:
+                    chunks = _chunks(media, sizes)
+                    digests = [chunk_digest(x) for x in chunks]
+                    common = present(pooled, np.array([_slot(x) for x in digests], np.int64))
+                    own = b"".join(x for x, there in zip(chunks, common, strict=True) if not there)
+                    rows.append((size, digest, digests, [len(x) for x in chunks], int(common.sum()), pack.compress(own) if own else None))
+                    held += len(rows[-1][-1] or b"") + 64 * len(digests)
+                if held > 8 << 20 or k == batch.num_rows:
+                    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), *columns], names=names)
+                    start, held, rows = k, 0, []
 
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * 5
-    kinds = [pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["media", "chunks", "sizes", "pooled", "own"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return picked.mapInArrow(run, f"id {kind}, n_bytes long, media binary, chunks array<binary>, sizes array<int>, pooled int, own binary")
 
 
 def _pool(docs: DataFrame, text_col: str, sizes: tuple[int, int, int], pooled: Broadcast) -> DataFrame:
@@ -226,12 +222,12 @@ def store(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str
     A chunk that is met more than once is pooled, and so is any other whose bit of
     the bitmap that tells tasks so is set; so the pool has every chunk whose bit is.
     """
-    documents = saved(chunk_lists(docs, id_col=id_col, text_col=text_col, sizes=sizes), f"{folder}/documents")
-    met = documents.where("chunks IS NOT NULL").select(F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
     slot = F.conv(F.hex(F.substring("chunk", 1, 7)), 16, 10).cast("long").alias("slot")
-    pooled = presence(saved(met.where("n > 1").select(slot), f"{folder}/common"), "slot")
-    media = saved(_stored(docs, text_col, sizes, pooled), f"{folder}/media")
-    return Store(documents, media, saved(_pool(docs, text_col, sizes, pooled), f"{folder}/pool"))
+    common = chunk_counts(docs, text_col=text_col, sizes=sizes).where("n > 1").select(slot)
+    pooled = presence(saved(common, f"{folder}/common"), "slot")
+    stored = saved(_stored(docs, id_col, text_col, sizes, pooled), f"{folder}/media")
+    pool = saved(_pool(docs, text_col, sizes, pooled), f"{folder}/pool")
+    return Store(stored.select("id", "n_bytes", "media"), stored.where("chunks IS NOT NULL").drop("id", "n_bytes"), pool)
 
 
 def features_of(payload: bytes) -> str:
@@ -297,5 +293,5 @@ def rebuild(stored: Store) -> DataFrame:
 def store_and_rebuild(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, int, int] = SIZES) -> DataFrame:
     """Every document's medium through the store and back: id, `n_bytes` and the columns of `rebuild`."""
     stored = store(docs, shared_dir(docs.sparkSession), id_col=id_col, text_col=text_col, sizes=sizes)
-    joined = stored.documents.select("id", "n_bytes", "media").join(rebuild(stored), "media")
+    joined = stored.documents.join(rebuild(stored), "media")
     return joined.drop("media").withColumnRenamed("id", id_col)

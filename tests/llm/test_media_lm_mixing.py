@@ -54,7 +54,7 @@ def test_shared_chunks_are_stored_once(spark, tmp_path):
     docs = docs_frame(spark, made + [(50 + i, made[0][1]) for i in range(9)] + [(70, None), (70, None)])
     sizes = (64, 512, 6)
     stored = media.store(docs.repartition(5), f"file://{tmp_path}/store", sizes=sizes)
-    assert {"documents", "media", "pool"} <= {x.name for x in (tmp_path / "store").iterdir()}
+    assert {"media", "pool"} <= {x.name for x in (tmp_path / "store").iterdir()}
     pool = {bytes(r["chunk"]) for r in stored.pool.collect()}
     assert len(pool) > 3 and stored.pool.count() == len(pool)
     own = 0
