@@ -42,6 +42,22 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, column: str, most: int) -> list[tuple[int, int]]:
+    """`column` and `n` of rows of `counts` down to a count that at most `most` rows reach.
+
+    The count comes from a histogram of a few hundred bins, so no more is sent to the driver.
+    """
+    place = F.floor(F.log2("n") * 8).cast("int")
+    bins = sorted(((r["b"], r["m"]) for r in counts.groupBy(place.alias("b")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    least, taken = None, 0
+    for b, m in bins:
+        taken += m
+        if taken > most:
+            break
+        least = b
+    return [] if least is None else [tuple(r) for r in counts.where(place >= least).select(column, "n").collect()]
+
+
 def presence(keys: DataFrame, column: str) -> Broadcast:
     """A bitmap by the low bits of 64-bit hashes, sized by their number within `FILTER_MOST`."""
     bits = min(FILTER_MOST, 1 << max(16, (FILTER_BITS * keys.count()).bit_length()))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import saved, shared_dir
+from folioforge.llm.common import most_frequent, saved, shared_dir
 
 #: Least cosine of a match.
 LEAST = 0.7
@@ -277,8 +277,8 @@ def match_files(
     folder = folder or shared_dir(spark)
     counted, n_files = term_frequencies(files, folder, text_col=text_col)
     own = sorted({named(t) for _, counts in notices(templates) for t in counts})
-    top = counted.orderBy(F.desc("n"), "h").limit(frequent).collect()  # bounded, as the templates' terms are
-    known = {r["h"]: r["n"] for r in [*top, *counted.where(F.col("h").isin(own)).collect()]}
+    # bounded, as the templates' terms are
+    known = dict(most_frequent(counted, "h", frequent)) | {r["h"]: r["n"] for r in counted.where(F.col("h").isin(own)).collect()}
     shared = spark.sparkContext.broadcast((known, n_files))
     pending = "pending array<struct<k: int, line: int, name: string, dot: double, square: double, missing: array<struct<h: bigint, c: bigint>>>>"
 

@@ -56,7 +56,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import presence, present, saved, shared_dir
+from folioforge.llm.common import most_frequent, presence, present, saved, shared_dir
 from folioforge.llm.components import connected_components
 from folioforge.llm.words import blocks, mix, word_hashes
 
@@ -425,8 +425,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     noted = saved(_sets(rows, bound), f"{folder}/sets")
     documents = noted.where("token IS NULL")
-    top = noted.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).collect()
-    frequent = np.sort(np.array([r["token"] for r in top], np.int64).astype(U))
+    top = most_frequent(saved(noted.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")), f"{folder}/frequent"), "token", FREQUENT_MOST)
+    frequent = np.sort(np.array([t for t, _ in top], np.int64).astype(U))
 
     groups = documents.where("cid IS NOT NULL").groupBy("cid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = saved(groups, f"{folder}/groups")
