@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import collapse_title
+from folioforge.functions.text import collapse_title, strip, title_case
 
-TEXT_TYPES = ("application/xhtml+xml", "text/html", "application/xml", "text/xml")
+TEXT_TYPES = ("application/xhtml+xml", "text/html", "application/xml")
 #: Bit rates of the encoding profiles.
 PROFILES = {"balanced": "128k", "voice": "96k", "music": "160k"}
+#: What to do about a kind of failure in a stage; a stage of None stands for the others.
 HINTS = {
-    "invalid_credentials": "Check the provider key.",
-    "rate_limited": "Wait, or lower the rate.",
-    "timeout": "Try again later.",
-    "bad_request": "Check the model name.",
+    ("invalid_api_key", None): "Set a valid provider key.",
+    ("insufficient_quota", "rewrite"): "Check the provider's quota and try again, or pass the rewriting over.",
+    ("insufficient_quota", None): "Check the provider's quota and try again.",
+    ("invalid_model", "translate"): "Choose an available model for translation.",
+    ("invalid_model", "rewrite"): "Choose an available model for rewriting, or pass the rewriting over.",
+    ("invalid_model", "tts"): "Choose an available model for speech.",
+    ("invalid_model", None): "Choose a valid model of the provider.",
+    ("timeout", None): "Try again; if it keeps timing out, check the network.",
+    ("transport", None): "Check the connection and try again.",
+    (None, "translate"): "Check key, model and provider of the translation and try again.",
+    (None, "rewrite"): "Check key, model and provider of the rewriting, or pass it over.",
+    (None, "tts"): "Check key, model, voice and provider of the speech and try again.",
+    (None, None): "Check the provider's configuration and try again.",
 }
 
 
@@ -31,19 +41,28 @@ def is_text_type(media_type: Column) -> Column:
 def chat_content(response: Column) -> Column:
     """The message of a chat response, one string or its text parts joined; null if there is none."""
     path = "$.choices[0].message.content"
-    parts = F.from_json(F.get_json_object(response, path), "array<struct<text: string>>")
-    joined = F.array_join(F.transform(parts, lambda p: p["text"]), "")
-    raw = F.get_json_object(response, path)
-    return F.nullif(F.btrim(F.when(raw.startswith("["), joined).otherwise(raw)), F.lit(""))
+    tree = F.try_parse_json(response)
+    items = F.try_variant_get(tree, path, "array<variant>")
+    kind = lambda p: F.schema_of_variant(p)
+    field = lambda p, name: F.try_variant_get(p, name, "variant")
+    texts = F.filter(items, lambda p: (F.try_variant_get(p, "$.type", "string") == "text") & (kind(field(p, "$.text")) == "STRING"))
+    joined = F.array_join(F.transform(texts, lambda p: F.try_variant_get(p, "$.text", "string")), "")
+    whole = F.try_variant_get(tree, path, "variant")
+    return F.nullif(strip(F.when(items.isNotNull(), joined).when(kind(whole) == "STRING", F.try_variant_get(tree, path, "string"))), F.lit(""))
 
 
 def translate_prompt(text: Column, language: str) -> Column:
     return F.concat(F.lit(f"Translate the following text into {language}. Keep the meaning and the paragraphs.\n\n"), text)
 
 
-def hint(kind: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in HINTS.items() for x in pair])
-    return F.coalesce(known[kind], F.lit("See the log."))
+def hint(stage: Column, kind: Column) -> Column:
+    """By kind and stage, else by kind, else by stage, else the last resort."""
+    known = {k for k, _ in HINTS if k}
+    out = F.lit(HINTS[None, None])
+    for (k, s), text in sorted(HINTS.items(), key=lambda x: (x[0][0] is not None, x[0][1] is not None)):
+        fits = ~F.coalesce(kind.isin(*known), F.lit(False)) if k is None else kind == k
+        out = F.when(fits if s is None else fits & (stage == s), text).otherwise(out)
+    return out
 
 
 def bitrate(asked: Column, profile: Column) -> Column:
@@ -54,21 +73,24 @@ def bitrate(asked: Column, profile: Column) -> Column:
 
 
 def export_status(requests: DataFrame, emitted: list[str]) -> DataFrame:
-    """Reader formats asked for, words that name none, and whether all, some or none were emitted."""
+    """Reader formats asked for, what is wrong with a request, and whether all, some or none of them were emitted.
+
+    Null, blank and `none` ask for nothing; a list of commas alone, and `none`
+    beside others, are wrong (`empty`, `none`), as are words that name no format.
+    """
     known = F.array(F.lit("epub"), F.lit("pdf"))
-    words = requests.select("request", F.transform(F.split(F.lower("request"), ","), lambda x: F.btrim(x)).alias("t"))
-    words = words.withColumn("f", F.filter(known, lambda x: F.array_contains("t", x)))
-    words = words.withColumn("bad", F.array_join(F.array_sort(F.array_except("t", F.array(*map(F.lit, ["epub", "pdf", "none", ""])))), ","))
-    made = F.array_intersect("f", F.array(*map(F.lit, emitted)))
-    status = (
-        F.when(F.col("bad") != "", "invalid")
-        .when(F.size("f") == 0, "none")
-        .when(F.size(made) == F.size("f"), "emitted")
-        .when(F.size(made) > 0, "partial")
-        .otherwise("planned_only")
-    )
-    return words.select("request", F.array_join("f", ",").alias("formats"), "bad", status.alias("status"))
+    whole = F.lower(strip(F.coalesce("request", F.lit(""))))
+    words = requests.select("request", whole.alias("w"), F.filter(F.transform(F.split(whole, ","), lambda x: strip(x)), lambda x: x != "").alias("t"))
+    nothing = F.col("w").isin("", "none")
+    unknown = F.array_join(F.array_sort(F.array_except("t", known)), ",")
+    bad = F.when(nothing, "").when(F.size("t") == 0, "empty").when(F.array_contains("t", "none") & (F.size(F.array_distinct("t")) > 1), "none").otherwise(unknown)
+    words = words.withColumn("bad", bad).withColumn("f", F.when(F.col("bad") == "", F.filter(known, lambda x: F.array_contains("t", x))))
+    made = F.array(*map(F.lit, sorted(emitted))) if emitted else F.array().cast("array<string>")
+    status = F.when(F.col("bad") != "", "invalid").when(F.size("f") == 0, "planned_only").when(F.array_sort("f") == made, "emitted").when(F.size(made) > 0, "partial").otherwise("planned_only")
+    csv = F.when(F.col("bad") == "", F.when(F.size("f") == 0, "none").otherwise(F.array_join("f", ",")))
+    return words.select("request", csv.alias("formats"), "bad", status.alias("status"))
 
 
 def stem_title(stem: Column) -> Column:
-    return F.initcap(collapse_title(F.regexp_replace(stem, "[_-]", " ")))
+    """A title from a file's stem: separators are spaces, words begin with capitals."""
+    return F.coalesce(title_case(collapse_title(F.regexp_replace(stem, "[_-]", " "))), F.lit("Translated Document"))

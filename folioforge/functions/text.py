@@ -6,22 +6,37 @@ Unicode classes, which is how the rules are specified.
 
 from __future__ import annotations
 
+import html
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-#: Base letters of the Latin letters of the corpus languages; `ß` has none.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿČčĎďĚěŇňŘřŠšŤťŮůŽž"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyCcDdEeNnRrSsTtUuZz"
-
+from pyspark.sql.types import StringType
 
 #: Elements that end a line.
 BLOCKS = (
-    "address article aside blockquote body br caption dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul"
+    "address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th thead tr ul"
 ).split()
-#: Entities of the corpus; the ampersand comes last.
-ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("copy", "©"), ("middot", "·"), ("nbsp", "\u00a0"), ("amp", "&"))
+
+
+@F.pandas_udf(StringType())
+def decode_entities(text: pd.Series) -> pd.Series:
+    """Named and numeric character references as characters."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def ascii_letters(text: pd.Series) -> pd.Series:
+    """Characters by their compatibility decomposition, without those that ASCII lacks."""
+    return text.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def title_case(text: pd.Series) -> pd.Series:
+    """Letters after anything but a letter are capitals, the others small."""
+    return text.str.title()
 
 
 def strip(text: Column) -> Column:
@@ -77,9 +92,10 @@ def merge_drop_caps(text: Column) -> Column:
 
     def step(s: Column, x: Column) -> Column:
         body = _body(x)
-        heading = (F.size(F.split(body, r"(?U)\s+")) <= 2) & body.rlike(r"^[A-Z \"'&-]*[A-Z][A-Z \"'&-]*$")
-        fits = s["letter"].isNotNull() & body.rlike("^[A-Z]{3}") & ~heading & ~s["last"].rlike(marker + "$") & ~body.rlike(marker + " ")
-        joined = F.concat(F.regexp_replace(s["letter"], r"(?U)\s+$", ""), F.regexp_replace(x, r"(?U)^\s+", ""))
+        words = F.size(F.filter(F.split(body, r"(?U)\s+"), lambda w: w.rlike(r"\p{L}")))
+        heading = words.between(1, 2) & body.rlike(r"(?U)^[A-Z][A-Z\s'\"&-]*$")
+        fits = s["letter"].isNotNull() & body.rlike("^[A-Z]{3}") & ~heading & ~s["last"].rlike(marker + "$") & ~body.rlike("(?U)" + marker + r"\s")
+        joined = F.concat(F.regexp_extract(x, r"(?U)^\s*", 0), _body(s["letter"]), F.regexp_replace(x, r"(?U)^\s+", ""))
         return (
             F.when(s["letter"].isNotNull() & (body == "") & (s["gap"] == 0), state(s["done"], s["letter"], F.lit(1), s["last"], s["n"]))
             .when(fits, state(F.concat(s["done"], F.array(joined)), none, F.lit(0), body, s["n"] + 1))
@@ -97,16 +113,15 @@ def clean(text: Column) -> Column:
     return strip(reduce(lambda t, rule: rule(t), rules, text))
 
 
-def html_to_text(html: Column) -> Column:
+def html_to_text(page: Column) -> Column:
     """Text of a page: no scripts and styles, a line end at either end of a block, entities decoded."""
-    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<!doctype[^>]*>|<\?.*?>", "")
+    t = F.regexp_replace(page, r"(?is)<!--.*?-->|<!doctype[^>]*>|<\?.*?>", "")
     t = F.regexp_replace(t, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
     # an empty element both opens and closes
     t = F.regexp_replace(t, rf"(?i)<(?:{'|'.join(BLOCKS)})\b[^>]*/>", "\n\n")
     t = F.regexp_replace(t, rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"(?s)</?[A-Za-z][^>]*>", "")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+    t = decode_entities(t)
     t = F.regexp_replace(t, r"\r\n?", "\n")
     t = F.regexp_replace(t, r"[ \t\f\x0b]+", " ")
     t = F.regexp_replace(t, r" *\n *", "\n")
@@ -120,8 +135,7 @@ def collapse_title(text: Column) -> Column:
 
 def slug(text: Column, default: str = "part") -> Column:
     """Lower-case ASCII letters and digits with single dashes between."""
-    ascii_only = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[^\x00-\x7f]", "")
-    token = F.regexp_replace(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    token = F.regexp_replace(F.regexp_replace(F.lower(ascii_letters(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(token == "", default).otherwise(token)
 
 
@@ -139,16 +153,16 @@ def part_id(chapter: Column, part: Column, title: Column) -> Column:
 def packaged_name(number: Column, title: Column, extension: str, *, friendly: bool) -> Column:
     """File name of a packaged chapter, deterministic or for readers."""
     if friendly:
-        shown = F.btrim(F.regexp_replace(F.regexp_replace(title, r'[\\/:*?"<>|]', "-"), r"\s+", " "))
-        return F.concat(F.format_string("%03d - ", number), F.when(F.coalesce(shown, F.lit("")) == "", F.concat(F.lit("Chapter "), number.cast("string"))).otherwise(shown), F.lit(f".{extension}"))
-    return F.concat(F.format_string("chapter_%03d_%s", number, slug(title, "chapter")), F.lit(f".{extension}"))
+        shown = collapse_title(F.regexp_replace(title, r'[\\/:*?"<>|]+', "-"))
+        return F.concat(F.format_string("%03d - ", number), F.coalesce(shown, F.lit("Untitled Chapter")), F.lit(f".{extension}"))
+    return F.concat(F.format_string("chapter_%03d_%s", number, slug(title)), F.lit(f".{extension}"))
 
 
 def latin1(text: Column) -> Column:
-    """Characters that Latin-1 can print; a tab is four spaces, anything else a question mark."""
-    t = F.replace(text, F.lit("\t"), F.lit("    "))
+    """Characters that Latin-1 has; a tab is four spaces, a line end or hard space one, anything else a question mark."""
+    t = F.replace(F.regexp_replace(text, r"\r\n?", "\n"), F.lit("\t"), F.lit("    "))
     t = F.regexp_replace(t, "[\u00a0\n]", " ")
-    return F.regexp_replace(t, r"[^\x20-\x7e\u00a1-\u00ff]", "?")
+    return F.regexp_replace(t, r"[^\x20-\u00ff]", "?")
 
 
 def html_escape(text: Column) -> Column:
@@ -158,11 +172,29 @@ def html_escape(text: Column) -> Column:
 
 
 def redact(text: Column, most: int = 180) -> Column:
-    """Key-like and bearer tokens hidden, white space collapsed, and at most `most` characters."""
-    t = F.regexp_replace(text, r"sk-[A-Za-z0-9_-]{6,}", "[redacted]")
-    t = F.regexp_replace(t, r"(?i)bearer\s+[A-Za-z0-9._-]{6,}", "Bearer [redacted]")
-    t = F.btrim(F.regexp_replace(t, r"\s+", " "))
-    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 3), F.lit("..."))).otherwise(t)
+    """Key-like and bearer tokens hidden, white space collapsed; beyond `most` characters cut to one less, with dots."""
+    t = F.regexp_replace(text, r"(?U)\bsk-[A-Za-z0-9_-]{8,}\b", "[redacted-key]")
+    t = F.regexp_replace(t, r"(?iU)bearer\s+[A-Za-z0-9._-]{12,}", "Bearer [redacted-token]")
+    t = F.btrim(F.regexp_replace(t, r"(?U)\s+", " "))
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 1), F.lit("..."))).otherwise(t)
+
+
+def log_token(value: Column) -> Column:
+    """A value in a log line: anything but letters, digits and `-_.:/` is an underscore; nothing is `none`."""
+    token = F.regexp_replace(strip(value), r"[^\p{L}\p{N}_.:/-]", "_")
+    return F.when(token == "", "none").otherwise(token)
+
+
+def scope_token(mode: Column, indices: Column) -> Column:
+    """File name part of a chapter scope: `all`, `chapters-1-3-5`, or `selected` where no index is known."""
+    digits = F.regexp_replace(F.regexp_replace(F.coalesce(indices, F.lit("")), "[^0-9]+", "-"), "^-+|-+$", "")
+    return F.when(F.lower(F.btrim(mode)) == "all", "all").when(digits == "", "selected").otherwise(F.concat(F.lit("chapters-"), digits))
+
+
+def merged_path(mode: Column, indices: Column, label: Column) -> Column:
+    """Where the merged audio of a scope lies in a run's folder."""
+    part = F.replace(F.coalesce(F.nullif(indices, F.lit("")), label, F.lit("selected")), F.lit(","), F.lit("_"))
+    return F.when(F.coalesce(mode, F.lit("all")) == "all", "audio/merged.wav").otherwise(F.concat(F.lit("audio/merged.chapters_"), part, F.lit(".wav")))
 
 
 def permissive_boolean(text: Column) -> Column:

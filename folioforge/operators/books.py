@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from folioforge.functions.text import collapse_title, strip
 
 #: A heading line: the word, an arabic or roman number on it or the next line, and a title after a separator.
-CHAPTER = r"(?imdU)^[ \t]*((?:chapter|kapitola)\s+(?:\d+|[ivxlcdm]+)(?:[ \t]*[:.–-][ \t]*\S[^\n]*|[ \t]+\S[^\n]*)?)[ \t]*$"
-SUBCHAPTER = r"(?imdU)^[ \t]*((?:\d+\.\d+|(?:section|subchapter)\s+\d+)(?:[ \t]*[:.–-]?[ \t]+\S[^\n]*)?)[ \t]*$"
-#: Marks the cuts: a private-use character, which texts are taken not to have.
-CUT = "\ue000"
+CHAPTER = r"(?imdU)^(\s*(?:chapter|kapitola)\s+(?:\d+|[ivxlcdm]+)(?:[ \t]*[:.\-][ \t]*[^\n]+|[ \t]+[^\n]+)?)\s*$"
+SUBCHAPTER = r"(?imdU)^(\s*(?:\d+\.\d+(?:\.\d+)*|(?:section|subchapter)\s+\d+)(?:[ \t]*[:.\-][ \t]*[^\n]+|[ \t]+[^\n]+)?)\s*$"
+#: Marks a cut; where a text has the first character itself, it is followed by the third, so no text has a cut.
+MARK, CUT, PLAIN = "\ue000", "\ue000\ue001", "\ue000\ue002"
 
 
 def from_documents(docs: DataFrame, chapters: int = 8) -> DataFrame:
@@ -25,8 +25,9 @@ def from_documents(docs: DataFrame, chapters: int = 8) -> DataFrame:
 
 def _pieces(text: Column, heading: str) -> Column:
     """The text before the first heading, then for each heading its line and what follows, cut apart."""
-    unified = F.regexp_replace(text, r"\r\n?", "\n")
-    return F.split(F.regexp_replace(unified, heading, f"{CUT}$1{CUT}"), CUT)
+    unified = F.replace(strip(F.regexp_replace(text, r"\r\n?", "\n")), F.lit(MARK), F.lit(PLAIN))
+    pieces = F.split(F.regexp_replace(unified, heading, f"{CUT}$1{CUT}"), CUT)
+    return F.transform(pieces, lambda x: F.replace(x, F.lit(PLAIN), F.lit(MARK)))
 
 
 def split_chapters(books: DataFrame) -> DataFrame:
@@ -48,7 +49,8 @@ def split_subchapters(chapters: DataFrame) -> DataFrame:
     titled = F.expr("transform(sequence(1, (size(p) - 1) div 2), k -> struct(p[2 * k - 1] AS title, p[2 * k] AS text))")
     one = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.col("text").alias("text")))
     rows = cut.select("book_id", "chapter_index", F.posexplode(F.when(F.size("p") >= 3, titled).otherwise(one)).alias("k", "c"))
-    return rows.select("book_id", "chapter_index", (F.col("k") + 1).cast("long").alias("subchapter_index"), collapse_title(F.col("c.title")).alias("title"), strip(F.col("c.text")).alias("text"))
+    title, body = collapse_title(F.col("c.title")), strip(F.col("c.text"))
+    return rows.select("book_id", "chapter_index", (F.col("k") + 1).cast("long").alias("subchapter_index"), title.alias("title"), F.when(body == "", F.coalesce(title, body)).otherwise(body).alias("text"))
 
 
 def outline(lines: DataFrame) -> DataFrame:
@@ -93,11 +95,13 @@ def greedy_packs(items: Column, budget: int, *, joint: int = 2) -> Column:
 
 
 def identifiers(docs: DataFrame) -> DataFrame:
-    """Identifier of each book: the head of a digest over its format, path, language and chapters."""
+    """Identifier of each book: the head of a digest over its format, path, language, scope and chapters."""
     book = F.expr("doc_id div 8")
+    scope = F.concat(F.lit("chapter_scope_indices_csv="), F.array_join(F.transform(F.sequence(F.lit(1), F.count("*").cast("int")), lambda x: x.cast("string")), ","), F.lit(",chapter_scope_mode=all"))
+    head = F.concat(F.lit("epub|books/"), F.first(book).cast("string"), F.lit(".epub|cs|"), scope, F.lit("|"))
     numbered = docs.select(book.alias("book_id"), "doc_id", F.concat(F.row_number().over(Window.partitionBy(book).orderBy("doc_id")).cast("string"), F.lit(":"), F.col("lang")).alias("t"))
     titles = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "|")
-    return numbered.groupBy("book_id").agg(F.substring(F.sha2(F.concat(F.lit("epub|doc|cs|"), titles), 256), 1, 24).alias("identifier"))
+    return numbered.groupBy("book_id").agg(F.substring(F.sha2(F.concat(head, titles), 256), 1, 24).alias("identifier"))
 
 
 def lay_out(turns: DataFrame, height: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,31 +40,57 @@ def translate(asked: DataFrame, language: str) -> DataFrame:
     return keyed.select("doc_id", "k").join(answers, "k").select("doc_id", "translated", F.lit("mock").alias("provider"))
 
 
+def billed(*texts: Column) -> Column:
+    """Characters that a call is billed for: those of its texts together, one at least; null counts as none."""
+    return F.greatest(F.lit(1), reduce(Column.__add__, [F.coalesce(F.length(t), F.lit(0)) for t in texts])).cast("long")
+
+
+def usage(usd: Column) -> Column:
+    """A cost as it is added up: negative ones count as none."""
+    return F.greatest(F.lit(0.0), usd)
+
+
 def costs(texts: DataFrame, key: str) -> DataFrame:
-    """Rounded costs of language models and speech, and the total of the rounded."""
-    size = F.length("text")
-    sums = texts.groupBy(key).agg(F.sum(F.greatest(F.lit(1), size * 2)).alias("a"), F.sum(F.greatest(F.lit(1), size)).alias("b"))
-    llm = F.round(F.col("a") * TRANSLATE / 1000 + F.col("a") * REWRITE / 1000, 6)
+    """Rounded costs of language models and speech, and the total of the rounded.
+
+    `texts` has `text`, `translated` and `rewritten`.
+    """
+    text, translated, rewritten = F.col("text"), F.col("translated"), F.col("rewritten")
+    sums = texts.groupBy(key).agg(F.sum(billed(text, translated)).alias("a"), F.sum(billed(translated, rewritten)).alias("r"), F.sum(billed(rewritten)).alias("b"))
+    llm = F.round(F.col("a") * TRANSLATE / 1000 + F.col("r") * REWRITE / 1000, 6)
     tts = F.round(F.col("b") * SPEECH / 1000, 6)
     return sums.select(key, llm.alias("llm_usd"), tts.alias("tts_usd"), F.round(llm + tts, 6).alias("total_usd"))
 
 
-def failure_kind(status: Column) -> Column:
+def failure_kind(status: Column, message: Column, code: Column) -> Column:
+    """The kind of an HTTP failure: the provider's code and message decide before the status does."""
+    m, c = F.lower(F.coalesce(message, F.lit(""))), F.lower(F.coalesce(code, F.lit("")))
+    wrong_model = m.contains("model") & (m.contains("not found") | m.contains("does not exist") | m.contains("invalid"))
+    return (
+        F.when((status == 401) | m.contains("api key"), "invalid_api_key")
+        .when((c == "insufficient_quota") | ((status == 429) & m.contains("quota")), "insufficient_quota")
+        .when((c == "model_not_found") | wrong_model, "invalid_model")
+        .when(status.isin(408, 504) | m.contains("timeout") | m.contains("timed out"), "timeout")
+        .otherwise("http_error")
+    )
+
+
+def retryable(kind: Column, status: Column) -> Column:
+    """Whether a failure may pass; without a status only one of unknown kind may, besides those of the network."""
     return (
-        F.when(status.isin(401, 403), "invalid_credentials")
-        .when(status == 404, "not_found")
-        .when(status == 408, "timeout")
-        .when(status == 429, "rate_limited")
-        .when(status >= 500, "server_error")
-        .when(status >= 400, "bad_request")
-        .otherwise("ok")
+        F.when(kind.isin("invalid_api_key", "insufficient_quota", "invalid_model"), False)
+        .when(kind.isin("timeout", "transport"), True)
+        .when(status.isNull(), kind == "unknown")
+        .otherwise((status >= 500) | status.isin(408, 429))
     )
 
 
-def classify(attempts: DataFrame) -> DataFrame:
-    kind = failure_kind(F.col("status"))
-    counted = attempts.groupBy("status").agg(F.count("*").alias("attempts"))
-    return counted.select("status", "attempts", kind.alias("kind"), kind.isin("timeout", "rate_limited", "server_error").alias("retryable"))
+def classify(failures: DataFrame) -> DataFrame:
+    """`kind` and `retryable` of each row of `status`, `message`, `code`; a failure without a status is one of the network."""
+    message = F.lower(F.coalesce("message", F.lit("")))
+    network = F.when(message.contains("timeout") | message.contains("timed out"), "timeout").otherwise("transport")
+    kind = F.when(F.col("status").isNull(), network).otherwise(failure_kind(F.col("status"), F.col("message"), F.col("code")))
+    return failures.withColumn("kind", kind).withColumn("retryable", retryable(F.col("kind"), F.col("status")))
 
 
 def backoff(attempt: Column, base: float = 0.5, most: float = 4.0) -> Column:

@@ -75,17 +75,19 @@ def resume(artefacts: DataFrame, stages: list[str]) -> DataFrame:
 
 
 def resolve_formats(requests: DataFrame) -> DataFrame:
-    """Formats of a request in canonical order, and the words that name none."""
-
-    def named(x: Column) -> Column:
-        word = F.btrim(x)
-        both = F.array(*map(F.lit, FORMATS))
-        return F.when(word.isin("both", "all"), both).when(word == "aac", F.array(F.lit("m4a"))).when(word.isin("none", ""), F.array(F.lit("wav"))).otherwise(F.array(word))
-
-    words = requests.select("request", F.flatten(F.transform(F.split(F.lower("request"), ","), named)).alias("t"))
-    bad = F.array_join(F.array_sort(F.array_except("t", F.array(*map(F.lit, (*FORMATS, "wav"))))), ",")
-    known = F.filter(F.array(*map(F.lit, FORMATS)), lambda f: F.array_contains("t", f))
-    return words.select("request", F.when(bad == "", F.array_join(known, ",")).alias("formats"), bad.alias("bad"))
+    """Canonical name of a request and its formats in order; both null where it isn't valid.
+
+    Alone, `none`, `aac`, `both` and `all` have meanings of their own; in a list
+    only `wav`, `m4a`, `aac` and `mp3` have.
+    """
+    whole = F.lower(F.btrim("request", F.lit(" \t\n\x0b\f\r")))
+    words = requests.select("request", whole.alias("w"), F.filter(F.transform(F.split(whole, ","), lambda x: F.btrim(x)), lambda x: x != "").alias("t"))
+    has = lambda *names: F.arrays_overlap("t", F.array(*map(F.lit, names)))
+    listed = F.col("w").contains(",") & (F.size("t") > 0) & (F.size(F.array_except("t", F.array(*map(F.lit, ("wav", "m4a", "aac", "mp3"))))) == 0)
+    of_list = F.when(has("m4a", "aac") & has("mp3"), "both").when(has("mp3"), "mp3").when(has("m4a", "aac"), "m4a").otherwise("wav")
+    name = F.when(F.col("w").isin("wav", "none"), "wav").when(F.col("w").isin("m4a", "aac"), "m4a").when(F.col("w") == "mp3", "mp3").when(F.col("w").isin("both", "all"), "both").when(listed, of_list)
+    formats = F.when(F.col("name") == "both", ",".join(FORMATS)).when(F.col("name") == "wav", "").otherwise(F.col("name"))
+    return words.withColumn("name", name).select("request", "name", formats.alias("formats"))
 
 
 def package_plan(turns: DataFrame) -> DataFrame:

@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Abbreviations that end in a dot without ending a sentence.
-ABBREVIATIONS = frozenset("dr mr mrs ms prof sr jr st vs etc e.g i.e fig no al".split())
-CLOSERS = "\"')]}»”"
+ABBREVIATIONS = frozenset("dr mr mrs ms prof sr jr st vs etc fig no al".split())
+CLOSERS, OPENERS = "\"')]}»”", "\"'([{«“"
 #: A cut is sought back to this share of the target, and forward by that share beyond it.
 BACK, FORWARD = 0.6, 0.35
-ACRONYM = re.compile(r"(?:[^\W\d_]\.){2,}\Z")
+ACRONYM = re.compile(r"(?:[A-Za-z]\.){2,}\Z")
 BUDGET, CEILING = 6500, 9300
 
 COMPLETE, CHAPTER_END = "sentence_complete", "chapter_end"
@@ -148,12 +148,15 @@ def plan(units: Sequence[tuple[int, int, str, str]], budget: int = BUDGET) -> li
 
 
 def _is_cut_sentence(left: str, right: str) -> bool:
-    end = left.rstrip().rstrip(CLOSERS).rstrip()
-    if end[-1:] in (".", "!", "?") and end:
+    end = left.rstrip()
+    while end and end[-1] in CLOSERS:
+        end = end[:-1].rstrip()
+    if end.endswith((".", "!", "?")):
         return False
     head = right.lstrip()
     lower = lambda x: "a" <= x <= "z"
-    return lower(head[:1]) or head[:1] in (*",;:)",) and head != "" or (head[:1] in "\"'“‘" and lower(head[1:2])) or left.count('"') % 2 == 1
+    goes_on = head != "" and (lower(head[0]) or head[0] in ",;:)" or (head[0] in OPENERS and lower(head[1:2])))
+    return goes_on or left.count('"') % 2 == 1
 
 
 def repair(pieces: list[tuple[str, int, int, str]], target: int) -> tuple[list[tuple[str, int, int, str]], int]:

@@ -75,10 +75,20 @@ def clean_figure_refs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.drop_figure_refs(F.replace("text", F.lit(". "), F.lit(" [Fig. 3]. "))).alias("text"))
 
 
-@query("SELECT doc_id, upper(substr(lang, 1, 1)) || 'VERY MOMENT IN TIME' || chr(10) || text AS text, CAST(1 AS BIGINT) AS merges FROM documents")
+#: Openings of a text, and what becomes of each: merged, merged with the next line's indent, and left alone for
+#: a heading of two words, a list marker before, a gap of two lines, and a list marker on the next line.
+_CAPS = [("E\nVERY MOMENT IN TIME\n", "EVERY MOMENT IN TIME\n", 1), ("  T\n\n    HEKING rose\n", "    THEKING rose\n", 1)]
+_CAPS += [(x, x, 0) for x in ("A\nTHE - KING\n", "1.\nA\nALPHA item\n", "A\n\n\nBCDE far below\n", "A\n- BCDE in a list\n")]
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("SELECT doc_id, CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN {_sql_text(x)}" for k, (_, x, _n) in enumerate(_CAPS)) + " END || text AS text, CAST(CASE WHEN doc_id % 6 < 2 THEN 1 ELSE 0 END AS BIGINT) AS merges FROM documents")
 def clean_drop_caps(spark, sf_dir):
-    noisy = F.concat(F.upper(F.substring("lang", 1, 1)), F.lit("\nVERY MOMENT IN TIME\n"), F.col("text"))
-    merged = table(spark, sf_dir, "documents").select("doc_id", T.merge_drop_caps(noisy).alias("m"))
+    opening = F.element_at(F.array(*[F.lit(x) for x, _, _ in _CAPS]), (F.col("doc_id") % 6 + 1).cast("int"))
+    merged = table(spark, sf_dir, "documents").select("doc_id", T.merge_drop_caps(F.concat(opening, F.col("text"))).alias("m"))
     return merged.select("doc_id", F.col("m.text").alias("text"), F.col("m.merges").cast("long").alias("merges"))
 
 
@@ -91,8 +101,9 @@ def clean_pipeline(spark, sf_dir):
 
 
 _BLOCKS = "|".join(T.BLOCKS)
+#: The entities that the pages have; the ampersand comes last.
 _ENTITIES = "{0}"
-for _name, _char in T.ENTITIES:
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("copy", "©"), ("middot", "·"), ("nbsp", "\u00a0"), ("amp", "&")):
     _ENTITIES = f"replace({_ENTITIES}, '&{_name};', '{_char.replace(chr(39), chr(39) * 2)}')"
 
 
@@ -108,7 +119,9 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-_SLUG = f"regexp_replace(regexp_replace(lower(regexp_replace(translate({{0}}, '{T.ACCENTED}', '{T.PLAIN}'), '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+#: Base letters of the accented letters that the texts have; `ß` has none.
+_ACCENTED, _BASE = "ÄÇÈÉÊËÍÎÑÓÔÖÙÛÜßäçèéêëíîñóôöùûü", "ACEEEEIINOOOUUU aceeeeiinooouuu"
+_SLUG = f"regexp_replace(regexp_replace(lower(replace(translate({{0}}, '{_ACCENTED}', '{_BASE.replace(' ', chr(1))}'), chr(1), '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
 @query(r"SELECT doc_id, nullif(trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')), '') AS title FROM documents")
@@ -126,14 +139,17 @@ def reader_basename(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(T.reader_token(F.substring("text", 1, 24)), F.lit("."), F.col("lang")).alias("basename"))
 
 
-@query(
-    f"SELECT doc_id, printf('chapter_%03d_%s.m4a', n, coalesce(nullif({_SLUG.format('title')}, ''), 'chapter')) AS file, printf('%03d - ', n) || title || '.mp3' AS shown"
-    " FROM (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS n, trim(regexp_replace(regexp_replace(substr(text, 1, 20), '[\\\\/:*?\"<>|]', '-', 'g'), '\\s+', ' ', 'g')) AS title FROM documents)"
-)
+#: Titles of packaged chapters; the empty one has a default in both forms.
+_TITLES = ["Český název: Úvod!", "Cafő łódź ﬁn", "a/b\\\\c", "???", "   ", "What? Why: <how>", "ǅungla №5 ½"]
+#: By the compatibility decompositions of Unicode.
+_SLUGS = ["cesky-nazev-uvod", "cafo-odz-fin", "a-b-c", "part", "part", "what-why-how", "dzungla-no5-12"]
+_SHOWN = ["Český název- Úvod!", "Cafő łódź ﬁn", "a-b-c", "-", "Untitled Chapter", "What- Why- -how-", "ǅungla №5 ½"]
+
+
+@query("SELECT n, printf('chapter_%03d_', n) || slug || '.m4a' AS file, printf('%03d - ', n) || shown || '.mp3' AS shown FROM (VALUES " + ", ".join(f"({k}::BIGINT, {_sql_text(a)}, {_sql_text(b)})" for k, (a, b) in enumerate(zip(_SLUGS, _SHOWN, strict=True), 1)) + ") v(n, slug, shown)")
 def packaged_filename(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("n", F.dense_rank().over(Window.partitionBy(F.expr("doc_id div 8")).orderBy("doc_id")))
-    title = F.substring("text", 1, 20)
-    return docs.select("doc_id", T.packaged_name(F.col("n"), title, "m4a", friendly=False).alias("file"), T.packaged_name(F.col("n"), title, "mp3", friendly=True).alias("shown"))
+    titles = spark.createDataFrame(list(enumerate(_TITLES, 1)), "n long, title string")
+    return titles.select("n", T.packaged_name(F.col("n"), F.col("title"), "m4a", friendly=False).alias("file"), T.packaged_name(F.col("n"), F.col("title"), "mp3", friendly=True).alias("shown"))
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS text FROM documents")
@@ -141,18 +157,30 @@ def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.html_escape(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(9), '    '), '[\x{a0}\n]', ' ', 'g'), '[^\x20-\x7e\x{a1}-\x{ff}]', '?', 'g') AS text FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(x, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), '    '), '[\x{a0}\n]', ' ', 'g'), '[^\x20-\x{ff}]', '?', 'g') AS text FROM (SELECT doc_id, text || chr(13) || chr(10) || chr(13) || chr(127) || chr(150) || chr(160) || '…ő' AS x FROM documents)")
 def latin1_sanitize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.latin1(F.col("text")).alias("text"))
+    odd = F.concat(F.col("text"), F.lit("\r\n\r\x7f\x96\xa0…ő"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.latin1(odd).alias("text"))
 
 
-@query(
-    r"SELECT doc_id, CASE WHEN length(x) > 180 THEN substr(x, 1, 177) || '...' ELSE x END AS message FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace("
-    r"'failed with sk-abc123' || doc_id || ' and bearer tok.' || doc_id || ' ' || text, 'sk-[A-Za-z0-9_-]{6,}', '[redacted]', 'g'), '(?i)bearer\s+[A-Za-z0-9._-]{6,}', 'Bearer [redacted]', 'g'), '\s+', ' ', 'g')) AS x FROM documents)"
-)
+#: Messages, and what is shown of them: words that only look like keys stay.
+_MESSAGES = [
+    ("bad key sk-abcdefgh1 given", "bad key [redacted-key] given"),
+    ("sk-short1 and risk-abcdefgh1 and ask-me_now", "sk-short1 and risk-abcdefgh1 and ask-me_now"),
+    ("BEARER  abc.def-12345 x", "Bearer [redacted-token] x"),
+    ("bearer short", "bearer short"),
+    ("  a \n\t b  ", "a b"),
+    ("y" * 180, "y" * 180),
+    ("z" * 181, "z" * 179 + "..."),
+]
+
+
+@query("SELECT n, message FROM (VALUES " + ", ".join(f"({k}::BIGINT, {_sql_text(x)})" for k, (_, x) in enumerate(_MESSAGES)) + ") v(n, message) UNION ALL SELECT doc_id + 100, CASE WHEN length(x) > 180 THEN substr(x, 1, 179) || '...' ELSE x END FROM (SELECT doc_id, trim(regexp_replace('failed with [redacted-key] and Bearer [redacted-token] ' || text, '\\s+', ' ', 'g')) AS x FROM documents)")
 def secret_redaction(spark, sf_dir):
-    message = F.concat(F.lit("failed with sk-abc123"), F.col("doc_id").cast("string"), F.lit(" and bearer tok."), F.col("doc_id").cast("string"), F.lit(" "), F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.redact(message).alias("message"))
+    literals = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(_MESSAGES)], "n long, x string")
+    key = F.format_string("failed with sk-abc%05d and bearer tok.%08d ", F.col("doc_id"), F.col("doc_id"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id") + 100, F.concat(key, F.col("text")))
+    return literals.union(docs).select("n", T.redact(F.col("x")).alias("message"))
 
 
 _WORDS = ["1", "true", "Yes", " on ", "0", "FALSE", "no", "off", "maybe", ""]
@@ -257,7 +285,7 @@ def _chunk_sql(target: int) -> str:
         "WITH RECURSIVE marks AS (SELECT doc_id, i - 1 AS place, substr(text, i, 1) AS mark, substr(text, i - 1, 1) AS l, substr(text, i + 1, 1) AS r, substr(text, greatest(1, i - 8), least(9, i)) AS h, substr(text, i + 1, 200) AS tail"
         " FROM documents, LATERAL (SELECT unnest(range(1, length(text) + 1)) AS i) WHERE substr(text, i, 1) IN ('.', '!', '?')),"
         " ends AS (SELECT doc_id, list({'place': place, 'mark': mark, 'stop': place + 1 + length(regexp_extract(tail, '^[\"'')\\]}»”]*\\s*'))} ORDER BY place) AS b FROM marks"
-        f" WHERE mark <> '.' OR NOT (regexp_matches(l, '^\\d$') AND regexp_matches(r, '^\\d$')) AND NOT list_contains([{abbreviations}], lower(regexp_extract(h, '([\\p{{L}}]*)\\.$', 1))) AND NOT regexp_matches(h, '(?:[\\p{{L}}]\\.){{2,}}$') GROUP BY 1),"
+        f" WHERE mark <> '.' OR NOT (regexp_matches(l, '^\\d$') AND regexp_matches(r, '^\\d$')) AND NOT list_contains([{abbreviations}], lower(regexp_extract(h, '([\\p{{L}}]*)\\.$', 1))) AND NOT regexp_matches(h, '(?:[A-Za-z]\\.){{2,}}$') GROUP BY 1),"
         " given AS (SELECT doc_id, text, length(text) AS n, coalesce(b, []) AS b FROM documents LEFT JOIN ends USING (doc_id)),"
         " cuts AS (SELECT doc_id, -1 AS k, 0::BIGINT AS s, 0::BIGINT AS e, '' AS how FROM given UNION ALL"
         f" SELECT doc_id, k + 1, e, CASE WHEN e + {target} >= n THEN n ELSE coalesce({found}, {forced}) END, CASE WHEN e + {target} >= n THEN 'chapter_end' WHEN {found} IS NULL THEN 'forced_split_no_sentence_boundary' ELSE 'sentence_complete' END"
@@ -308,12 +336,16 @@ def paragraph_pack(spark, sf_dir):
 
 
 @query(
-    "WITH RECURSIVE p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS l FROM documents WHERE length(text) < 2000), fold AS (SELECT doc_id, l, 1 AS i, 1 AS line, length(l[1]) AS size FROM p WHERE len(l) > 0"
-    " UNION ALL SELECT doc_id, l, i + 1, CASE WHEN size + 1 + length(l[i + 1]) <= 72 THEN line ELSE line + 1 END, CASE WHEN size + 1 + length(l[i + 1]) <= 72 THEN size + 1 + length(l[i + 1]) ELSE length(l[i + 1]) END FROM fold WHERE i < len(l))"
-    " SELECT doc_id, CAST(max(line) AS BIGINT) AS lines FROM fold GROUP BY 1"
+    "WITH RECURSIVE p AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: length(x)) AS l FROM documents),"
+    " ends AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) + i AS e FROM (SELECT doc_id, unnest(l) AS n, unnest(range(1, len(l) + 1)) AS i FROM p)),"
+    " packed AS (SELECT doc_id, list(e ORDER BY i) AS e FROM ends GROUP BY 1),"
+    # a line that begins after a place holds the words whose ends lie within 72 characters of it, one at least
+    " fold AS (SELECT doc_id, e, 0::BIGINT AS line, 0::BIGINT AS done FROM packed UNION ALL"
+    " SELECT doc_id, e, line + 1, greatest(done + 1, done + len(list_filter(e[done + 1:done + 73], lambda x: x - 1 - CASE WHEN done = 0 THEN 0 ELSE e[done] END <= 72))) FROM fold WHERE done < len(e))"
+    " SELECT doc_id, max(line) AS lines FROM fold GROUP BY 1"
 )
 def word_wrap(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") < 2000)
+    docs = table(spark, sf_dir, "documents")
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     return docs.where(F.size(words) > 0).select("doc_id", books.greedy_packs(words, 72, joint=1).alias("lines"))
 
@@ -343,24 +375,41 @@ def rewrite_bypass(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("rewritten"), F.lit("bypass").alias("provider"), F.lit("deterministic-pass-through-v1").alias("model"))
 
 
+#: Source, translated and rewritten text of a document; some have no result.
+_PARTS = "(SELECT *, '[cs] ' || text AS tr, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '[narration] [cs] ' || text END AS rw FROM documents)"
+
+
+def parts_of(docs: DataFrame) -> DataFrame:
+    translated = F.concat(F.lit("[cs] "), F.col("text"))
+    return docs.withColumn("translated", translated).withColumn("rewritten", F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("[narration] "), translated)))
+
+
 @query(
-    "SELECT source, round(a * 0.0015 / 1000 + a * 0.0008 / 1000, 6) AS llm_usd, round(b * 0.0150 / 1000, 6) AS tts_usd, round(round(a * 0.0015 / 1000 + a * 0.0008 / 1000, 6) + round(b * 0.0150 / 1000, 6), 6) AS total_usd"
-    " FROM (SELECT source, CAST(sum(greatest(1, 2 * length(text))) AS BIGINT) AS a, CAST(sum(greatest(1, length(text))) AS BIGINT) AS b FROM documents GROUP BY 1)"
+    "SELECT source, llm AS llm_usd, tts AS tts_usd, round(llm + tts, 6) AS total_usd FROM (SELECT source, round(a * 0.0015 / 1000 + r * 0.0008 / 1000, 6) AS llm, round(b * 0.0150 / 1000, 6) AS tts"
+    " FROM (SELECT source, CAST(sum(greatest(1, length(text) + length(tr))) AS BIGINT) AS a, CAST(sum(greatest(1, length(tr) + coalesce(length(rw), 0))) AS BIGINT) AS r, CAST(sum(greatest(1, coalesce(length(rw), 0))) AS BIGINT) AS b FROM " + _PARTS + " GROUP BY 1))"
 )
 def cost_summary(spark, sf_dir):
-    return requests.costs(table(spark, sf_dir, "documents"), "source")
+    return requests.costs(parts_of(table(spark, sf_dir, "documents")), "source")
 
 
-_STATUS = [200, 400, 401, 403, 404, 408, 429, 500]
+#: Status, message and provider code of failures, then their kind and whether they may pass.
+_FAILURES = [
+    (401, "no", None, "invalid_api_key", False), (500, "Bad API key", None, "invalid_api_key", False), (403, "forbidden", None, "http_error", False),
+    (429, "You exceeded your quota", None, "insufficient_quota", False), (400, "x", "Insufficient_Quota", "insufficient_quota", False), (400, "over quota", None, "http_error", False),
+    (429, "slow down", "rate_limit", "http_error", True), (404, "x", "model_not_found", "invalid_model", False), (400, "The model `m` does not exist", None, "invalid_model", False),
+    (404, "path not found", None, "http_error", False), (408, "x", None, "timeout", True), (504, None, None, "timeout", True), (400, "request Timed Out", None, "timeout", True),
+    (500, "oops", None, "http_error", True), (503, "", "", "http_error", True), (None, "connection reset", None, "transport", True), (None, "read timeout", None, "timeout", True),
+]
 
 
-@query(
-    f"SELECT status, count(*) AS attempts, kind, kind IN ('timeout', 'rate_limited', 'server_error') AS retryable FROM (SELECT *, CASE WHEN status IN (401, 403) THEN 'invalid_credentials' WHEN status = 404 THEN 'not_found' WHEN status = 408 THEN 'timeout' WHEN status = 429 THEN 'rate_limited' WHEN status >= 500 THEN 'server_error' WHEN status >= 400 THEN 'bad_request' ELSE 'ok' END AS kind"
-    f" FROM (SELECT ({_STATUS})[event_id % 8 + 1]::BIGINT AS status FROM events)) GROUP BY ALL"
-)
+def _sql_value(x) -> str:
+    return "NULL" if x is None else _sql_text(x) if isinstance(x, str) else str(x).lower()
+
+
+@query("SELECT n, kind, retryable FROM (VALUES " + ", ".join(f"({k}::BIGINT, {_sql_value(kind)}, {_sql_value(again)})" for k, (_s, _m, _c, kind, again) in enumerate(_FAILURES)) + ") v(n, kind, retryable)")
 def http_classify(spark, sf_dir):
-    status = F.element_at(F.array(*map(F.lit, _STATUS)), (F.col("event_id") % 8 + 1).cast("int")).cast("long")
-    return requests.classify(table(spark, sf_dir, "events").select(status.alias("status")))
+    rows = spark.createDataFrame([(k, *x[:3]) for k, x in enumerate(_FAILURES)], "n long, status int, message string, code string")
+    return requests.classify(rows).select("n", "kind", "retryable")
 
 
 @query("SELECT n, least(4.0, 0.5 * pow(2, n - 1)) AS seconds FROM range(1, 8) t(n)")
@@ -414,15 +463,13 @@ def resume_topology(spark, sf_dir):
     return runs.resume(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id")).distinct(), _STAGES)
 
 
-_FORMATS = ["wav", "none", "m4a", "AAC", "mp3", "both", "all", "mp3,m4a", "flac", "m4a,ogg", " "]
+#: Requests for audio formats, with their canonical names; None: not valid.
+_FORMATS = {"wav": "wav", "none": "wav", "m4a": "m4a", "AAC": "m4a", " mp3 ": "mp3", "both": "both", "all": "both", "mp3,m4a": "both", "aac, MP3": "both", "wav,mp3": "mp3", "wav,m4a,aac": "m4a", "wav,": "wav", "flac": None, "m4a,ogg": None, "both,mp3": None, "none,m4a": None, " ": None, ",": None}
 
 
-@query(
-    f"SELECT request, CASE WHEN bad <> '' THEN NULL ELSE formats END AS formats, bad FROM (SELECT request, array_to_string(list_filter(['m4a', 'mp3'], lambda f: list_contains(t, f)), ',') AS formats, array_to_string(list_sort(list_distinct(list_filter(t, lambda x: x NOT IN ('m4a', 'mp3', 'wav')))), ',') AS bad FROM"
-    f" (SELECT request, flatten(list_transform(string_split(lower(request), ','), lambda x: CASE trim(x) WHEN 'both' THEN ['m4a', 'mp3'] WHEN 'all' THEN ['m4a', 'mp3'] WHEN 'aac' THEN ['m4a'] WHEN 'none' THEN ['wav'] WHEN '' THEN ['wav'] ELSE [trim(x)] END)) AS t FROM {sql_values(_FORMATS, 'request')}))"
-)
+@query("SELECT request, name, CASE name WHEN 'both' THEN 'm4a,mp3' WHEN 'wav' THEN '' ELSE name END AS formats FROM (VALUES " + ", ".join(f"({_sql_value(a)}, {_sql_value(b)})" for a, b in _FORMATS.items()) + ") v(request, name)")
 def output_format_resolve(spark, sf_dir):
-    return runs.resolve_formats(values(spark, _FORMATS, "request"))
+    return runs.resolve_formats(values(spark, list(_FORMATS), "request"))
 
 
 @query("SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 4 = 0 THEN ' cli ' END), ''), nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'env' END), ''), 'default') AS value FROM documents")
@@ -436,7 +483,7 @@ def package_plan(spark, sf_dir):
     return runs.package_plan(table(spark, sf_dir, "conversations"))
 
 
-@query("SELECT doc_id // 8 AS book_id, substr(sha256('epub|doc|cs|' || string_agg(n || ':' || lang, '|' ORDER BY doc_id)), 1, 24) AS identifier FROM (SELECT *, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS n FROM documents) GROUP BY 1")
+@query("SELECT book_id, substr(sha256('epub|books/' || book_id || '.epub|cs|chapter_scope_indices_csv=' || csv || ',chapter_scope_mode=all|' || titles), 1, 24) AS identifier FROM (SELECT doc_id // 8 AS book_id, string_agg(n::VARCHAR, ',' ORDER BY n) AS csv, string_agg(n || ':' || lang, '|' ORDER BY doc_id) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS n FROM documents) GROUP BY 1)")
 def epub_identifier(spark, sf_dir):
     return books.identifiers(table(spark, sf_dir, "documents"))
 

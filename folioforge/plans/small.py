@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import options as O
 from folioforge.functions import text as T
 from folioforge.operators import books, requests, runs
-from folioforge.plans.catalog import _OUTLINE, query, sql_values, table, values
+from folioforge.plans.catalog import _OUTLINE, _PARTS, _sql_value, parts_of, query, sql_values, table, values
 
 # -- sources and structure -----------------------------------------------------------
 
@@ -20,9 +20,9 @@ def source_format_detect(spark, sf_dir):
     return values(spark, _PATHS, "path").select("path", O.source_format(F.col("path")).alias("format"))
 
 
-@query("SELECT page_id, t AS media_type FROM (SELECT page_id, (['application/xhtml+xml', ' TEXT/HTML ', 'text/css', 'image/png', 'application/xml'])[page_id % 5 + 1] AS t FROM pages) WHERE lower(trim(t)) IN ('application/xhtml+xml', 'text/html', 'application/xml', 'text/xml')")
+@query("SELECT page_id, t AS media_type FROM (SELECT page_id, (['application/xhtml+xml', ' TEXT/HTML ', 'text/css', 'text/xml', 'application/xml'])[page_id % 5 + 1] AS t FROM pages) WHERE lower(trim(t)) IN ('application/xhtml+xml', 'text/html', 'application/xml')")
 def media_type_filter(spark, sf_dir):
-    kinds = F.array(*map(F.lit, ["application/xhtml+xml", " TEXT/HTML ", "text/css", "image/png", "application/xml"]))
+    kinds = F.array(*map(F.lit, ["application/xhtml+xml", " TEXT/HTML ", "text/css", "text/xml", "application/xml"]))
     typed = table(spark, sf_dir, "pages").select("page_id", F.element_at(kinds, (F.col("page_id") % 5 + 1).cast("int")).alias("media_type"))
     return typed.where(O.is_text_type(F.col("media_type")))
 
@@ -91,7 +91,7 @@ def chunk_numbering(spark, sf_dir):
 
 
 @query(
-    r"SELECT doc_id, count(*) FILTER (WHERE c IN ('!', '?') OR (c = '.' AND NOT (regexp_matches(b, '^\d$') AND regexp_matches(a, '^\d$')) AND NOT list_contains(['dr','mr','mrs','ms','prof','sr','jr','st','vs','etc','fig','no','al'], lower(regexp_extract(h, '([\p{L}]*)\.$', 1))) AND NOT regexp_matches(h, '(?:[\p{L}]\.){2,}$'))) AS boundaries"
+    r"SELECT doc_id, count(*) FILTER (WHERE c IN ('!', '?') OR (c = '.' AND NOT (regexp_matches(b, '^\d$') AND regexp_matches(a, '^\d$')) AND NOT list_contains(['dr','mr','mrs','ms','prof','sr','jr','st','vs','etc','fig','no','al'], lower(regexp_extract(h, '([\p{L}]*)\.$', 1))) AND NOT regexp_matches(h, '(?:[A-Za-z]\.){2,}$'))) AS boundaries"
     r" FROM (SELECT doc_id, substr(text, i, 1) AS c, substr(text, i - 1, 1) AS b, substr(text, i + 1, 1) AS a, CASE WHEN i > 9 THEN substr(text, i - 8, 9) ELSE substr(text, 1, i) END AS h FROM documents, LATERAL (SELECT unnest(range(1, length(text) + 1)) AS i) WHERE substr(text, i, 1) IN ('.', '!', '?')) GROUP BY 1"
 )
 def sentence_candidates(spark, sf_dir):
@@ -110,19 +110,19 @@ def sentence_candidates(spark, sf_dir):
 # -- costs, requests ---------------------------------------------------------------------
 
 
-@query("SELECT doc_id, greatest(1, 2 * length(text)) * 0.0015 / 1000 AS usd FROM documents")
+@query(f"SELECT doc_id, greatest(1, length(text) + length(tr)) * 0.0015::DOUBLE / 1000 AS usd FROM {_PARTS}")
 def cost_translate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", (F.greatest(F.lit(1), F.length("text") * 2) * requests.TRANSLATE / 1000).alias("usd"))
+    return parts_of(table(spark, sf_dir, "documents")).select("doc_id", requests.usage(requests.billed(F.col("text"), F.col("translated")) * requests.TRANSLATE / 1000).alias("usd"))
 
 
-@query("SELECT doc_id, greatest(1, 2 * length(text)) * 0.0008 / 1000 AS usd FROM documents")
+@query(f"SELECT doc_id, greatest(1, length(tr) + coalesce(length(rw), 0)) * 0.0008::DOUBLE / 1000 AS usd FROM {_PARTS}")
 def cost_rewrite(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", (F.greatest(F.lit(1), F.length("text") * 2) * requests.REWRITE / 1000).alias("usd"))
+    return parts_of(table(spark, sf_dir, "documents")).select("doc_id", requests.usage(requests.billed(F.col("translated"), F.col("rewritten")) * requests.REWRITE / 1000).alias("usd"))
 
 
-@query("SELECT doc_id, greatest(1, length(text)) * 0.0150 / 1000 AS usd FROM documents")
+@query(f"SELECT doc_id, greatest(1, coalesce(length(rw), 0)) * 0.0150::DOUBLE / 1000 AS usd FROM {_PARTS}")
 def cost_tts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", (F.greatest(F.lit(1), F.length("text")) * requests.SPEECH / 1000).alias("usd"))
+    return parts_of(table(spark, sf_dir, "documents")).select("doc_id", requests.usage(requests.billed(F.col("rewritten")) * requests.SPEECH / 1000).alias("usd"))
 
 
 @query("SELECT event_type, CAST(sum(greatest(0, CAST(trunc(value) AS BIGINT) % 4 - 1)) AS BIGINT) AS retries FROM events GROUP BY 1")
@@ -139,13 +139,17 @@ _RESPONSES = [
     '{"choices":[]}',
     "{}",
     "not json",
+    '{"choices":[{"message":{"content":"[cs] Ahoj"}}]}',
+    '{"choices":[{"message":{"content":[]}}]}',
+    '{"choices":[{"message":{"content":[{"type":"tool","text":"no"},{"type":"text","text":5},{"type":"text","text":" yes "},7]}}]}',
+    '{"choices":[{"message":{"content":12}}]}',
+    '{"choices":[{"message":{"content":null}}]}',
 ]
+#: What each of them holds.
+_CONTENTS = ["hello", "ab", None, None, None, None, "[cs] Ahoj", None, "yes", None, None]
 
 
-@query(
-    "SELECT response, nullif(trim(CASE WHEN json_type(j, '$.choices[0].message.content') = 'VARCHAR' THEN json_extract_string(j, '$.choices[0].message.content') WHEN json_type(j, '$.choices[0].message.content') = 'ARRAY' THEN array_to_string(list_filter(json_extract_string(j, '$.choices[0].message.content[*].text'), lambda x: x IS NOT NULL), '') END), '') AS content"
-    f" FROM (SELECT response, CASE WHEN json_valid(response) THEN response::JSON END AS j FROM {sql_values(_RESPONSES, 'response')})"
-)
+@query("SELECT response, content FROM (VALUES " + ", ".join(f"({_sql_value(a)}, {_sql_value(b)})" for a, b in zip(_RESPONSES, _CONTENTS, strict=True)) + ") v(response, content)")
 def chat_response_extract(spark, sf_dir):
     return values(spark, _RESPONSES, "response").select("response", O.chat_content(F.col("response")).alias("content"))
 
@@ -161,12 +165,25 @@ def speed_clamp(spark, sf_dir):
     return spark.range(14).select(asked.alias("asked"), F.least(F.lit(4.0), F.greatest(F.lit(0.25), asked)).alias("speed"))
 
 
-_ERRORS = ["invalid_credentials", "rate_limited", "timeout", "bad_request", "strange"]
+_STAGE_NAMES, _ERRORS = ["translate", "rewrite", "tts", "merge"], ["invalid_api_key", "insufficient_quota", "invalid_model", "timeout", "transport", "http_error", "strange"]
+
+
+def _hint_sql() -> str:
+    """The cases written out: kinds that have a hint of their own by stage or for all stages, and the stages' own for the others."""
+    by_kind = lambda kind: "CASE stage " + " ".join(f"WHEN {_sql_value(s)} THEN {_sql_value(t)}" for (k, s), t in O.HINTS.items() if k == kind and s) + f" ELSE {_sql_value(O.HINTS[kind, None])} END"
+    plain = lambda kind: _sql_value(O.HINTS[kind, None])
+    return (
+        f"SELECT stage, kind, CASE kind WHEN 'invalid_api_key' THEN {plain('invalid_api_key')} WHEN 'timeout' THEN {plain('timeout')} WHEN 'transport' THEN {plain('transport')}"
+        f" WHEN 'insufficient_quota' THEN {by_kind('insufficient_quota')} WHEN 'invalid_model' THEN {by_kind('invalid_model')} ELSE {by_kind(None)} END AS hint"
+        f" FROM (SELECT unnest({_STAGE_NAMES}) AS stage), (SELECT unnest({_ERRORS}) AS kind)"
+    )
 
 
-@query(f"SELECT kind, CASE kind WHEN 'invalid_credentials' THEN 'Check the provider key.' WHEN 'rate_limited' THEN 'Wait, or lower the rate.' WHEN 'timeout' THEN 'Try again later.' WHEN 'bad_request' THEN 'Check the model name.' ELSE 'See the log.' END AS hint FROM {sql_values(_ERRORS, 'kind')}")
+@query(_hint_sql())
 def error_hint_lookup(spark, sf_dir):
-    return values(spark, _ERRORS, "kind").select("kind", O.hint(F.col("kind")).alias("hint"))
+    """What to do about a failure, by kind and stage."""
+    rows = spark.createDataFrame([(s, k) for s in _STAGE_NAMES for k in _ERRORS], "stage string, kind string")
+    return rows.select("stage", "kind", O.hint(F.col("stage"), F.col("kind")).alias("hint"))
 
 
 @query("SELECT doc_id, '[narration] [cs] ' || text AS rewritten, 'mock' AS provider FROM documents")
@@ -211,21 +228,27 @@ def resume_scope(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(csv, F.when(sel != "all", sel), F.lit("1,2,3,4,5,6,7,8")).alias("scope"))
 
 
-_SCOPES = ["all", "", "1-3", "2,5", "1-3,5"]
+#: Mode, indices and label of chapter scopes, then their token and merged path.
+_SCOPES = [
+    ("all", "1,2", "all", "all", "audio/merged.wav"), (" ALL ", "1,2", "1-2", "all", "audio/merged.chapters_1_2.wav"), ("selected", "1,3,5", "1,3,5", "chapters-1-3-5", "audio/merged.chapters_1_3_5.wav"),
+    ("selected", "", "1-3,5", "selected", "audio/merged.chapters_1-3_5.wav"), ("selected", " , ", "x", "selected", "audio/merged.chapters_ _ .wav"), ("selected", None, None, "selected", "audio/merged.chapters_selected.wav"),
+]
 
 
-@query(f"SELECT scope, CASE WHEN trim(scope) IN ('', 'all') THEN 'all' ELSE 'chapters-' || replace(scope, ',', '_') END AS token, CASE WHEN trim(scope) IN ('', 'all') THEN 'audio/book.wav' ELSE 'audio/book_chapters_' || replace(scope, ',', '_') || '.wav' END AS merged FROM {sql_values(_SCOPES, 'scope')}")
+@query("SELECT n, token, merged FROM (VALUES " + ", ".join(f"({k}::BIGINT, {_sql_value(x[3])}, {_sql_value(x[4])})" for k, x in enumerate(_SCOPES)) + ") v(n, token, merged)")
 def scope_paths(spark, sf_dir):
     """Scope token and the path of the merged file."""
-    whole = F.btrim("scope").isin("", "all")
-    part = F.replace("scope", F.lit(","), F.lit("_"))
-    return values(spark, _SCOPES, "scope").select("scope", F.when(whole, "all").otherwise(F.concat(F.lit("chapters-"), part)).alias("token"), F.when(whole, "audio/book.wav").otherwise(F.concat(F.lit("audio/book_chapters_"), part, F.lit(".wav"))).alias("merged"))
+    rows = spark.createDataFrame([(k, *x[:3]) for k, x in enumerate(_SCOPES)], "n long, mode string, indices string, label string")
+    return rows.select("n", T.scope_token(F.col("mode"), F.col("indices")).alias("token"), T.merged_path(F.col("mode"), F.col("indices"), F.col("label")).alias("merged"))
 
 
-@query("SELECT event_id, string_agg(k || '=' || v, ' ' ORDER BY k) AS context FROM (SELECT event_id, 'user' AS k, user_id::VARCHAR AS v FROM events UNION ALL SELECT event_id, 'kind', regexp_replace(event_type, '[^A-Za-z0-9_.-]+', '_', 'g') FROM events UNION ALL SELECT event_id, 'attempt', (event_id % 3)::VARCHAR FROM events) GROUP BY 1")
+@query(
+    "SELECT event_id, string_agg(k || '=' || v, ' ' ORDER BY k) AS context FROM (SELECT event_id, 'user' AS k, user_id::VARCHAR AS v FROM events UNION ALL SELECT event_id, 'kind', 'é_' || event_type || ':a/b__c.d' FROM events UNION ALL SELECT event_id, 'attempt', CASE WHEN event_id % 3 = 0 THEN 'none' ELSE (event_id % 3)::VARCHAR END FROM events) GROUP BY 1"
+)
 def sorted_context(spark, sf_dir):
-    pairs = {"user": F.col("user_id").cast("string"), "kind": F.regexp_replace("event_type", "[^A-Za-z0-9_.-]+", "_"), "attempt": (F.col("event_id") % 3).cast("string")}
-    entries = F.array_sort(F.array(*[F.concat(F.lit(f"{k}="), v) for k, v in pairs.items()]))
+    attempt = F.when(F.col("event_id") % 3 == 0, "  ").otherwise((F.col("event_id") % 3).cast("string"))
+    pairs = {"user": F.col("user_id").cast("string"), "kind": F.concat(F.lit(" é "), F.col("event_type"), F.lit(":a/b ,c.d ")), "attempt": attempt}
+    entries = F.array_sort(F.array(*[F.concat(F.lit(f"{k}="), T.log_token(v)) for k, v in pairs.items()]))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(entries, " ").alias("context"))
 
 
@@ -258,15 +281,17 @@ def wav_tag_context(spark, sf_dir):
     return chapters.select("conv_id", "chapter_index", F.concat(F.lit("Chapter "), c, F.lit("/"), n).alias("title"), F.concat(F.lit("source="), F.col("conv_id").cast("string"), F.lit(";chapter="), c, F.lit(";scope=1-"), n).alias("comment"))
 
 
-_EXPORTS = ["none", "epub", "pdf,epub", "epub,html", "", "EPUB, PDF"]
+#: Requests for reader formats, what is wrong with them, their formats, and the status if EPUB alone was emitted.
+_EXPORTS = [
+    ("none", "", "none", "planned_only"), ("epub", "", "epub", "emitted"), ("pdf,epub", "", "epub,pdf", "partial"), ("pdf", "", "pdf", "partial"), ("epub,html,a", "a,html", None, "invalid"), ("", "", "none", "planned_only"),
+    (" EPUB , PDF,", "", "epub,pdf", "partial"), ("none,epub", "none", None, "invalid"), (" , ", "empty", None, "invalid"), (None, "", "none", "planned_only"),
+]
 
 
-@query(
-    f"SELECT request, array_to_string(f, ',') AS formats, bad, CASE WHEN bad <> '' THEN 'invalid' WHEN len(f) = 0 THEN 'none' WHEN len(f) = 1 AND f[1] = 'epub' THEN 'emitted' WHEN list_contains(f, 'epub') THEN 'partial' ELSE 'planned_only' END AS status FROM (SELECT request, list_filter(['epub', 'pdf'], lambda x: list_contains(t, x)) AS f, array_to_string(list_sort(list_distinct(list_filter(t, lambda x: x NOT IN ('epub', 'pdf', 'none', '')))), ',') AS bad FROM (SELECT request, list_transform(string_split(lower(request), ','), lambda x: trim(x)) AS t FROM {sql_values(_EXPORTS, 'request')}))"
-)
+@query("SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_sql_value, x))})" for x in _EXPORTS) + ") v(request, bad, formats, status)")
 def reader_export_status(spark, sf_dir):
     """Formats asked for against those emitted, here EPUB alone."""
-    return O.export_status(values(spark, _EXPORTS, "request"), emitted=["epub"])
+    return O.export_status(spark.createDataFrame([(x[0],) for x in _EXPORTS], "request string"), emitted=["epub"])
 
 
 @query("SELECT doc_id, coalesce(CASE WHEN doc_id % 5 = 0 THEN 'cli' END, CASE WHEN doc_id % 4 = 0 THEN 'env' END, CASE WHEN doc_id % 3 = 0 THEN 'file' END, 'default') AS value, CASE WHEN doc_id % 5 = 0 THEN 1 WHEN doc_id % 4 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 3 ELSE 4 END::BIGINT AS source FROM documents")

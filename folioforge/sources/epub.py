@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folioforge.functions.text import BLOCKS
 
 #: Media types of spine documents with text.
-TEXT_TYPES = ("application/xhtml+xml", "text/html", "application/xml", "text/xml")
+TEXT_TYPES = ("application/xhtml+xml", "text/html", "application/xml")
 #: Fixed value: the time of every entry of an archive that is written.
 STAMP = (1980, 1, 1, 0, 0, 0)
 

@@ -1,7 +1,7 @@
 """PDF files: a small writer for translated books, and text by an external tool where there is one.
 
-Without a PDF library, reading needs `pdftotext` and `pdfinfo` on the executors;
-without them it is an error that says so.
+Without a PDF library, reading needs `pdftotext` on the executors; without it
+there is an error that says so.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ BODY, HEAD, LEAD = 11.0, 16.0, 1.4
 
 
 def printable(text: str) -> str:
-    """What Latin-1 can print; a tab is four spaces, other spaces one, anything else a question mark."""
+    """What Latin-1 has; a tab is four spaces, a line end or hard space one, anything else a question mark."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = text.replace("\t", "    ").replace(" ", " ").replace("\n", " ")
-    return "".join(c if " " <= c <= "~" or "¡" <= c <= "ÿ" else "?" for c in text)
+    return "".join(c if " " <= c <= "ÿ" else "?" for c in text)
 
 
 def wrap(text: str, width: float, size: float) -> list[str]:
@@ -114,7 +115,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
                     text = subprocess.run(["pdftotext", "-layout", f.name, "-"], capture_output=True, check=True).stdout.decode("utf-8", "replace")
                 finally:
                     os.unlink(f.name)
-                rows += [(source, k, page.strip()) for k, page in enumerate(text.split("\f"), 1) if page.strip()]
+                # a form feed ends each page; blank pages keep their numbers
+                rows += [(source, k, page.strip()) for k, page in enumerate(text.removesuffix("\f").split("\f"), 1)]
             columns = zip(*rows, strict=True) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "page", "text"])
 

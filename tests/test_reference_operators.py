@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.functions import config, text
+from folioforge.functions import config, options, text
 from folioforge.operators import books, media, providers, requests, runs
 from folioforge.operators import sentences as S
 from folioforge.sources import artifacts, epub, pdf, wav
@@ -45,7 +45,31 @@ def test_cleaning(spark):
 
 def test_html_and_xhtml_agree(spark):
     page = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='<p>';</script></head><body><h1>A &amp; B</h1><p>x<br/>y</p><!-- gone --><ul><li>1</li><li>2</li></ul></body></html>"
-    assert one(spark, text.html_to_text, page) == epub.xhtml_text(page) == "T\n\nA & B\n\nx\n\ny\n\n1\n\n2"
+    assert one(spark, text.html_to_text, page) == epub.xhtml_text(page) == "T\nA & B\n\nx\n\ny\n\n1\n\n2"
+
+
+def test_entities_titles_and_slugs_of_any_script(spark):
+    page = "<title>T</title><body>Hello &eacute; &#233; &#xe9; &hellip; a&nbsp;b<tbody>x</tbody>"
+    assert one(spark, text.html_to_text, page) == epub.xhtml_text(page) == "THello é é é … a\u00a0b\nx"
+    assert one(spark, lambda t: text.slug(t), "Cafő łódź ﬁn") == "cafo-odz-fin"
+    assert one(spark, options.stem_title, "it's_3rd-book") == "It'S 3Rd Book" and one(spark, options.stem_title, "_-") == "Translated Document"
+
+
+def test_what_a_cut_sentence_is():
+    cut = S._is_cut_sentence
+    for head in ("word", ", so", "; so", ": so", ") so", "(so", "[so", "{so", "«so", "“so", '"so', "'so"):
+        assert cut("it goes", head) and not cut("it ends.", head), head
+    for head in ("Word", "‘so", "(So", "", "  "):
+        assert not cut("it goes", head), head
+    assert not cut('He said it. ) "', "so") and cut('an "open quote', "Word") and not cut("", "Word")
+
+
+def test_headings_and_marks(spark):
+    df = spark.createDataFrame([(1, "Chapter 1–Foo\nx"), (2, "a \ue000 b\nChapter 2 - Two\nc \ue000\ue001 d\ue002"), (3, "Chapter\n5\nx")], "book_id long, text string")
+    rows = sorted((r["book_id"], r["chapter_index"], r["title"], r["text"]) for r in books.split_chapters(df).collect())
+    assert rows == [(1, 1, "Chapter 1", "Chapter 1–Foo\nx"), (2, 1, "Chapter 1", "a \ue000 b"), (2, 2, "Chapter 2 - Two", "c \ue000\ue001 d\ue002"), (3, 1, "Chapter 5", "x")]
+    units = spark.createDataFrame([(1, 1, "lost\n1.2.3 Deep\nSection 4\nbody")], "book_id long, chapter_index long, text string")
+    assert [(r["title"], r["text"]) for r in books.split_subchapters(units).orderBy("subchapter_index").collect()] == [("1.2.3 Deep", "1.2.3 Deep"), ("Section 4", "body")]
 
 
 def test_chapters(spark):
