@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+import os
+from collections.abc import Callable, Mapping
 
 #: The keys of a configuration file.
 KEYS = frozenset(
@@ -87,6 +88,16 @@ def resolve(key: str, *sources: Mapping[str, str | None]) -> str | None:
     return next((v.strip() for s in sources if (v := s.get(key)) and v.strip()), None)
 
 
+def anchored(raw: object, manifest: str, default: str, exists: Callable[[str], bool] = os.path.exists) -> str:
+    """A path of a manifest: absolute as it is, else beside the manifest if it is there, else as it is; blank: the default."""
+    if not isinstance(raw, str) or not raw.strip():
+        return default
+    if os.path.isabs(raw):
+        return raw
+    beside = os.path.join(os.path.dirname(manifest), raw)
+    return beside if exists(beside) else raw
+
+
 def digest(config: Mapping) -> str:
     """SHA-256 of the canonical JSON: sorted keys, no spaces, ASCII alone."""
     return hashlib.sha256(json.dumps(dict(config), sort_keys=True, separators=(",", ":"), ensure_ascii=True, default=str).encode()).hexdigest()

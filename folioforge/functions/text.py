@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -107,9 +108,17 @@ def merge_drop_caps(text: Column) -> Column:
     return F.aggregate(F.split(text, "\n", -1), empty, step, lambda s: F.struct(F.array_join(put_back(s), "\n").alias("text"), s["n"].alias("merges")))
 
 
-def clean(text: Column) -> Column:
-    """All rules in order, then stripped."""
-    rules = [blank_page_numbers, join_hyphens, lambda t: merge_drop_caps(t)["text"], plain_quotes, collapse_blanks, drop_figure_refs]
+def keep_headers(text: Column) -> Column:
+    """The place of a rule for running headers and footers, which leaves them as they are."""
+    return text
+
+
+#: The cleaning rules in their order.
+RULES: tuple[Callable[[Column], Column], ...] = (blank_page_numbers, keep_headers, join_hyphens, lambda t: merge_drop_caps(t)["text"], plain_quotes, collapse_blanks, drop_figure_refs)
+
+
+def clean(text: Column, rules: Sequence[Callable[[Column], Column]] = RULES) -> Column:
+    """The rules in order, then stripped."""
     return strip(reduce(lambda t, rule: rule(t), rules, text))
 
 

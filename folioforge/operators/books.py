@@ -53,6 +53,29 @@ def split_subchapters(chapters: DataFrame) -> DataFrame:
     return rows.select("book_id", "chapter_index", (F.col("k") + 1).cast("long").alias("subchapter_index"), title.alias("title"), F.when(body == "", F.coalesce(title, body)).otherwise(body).alias("text"))
 
 
+def choose_split(books: DataFrame) -> DataFrame:
+    """Where each book's chapters and structure come from, and why a better source was passed over.
+
+    `books` has `format` (pdf, epub or another), `outline` and `nav` (how many
+    chapters each gives; null: it failed), their `outline_status` and
+    `nav_status`, and `units` (of the outline's structure; null: it failed).
+    """
+    from_outline = (F.col("format") == "pdf") & (F.coalesce("outline", F.lit(0)) > 0)
+    from_nav = (F.col("format") == "epub") & (F.coalesce("nav", F.lit(0)) > 0)
+    source = F.when(from_outline, "pdf_outline").when(from_nav, "epub_nav").otherwise("text_heuristic")
+    failed = lambda n, status, kind: F.when(F.col(n).isNull(), kind).otherwise(F.col(status))
+    reason = (
+        F.when(from_outline | from_nav, "")
+        .when(F.col("format") == "pdf", failed("outline", "outline_status", "outline_invalid"))
+        .when(F.col("format") == "epub", failed("nav", "nav_status", "nav_invalid"))
+        .otherwise("outline_unsupported_for_format")
+    )
+    chosen = books.withColumn("source", source).withColumn("reason", reason)
+    has_units = (F.col("source") == "pdf_outline") & (F.coalesce("units", F.lit(0)) > 0)
+    structure = F.when(has_units, "pdf_outline").when(F.col("source") == "epub_nav", "epub_nav").otherwise("text_heuristic")
+    return chosen.withColumn("structure", structure)
+
+
 def outline(lines: DataFrame) -> DataFrame:
     """Outline entries (`book_id`, `pos`, `page`) from order lines."""
     return lines.groupBy(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").cast("long").alias("pos")).agg((F.max("l_partkey") % 20).cast("long").alias("page"))

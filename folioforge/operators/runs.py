@@ -45,6 +45,41 @@ def parse_selections(selections: DataFrame, available: int) -> DataFrame:
     return rows.select("selection", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("indices_csv"), F.col("n").isNotNull().alias("valid"))
 
 
+def parse_indices(stored: DataFrame, available: int) -> DataFrame:
+    """Chapters of each stored list of indices (`csv`; blank or null: all), null where it isn't valid: no ranges, nothing twice."""
+    items = F.transform(F.split("csv", ","), lambda x: F.btrim(x))
+    blank = F.coalesce(F.btrim("csv") == "", F.lit(True))
+    rows = stored.select("csv", blank.alias("blank"), F.when(F.forall(items, lambda x: x.rlike(r"^\d+$")), F.transform(items, lambda x: x.try_cast("long"))).alias("n"))
+    inside = F.forall("n", lambda x: x.between(1, available)) & (F.size(F.array_distinct("n")) == F.size("n"))
+    every = F.sequence(F.lit(1).cast("long"), F.lit(available).cast("long"))
+    rows = rows.withColumn("n", F.when(F.col("blank"), every).when(inside, F.array_sort("n")))
+    return rows.select("csv", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("indices_csv"), F.col("n").isNotNull().alias("valid"))
+
+
+def chapter_parts(parts: DataFrame, book: str, *, numbering: str = "source") -> DataFrame:
+    """Of each chapter its number, title, track and files in order, and the source units that it refers to.
+
+    `parts` has `book`, `chapter_index`, `chunk_index`, `part_title`, `file` and
+    `orders` (array).  The title is the first part's, `chapter-001` and so on
+    without one; numbers are the source's or run over the chapters that are there.
+    """
+    by_place = F.sort_array(F.collect_list(F.struct("chunk_index", "part_title", "file")))
+    chapters = parts.groupBy(book, "chapter_index").agg(by_place.alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("orders")))).alias("o"))
+    own = Window.partitionBy(book)
+    number = F.col("chapter_index") if numbering == "source" else F.row_number().over(own.orderBy("chapter_index"))
+    title = F.coalesce(F.nullif(F.col("p")[0]["part_title"], F.lit("")), F.format_string("chapter-%03d", "chapter_index"))
+    rows = chapters.withColumn("number", number.cast("long")).withColumn("total", F.count("*").over(own))
+    return rows.select(
+        book,
+        "chapter_index",
+        "number",
+        title.alias("title"),
+        F.concat_ws("/", "number", "total").alias("track"),
+        F.array_join(F.transform("p", lambda x: x["file"]), ",").alias("files"),
+        F.array_join(F.transform("o", lambda x: x.cast("string")), ",").alias("orders"),
+    )
+
+
 def part_mapping(turns: DataFrame) -> DataFrame:
     chapter, part = F.expr("turn div 4 + 1"), F.col("turn") % 4 + 1
     rows = turns.select("conv_id", "turn", F.concat_ws(":", chapter, part).alias("m"), F.format_string("%03d_%02d.wav", chapter, part).alias("f"))

@@ -33,19 +33,47 @@ def nav_choice_status(spark, sf_dir):
     return counted.select("book_id", F.when(F.col("nav") > 0, "nav").when(F.col("ncx") > 0, "ncx").otherwise("none").alias("chosen"), (F.col("nav") + F.col("ncx")).alias("candidates"))
 
 
+#: Format, chapters of outline and navigation, their statuses and units of books, then source, reason and structure.
+_BOOKS = [
+    ("pdf", 3, None, "pdf_outline", None, 5, "pdf_outline", "", "pdf_outline"), ("pdf", 3, None, "pdf_outline", None, 0, "pdf_outline", "", "text_heuristic"), ("pdf", 3, None, "pdf_outline", None, None, "pdf_outline", "", "text_heuristic"),
+    ("pdf", 0, 4, "outline_missing", "epub_nav", 0, "text_heuristic", "outline_missing", "text_heuristic"), ("pdf", None, None, None, None, None, "text_heuristic", "outline_invalid", "text_heuristic"),
+    ("epub", None, 2, None, "epub_nav", None, "epub_nav", "", "epub_nav"), ("epub", 9, 0, "pdf_outline", "nav_missing", 9, "text_heuristic", "nav_missing", "text_heuristic"), ("epub", None, None, None, None, None, "text_heuristic", "nav_invalid", "text_heuristic"),
+    ("txt", 1, 1, "pdf_outline", "epub_nav", 1, "text_heuristic", "outline_unsupported_for_format", "text_heuristic"),
+]
+
+
+@query("SELECT n, source, reason, structure FROM (VALUES " + ", ".join(f"({k}::BIGINT, {', '.join(map(_sql_value, x[6:]))})" for k, x in enumerate(_BOOKS)) + ") v(n, source, reason, structure)")
+def structure_fallback(spark, sf_dir):
+    """The first of outline, navigation and headings that gives a book chapters, why the ones before were passed over, and the structure's source."""
+    rows = spark.createDataFrame([(k, *x[:6]) for k, x in enumerate(_BOOKS)], "n long, format string, outline int, nav int, outline_status string, nav_status string, units int")
+    return books.choose_split(rows).select("n", "source", "reason", "structure")
+
+
+#: Stored index lists, with the chapters of eight that they name; None: not valid.
+_STORED = {"1": "1", " 3 ,1": "1,3", "": "1,2,3,4,5,6,7,8", "2-3": None, "1,,2": None, "1,1": None, "0": None, "9": None, "x": None, "8,7": "7,8"}
+
+
+@query("SELECT csv, indices_csv, indices_csv IS NOT NULL AS valid FROM (VALUES " + ", ".join(f"({_sql_value(a)}, {_sql_value(b)})" for a, b in _STORED.items()) + ") v(csv, indices_csv)")
+def stored_indices(spark, sf_dir):
+    """Chapters of index lists as manifests hold them."""
+    return runs.parse_indices(values(spark, list(_STORED), "csv"), available=8)
+
+
 @query(
-    "SELECT doc_id // 8 AS book_id, CASE WHEN bool_or(doc_id % 3 = 0) AND doc_id // 8 % 2 = 0 THEN 'pdf_outline' WHEN doc_id // 8 % 3 = 0 THEN 'epub_nav' ELSE 'text_heuristic' END AS source,"
-    " CASE WHEN bool_or(doc_id % 3 = 0) AND doc_id // 8 % 2 = 0 THEN '' WHEN doc_id // 8 % 3 = 0 THEN 'outline_missing' ELSE 'nav_missing' END AS reason FROM documents GROUP BY 1, doc_id // 8"
+    "WITH p AS (SELECT conv_id, turn // 4 + 2 AS c, turn % 4 AS k, CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS t, printf('%03d_%02d.wav', turn // 4 + 2, turn % 4 + 1) AS f, turn // 2 AS a, turn + 1 AS b FROM conversations WHERE turn // 4 <> 1),"
+    " named AS (SELECT conv_id, c, dense_rank() OVER (PARTITION BY conv_id ORDER BY c) AS number, coalesce(nullif(arg_min(t, k), ''), printf('chapter-%03d', c)) AS title, string_agg(f, ',' ORDER BY k) AS files FROM p GROUP BY conv_id, c),"
+    " refs AS (SELECT conv_id, c, string_agg(o::VARCHAR, ',' ORDER BY o) AS orders FROM (SELECT DISTINCT conv_id, c, unnest([a, b]) AS o FROM p) GROUP BY 1, 2)"
+    " SELECT conv_id, c AS chapter_index, number, title, number || '/' || count(*) OVER (PARTITION BY conv_id) AS track, files, orders FROM named JOIN refs USING (conv_id, c)"
 )
-def structure_fallback(spark, sf_dir):
-    """The first of outline, navigation and headings that a book has, and why the ones before were passed over."""
-    book = F.expr("doc_id div 8")
-    has = table(spark, sf_dir, "documents").groupBy(book.alias("book_id")).agg((F.bool_or(F.col("doc_id") % 3 == 0) & (F.first(book) % 2 == 0)).alias("outline"), (F.first(book) % 3 == 0).alias("nav"))
-    return has.select(
-        "book_id",
-        F.when(F.col("outline"), "pdf_outline").when(F.col("nav"), "epub_nav").otherwise("text_heuristic").alias("source"),
-        F.when(F.col("outline"), "").when(F.col("nav"), "outline_missing").otherwise("nav_missing").alias("reason"),
-    )
+def chapter_parts(spark, sf_dir):
+    """Chapters of a run in order, with the parts and source units that they hold; numbers run over the chapters that are there."""
+    turns = table(spark, sf_dir, "conversations").where("turn div 4 <> 1").dropDuplicates(["conv_id", "turn"])
+    c = F.expr("turn div 4 + 2")
+    parts = turns.select(
+        "conv_id", c.alias("chapter_index"), (F.col("turn") % 4).alias("chunk_index"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role")).alias("part_title"),
+        F.format_string("%03d_%02d.wav", c, F.col("turn") % 4 + 1).alias("file"), F.array(F.expr("turn div 2"), F.col("turn") + 1).alias("orders"),
+    )
+    return runs.chapter_parts(parts, "conv_id", numbering="sequential")
 
 
 @query(

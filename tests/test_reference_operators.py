@@ -72,6 +72,13 @@ def test_headings_and_marks(spark):
     assert [(r["title"], r["text"]) for r in books.split_subchapters(units).orderBy("subchapter_index").collect()] == [("1.2.3 Deep", "1.2.3 Deep"), ("Section 4", "body")]
 
 
+def test_custom_rules_and_anchored_paths(spark):
+    assert one(spark, lambda t: text.clean(t, [text.plain_quotes]), " “a” \n 12 ") == '"a" \n 12'
+    assert one(spark, text.keep_headers, "Header\nx") == "Header\nx"
+    there = lambda path: path == "/run/audio/a.wav"
+    assert [config.anchored(x, "/run/manifest.json", "/d", there) for x in ("/abs", "audio/a.wav", "other.wav", " ", None, 3)] == ["/abs", "/run/audio/a.wav", "other.wav", "/d", "/d", "/d"]
+
+
 def test_chapters(spark):
     df = spark.createDataFrame([(1, "CHAPTER 1\nAlpha line.\n\nCHAPTER 2: Beta\nBeta line.\n"), (2, "no heading"), (3, "  "), (4, "Before\nKapitola IV\n"), (5, "Chapter One\nx")], "book_id long, text string")
     rows = sorted((r["book_id"], r["chapter_index"], r["title"], r["text"]) for r in books.split_chapters(df).collect())
