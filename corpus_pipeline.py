@@ -26,8 +26,19 @@ from folioforge.llm.queries import trusted_labels
 from folioforge.llm.source_mixing import coarse_topic, draw
 
 
+#: Rows and bytes of a batch of texts on their way to a Python worker, and bytes of encoded pre-tokens that one keeps.
+BATCH_ROWS, BATCH_BYTES, CACHE = 2000, 8 << 20, 40 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep batches small on both sides of a worker's pipe, as executors hold several stages' workers at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that the weighted votes of the rules reject go."""
+    small_batches(spark)
     return apply_rules(docs)
 
 
@@ -49,7 +60,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: ids of each text, as their number and digests of them and of the text decoded from them."""
     keep = ["doc_id", "lang", "source"]
-    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=keep)
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=keep, cache=CACHE)
 
 
 STAGES = [

@@ -68,7 +68,7 @@ FREQUENT_MOST = 1 << 16
 #: Tokens that a task gathers before it counts them.
 GATHER = 3_000_000
 #: Distinct sets that a task remembers to send copies once, and pairs that it remembers to name them once.
-REMEMBER = 1 << 18
+REMEMBER = 1 << 17
 #: Rows of mixed buckets that one task takes, about, and members that it holds against others.
 SPREAD, HELD = 16_384, 2048
 
