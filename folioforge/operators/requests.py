@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,32 @@ def cache_key(text: Column, *, provider: str = "openai", model: str = "gpt", ope
     return F.sha2(F.concat(F.lit(head), F.btrim(F.regexp_replace(text, r"\s+", " "))), 256)
 
 
+def _ascii_json(text: Column) -> Column:
+    """A string as JSON in ASCII: anything but printable ASCII by its UTF-16 units."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"))
+
+    def unit(u: Column) -> Column:
+        plain = F.char(F.conv(u, 16, 10).cast("long"))
+        escaped = F.concat(F.lit("\\u"), F.lower(u))
+        return F.when(u == "0022", '\\"').when(u == "005C", "\\\\").when(u == "0008", "\\b").when(u.between("0020", "007E"), plain).otherwise(escaped)
+
+    simple = ~text.rlike(r'[^ -~]|["\\]')
+    body = F.when(simple, text).otherwise(F.array_join(F.transform(units, unit), ""))
+    return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
+
+
+def identity_key(identity: dict[str, Column], *, provider: str, model: str, operation: str) -> Column:
+    """Key of a response: a digest of what was asked, as compact JSON with sorted names and white space collapsed.
+
+    `identity` has strings; the key of null is that of JSON's null.
+    """
+    collapse = lambda c: F.btrim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
+    fields = [F.concat(F.lit(json.dumps(k) + ":"), _ascii_json(collapse(identity[k]))) for k in sorted(identity)]
+    document = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    head = f"response:{provider.strip().lower()}:{model.strip()}:{operation.strip().lower()}:"
+    return F.concat(F.lit(head), F.sha2(document, 256))
+
+
 def answered(asked: DataFrame) -> DataFrame:
     """For each request its key and the request that was sent for it, the first with that key."""
     keyed = asked.select("doc_id", cache_key(F.col("text")).alias("cache_key"))

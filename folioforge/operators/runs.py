@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import log_token
+
 FORMATS = ("m4a", "mp3")
+#: The stages of a run, in order.
+STAGES = ["extract", "clean", "split", "chunk", "translate", "rewrite", "tts", "merge", "package", "manifest"]
 
 
 def first_set(*choices: Column) -> Column:
@@ -131,3 +135,21 @@ def package_plan(turns: DataFrame) -> DataFrame:
     total = F.count("*").over(Window.partitionBy("conv_id"))
     n = F.col("chapter_number")
     return chapters.select("conv_id", "chapter_number", F.format_string("chapter_%03d_chapter-%d.m4a", n, n).alias("file"), F.concat_ws("/", n, total).alias("track"), "parts")
+
+
+def stage_events(outcomes: DataFrame) -> DataFrame:
+    """`run_id`, `seq`, `line`, `place`: log lines of stages as they begin and end, with their place among all stages where they begin.
+
+    `outcomes` has `run_id`, `n` (order), `stage` and `error_type` (null: it went well);
+    a run ends with its first failure.  A stage of another name has no place.
+    """
+    before = Window.partitionBy("run_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    ran = outcomes.where("stage IS NOT NULL").withColumn("failed", F.coalesce(F.max(F.col("error_type").isNotNull()).over(before), F.lit(False))).where("NOT failed")
+    line = lambda level, event: F.concat(F.lit(f"[phase] level={level} stage="), F.col("stage"), F.lit(f" event={event}"))
+    error = F.concat(line("ERROR", "failure"), F.lit(" error_type="), log_token(F.col("error_type")))
+    at = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    place = F.when(at > 0, F.concat(at.cast("string"), F.lit(f"/{len(STAGES)}")))
+    start = F.struct(F.lit(1).alias("k"), line("INFO", "start").alias("line"), place.alias("place"))
+    end = F.struct(F.lit(2).alias("k"), F.when(F.col("error_type").isNull(), line("INFO", "complete")).otherwise(error).alias("line"), F.lit(None).cast("string").alias("place"))
+    events = ran.select("run_id", "n", F.inline(F.array(start, end)))
+    return events.select("run_id", F.row_number().over(Window.partitionBy("run_id").orderBy("n", "k")).cast("long").alias("seq"), "line", "place")

@@ -1,20 +1,23 @@
-"""PDF files: a small writer for translated books, and text by an external tool where there is one.
+"""PDF files: a small writer for translated books, and pages and outlines where there is a reader.
 
-Without a PDF library, reading needs `pdftotext` on the executors; without it
-there is an error that says so.
+Text comes from `pdfinfo` and `pdftotext` on the executors or else from `pypdf`,
+outlines from `pypdf`; without them there is an error that says so.
 """
 
 from __future__ import annotations
 
-import os
+import io
 import re
 import shutil
 import subprocess
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioforge.functions.text import strip
 
 #: An A4 page, its margin, and the width of a character as a share of the type size.
 WIDTH, HEIGHT, MARGIN, CHAR = 595, 842, 56, 0.56
@@ -100,25 +103,97 @@ def build_pdfs(books: DataFrame) -> DataFrame:
     return books.select("book_id", "title", "chapters").mapInArrow(run, f"book_id {kind}, content binary")
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """`path`, `page`, `text` of every page of the PDF files in a folder, by `pdftotext`."""
+def tool(name: str, *arguments: str) -> str | None:
+    """What a PDF tool prints, or None where it isn't installed."""
+    if not shutil.which(name):
+        return None
+    done = subprocess.run([name, *arguments], capture_output=True)
+    if done.returncode:
+        raise RuntimeError(f"{name} failed: {done.stderr.decode('utf-8', 'replace').strip() or 'unknown error'}")
+    return done.stdout.decode("utf-8", "replace")
+
+
+def page_count(info: str) -> int:
+    """The number of pages by what `pdfinfo` prints."""
+    found = re.search(r"^Pages:\s+([0-9]+)\s*$", info, re.MULTILINE)
+    if not found:
+        raise ValueError("the page count isn't in what pdfinfo printed")
+    return int(found[1])
+
+
+def pages_of(content: bytes) -> list[str]:
+    """Text of every page, blank ones included: by the tools, else by a PDF library, else there is an error."""
+    with tempfile.NamedTemporaryFile(suffix=".pdf") as f:
+        f.write(content)
+        f.flush()
+        info = tool("pdfinfo", f.name)
+        text = None if info is None else tool("pdftotext", "-enc", "UTF-8", f.name, "-")
+    if info is not None and text is not None:
+        pages = text.split("\f")
+        n = page_count(info)
+        return [x.strip() for x in (pages + [""] * n)[:n]]
+    try:
+        from pypdf import PdfReader
+    except ImportError:
+        raise RuntimeError("reading PDF files needs pdfinfo and pdftotext, or pypdf, on the executors") from None
+    return [(page.extract_text() or "").replace("\f", "\n").strip() for page in PdfReader(io.BytesIO(content)).pages]
+
+
+def outline_of(items: Sequence[object], page_of: Callable[[object], int | None], level: int = 0) -> Iterator[tuple[int, str, int | None]]:
+    """Level, title and page of an outline's items in reading order; a list holds what lies below the item before it."""
+    for item in items:
+        if isinstance(item, list):
+            yield from outline_of(item, page_of, level + 1)
+        else:
+            yield level, str(getattr(item, "title", "") or ""), page_of(item)
+
+
+def _read_outline(content: bytes) -> list[tuple[int, str, int | None]]:
+    from pypdf import PdfReader
+
+    reader = PdfReader(io.BytesIO(content))
+
+    def page_of(item: object) -> int | None:
+        try:
+            return reader.get_destination_page_number(item)
+        except Exception:  # an item may point outside the file or nowhere; it has no target then
+            return None
+
+    return list(outline_of(reader.outline or [], page_of))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+
+
+def _rows(kinds: dict[str, pa.DataType], make: Callable[[bytes], list[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches of `path`, `content` that gives the rows made of each file, a batch for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not shutil.which("pdftotext"):
-            raise RuntimeError("reading PDF files needs pdftotext on the executors")
         for batch in batches:
-            rows = []
             for source, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with tempfile.NamedTemporaryFile(suffix=".pdf", delete=False) as f:
-                    f.write(content.as_py())
-                try:
-                    text = subprocess.run(["pdftotext", "-layout", f.name, "-"], capture_output=True, check=True).stdout.decode("utf-8", "replace")
-                finally:
-                    os.unlink(f.name)
-                # a form feed ends each page; blank pages keep their numbers
-                rows += [(source, k, page.strip()) for k, page in enumerate(text.removesuffix("\f").split("\f"), 1)]
-            columns = zip(*rows, strict=True) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "page", "text"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, page long, text string")
+                rows = [(source, *r) for r in make(content.as_py())]
+                columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    return run
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """`path`, `page` (from 0), `text` of every page of the PDF files in a folder."""
+    kinds = {"path": pa.string(), "page": pa.int64(), "text": pa.string()}
+    return _files(spark, path).mapInArrow(_rows(kinds, lambda content: list(enumerate(pages_of(content)))), "path string, page long, text string")
+
+
+def read_outlines(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of the PDF files' outlines as `operators.outlines` takes them, with `path`; needs `pypdf` on the executors."""
+    kinds = {"path": pa.string(), "pos": pa.int64(), "level": pa.int64(), "title": pa.string(), "page": pa.int64()}
+    return _files(spark, path).mapInArrow(_rows(kinds, lambda content: [(k, *x) for k, x in enumerate(_read_outline(content))]), "path string, pos long, level long, title string, page long")
+
+
+def full_text(pages: DataFrame) -> DataFrame:
+    """`path` and `text` of whole files, pages joined by line ends; a file without text is an error."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    text = strip(F.array_join("t", "\n"))
+    refused = F.raise_error(F.concat(F.lit("no text in PDF "), F.col("path"))).cast("string")
+    return pages.groupBy("path").agg(ordered.alias("t")).select("path", F.when(text == "", refused).otherwise(text).alias("text"))
