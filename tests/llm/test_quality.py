@@ -172,3 +172,40 @@ def test_pooled_threshold_without_trusted_documents_of_the_pooled_model(spark):
     docs = docs_frame(spark, [(i, prose(i, 120)) for i in range(90)]).withColumn("lang", F.when(F.col("doc_id") < 80, "en"))
     rows = qc.classify(docs, docs.where("doc_id < 80").select("doc_id"), upper=1.0).collect()
     assert all(r["threshold"] < 100 for r in rows) and sum(r["kept"] for r in rows) > 80
+
+
+def test_every_trusted_document_trains_or_is_held_out(spark):
+    """Counts, models and thresholds come from all trusted documents, however many there are."""
+    rows = [(i, prose(i, 2), "en" if i % 8 else "fr") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = docs.where("doc_id < 5900").select("doc_id")
+    model = qc.train(docs, trusted, pooled=False)
+    trains = {r["doc_id"]: r["trains"] for r in model.roles.collect()}
+    hashed = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) % qc.HELD_OUT != 0).alias("x")).collect()
+    assert trains == {r["doc_id"]: r["x"] for r in hashed if r["doc_id"] < 5900} and 4500 < sum(trains.values()) < 4900
+    # no document is judged by the pooled model, so there is none
+    assert model.langs == ["en", "fr"] == sorted(model.arrays().levels) and len(model.arrays().levels["en"]) == qc.ORDER
+    assert model.rows == sum(len(x) for level in model.arrays().levels.values() for order in level for x in order[::2])
+    out = {r["doc_id"]: r for r in qc.classify(docs, trusted).collect()}
+    for lang in model.langs:
+        brute = brute_kneser_ney([t for i, t, x in rows if trains.get(i) and x == lang])
+        some = [(i, t) for i, t, x in rows if x == lang and i % 8 in (0, 1)]
+        assert all(math.isclose(out[i]["log_perplexity"], brute(t), rel_tol=1e-6) for i, t in some)
+        pool = sorted(brute(t) for i, t, x in rows if x == lang and trains.get(i) is False)
+        assert math.isclose(out[some[0][0]]["threshold"], pool[math.ceil(qc.UPPER * len(pool)) - 1], rel_tol=1e-6)
+
+
+@pytest.mark.parametrize("held", [0, 40, 1 << 20])
+def test_counts_of_batches_that_are_passed_on_early(held):
+    import pyarrow as pa
+
+    texts = [prose(i, 5) for i in range(30)] + ["", None, "東京"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en", "", "fr"]), pa.array(texts[i : i + 3], pa.string())], names=["lang", "text"]) for i in range(0, 33, 3)]
+    found = Counter()
+    for b in qc.count_batches(iter(batches), held):
+        for lang, gram, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            found[lang, gram] += c
+    expected = Counter()
+    for i, t in enumerate(texts):
+        expected.update((("en", "", "fr")[i % 3], g) for g in qc.grams_of([t])[0].tolist())
+    assert found == expected and not list(qc.count_batches(iter([]), held))
