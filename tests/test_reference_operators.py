@@ -48,6 +48,11 @@ def test_html_and_xhtml_agree(spark):
     assert one(spark, text.html_to_text, page) == epub.xhtml_text(page) == "T\nA & B\n\nx\n\ny\n\n1\n\n2"
 
 
+def test_references_cut_before_their_semicolon(spark):
+    page = "<html><body><h1>a &amp;&amp;&amp</h1><p>b &quot</p><p>c &am</p></body></html>"
+    assert one(spark, text.html_to_text, page) == epub.xhtml_text(page) == 'a &&&\n\nb "\n\nc &am'
+
+
 def test_entities_titles_and_slugs_of_any_script(spark):
     page = "<title>T</title><body>Hello &eacute; &#233; &#xe9; &hellip; a&nbsp;b<tbody>x</tbody>"
     assert one(spark, text.html_to_text, page) == epub.xhtml_text(page) == "THello é é é … a\u00a0b\nx"
