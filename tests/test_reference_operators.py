@@ -77,6 +77,15 @@ def test_headings_and_marks(spark):
     assert [(r["title"], r["text"]) for r in books.split_subchapters(units).orderBy("subchapter_index").collect()] == [("1.2.3 Deep", "1.2.3 Deep"), ("Section 4", "body")]
 
 
+def test_a_line_that_begins_with_dotted_numbers_is_a_subheading(spark):
+    """Wherever it comes from: a document's own line cuts as one that was put around it."""
+    doc = "First.\n28.68.191.238 Den zu.\nLast."
+    made = spark.createDataFrame([(1, 1, f"lost\n1.1 part\n{doc}\n1.2 part\n{doc}")], "book_id long, chapter_index long, text string")
+    got = [(r["title"], r["text"]) for r in books.split_subchapters(made).orderBy("subchapter_index").collect()]
+    own = ("28.68.191.238 Den zu.", "Last.")
+    assert got == [("1.1 part", "First."), own, ("1.2 part", "First."), own]
+
+
 def test_custom_rules_and_anchored_paths(spark):
     assert one(spark, lambda t: text.clean(t, [text.plain_quotes]), " “a” \n 12 ") == '"a" \n 12'
     assert one(spark, text.keep_headers, "Header\nx") == "Header\nx"
