@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
+#: Values that are encoded at once.
+_STEP = 1 << 16
 
 
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -37,20 +39,21 @@ class EliasFano:
     @classmethod
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
         n = len(values)
-        values = values.astype(_U)
         bits = max(0, (max(1, universe) // max(1, n)).bit_length() - 1)
         low = np.zeros(n * bits // 64 + 2, _U)
-        if bits:
-            part = values & _U((1 << bits) - 1)
-            place = np.arange(n, dtype=_U) * _U(bits)
-            word, off = (place >> _U(6)).astype(np.int64), place & _U(63)
-            np.bitwise_or.at(low, word, part << off)
-            over = off + _U(bits) > _U(64)
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (_U(64) - off[over]))
-        place = (values >> _U(bits)).astype(np.int64) + np.arange(n)
         size = (universe >> bits) + n + 1
         high = np.zeros(size // 64 + 1, _U)
-        np.bitwise_or.at(high, place >> 6, _U(1) << (place & 63).astype(_U))
+        for at in range(0, n, _STEP):
+            some = values[at : at + _STEP].astype(_U)
+            if bits:
+                part = some & _U((1 << bits) - 1)
+                place = np.arange(at, at + len(some), dtype=_U) * _U(bits)
+                word, off = (place >> _U(6)).astype(np.int64), place & _U(63)
+                np.bitwise_or.at(low, word, part << off)
+                over = off + _U(bits) > _U(64)
+                np.bitwise_or.at(low, word[over] + 1, part[over] >> (_U(64) - off[over]))
+            place = (some >> _U(bits)).astype(np.int64) + np.arange(at, at + len(some))
+            np.bitwise_or.at(high, place >> 6, _U(1) << (place & 63).astype(_U))
         ones = np.zeros(len(high) + 1, np.int64)
         np.cumsum(np.bitwise_count(high), out=ones[1:])
         return cls(n, bits, low, high, ones)

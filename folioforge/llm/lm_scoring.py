@@ -26,8 +26,8 @@ different ones.  A context that was never followed is passed over.  Texts are
 preceded by one end token and never reach into the text before.
 
 There is a shard for each `SHARD` bytes of training text, whatever their number;
-a task builds one shard at a time, from packed arrays that are pre-aggregated for
-each partition of the input.  Files are written under another name and then
+a task builds one shard at a time, a range of contexts after the other, from
+packed arrays that are pre-aggregated for each partition of the input.  Files are written under another name and then
 renamed, so a task that is run again replaces its file by the same bytes.
 
 Defined cases: a null or empty text is one end token; a null id counts as the
@@ -66,6 +66,8 @@ END = np.uint64(0x454E44_0F_7E87)
 FLOOR, FINE, COARSE = 8.0, (1 << 16) - 1, (1 << 8) - 1
 #: Tokens that a task gathers before it sends them on.
 GATHER = 2_500_000
+#: Of these, windows that are sorted at once.
+SLICE = 1 << 18
 #: Bytes of shards that a process holds where they can't be mapped, and shards that it keeps mapped.
 HELD, MAPPED = 256 << 20, 1 << 14
 
@@ -373,43 +375,96 @@ def _distinct(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.nd
     return [c[order[at]] for c in columns], np.add.reduceat(counts[order], at)
 
 
-def _levels(columns: list[np.ndarray], counts: np.ndarray, none: int, totals, words: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The arrays of a shard's file from its distinct windows in order; also its contexts of order 1 and their numbers of followers.
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Non-negative numbers in 4 bytes each if they fit."""
+    return a.astype(np.uint32) if not len(a) or int(a.max()) < 1 << 32 else a
+
+
+def _slices(ordered: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of about `most` rows of an array in order, each with all rows of its values."""
+    a = 0
+    while a < len(ordered):
+        b = len(ordered) if a + most >= len(ordered) else int(np.searchsorted(ordered, ordered[a + most - 1], "right"))
+        yield a, b
+        a = b
+
+
+def _merged(parts: list[tuple[bytes, ...]], most: int | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Distinct windows in order with their counts, a range of contexts of about `most` rows at a time; empties `parts`."""
+    held = []
+    while parts:
+        first, *others = map(_unpacked, parts.pop())
+        held.append([_narrow(np.cumsum(first)), *map(_narrow, others)])
+    firsts = np.sort(np.concatenate([h[0] for h in held]))
+    begins = [0] * len(held)
+    for _, b in _slices(firsts, most or SLICE):
+        # each part has its contexts in order
+        ends = [int(np.searchsorted(h[0], firsts[b - 1], "right")) for h in held]
+        *columns, counts = (np.concatenate([h[k][i:j] for h, i, j in zip(held, begins, ends, strict=True)]).astype(np.int64) for k in range(len(held[0])))
+        begins = ends
+        yield _distinct(columns, counts)
+
+
+class _Growing:
+    """What an order of a shard has so far, contexts in order."""
+
+    def __init__(self, levels: int) -> None:
+        self.pointers, self.followers = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+        self.codes, self.weights = [_code(np.zeros(0), levels)], [np.zeros(0, np.uint16)]
+
+    def add(self, own: np.ndarray, w: np.ndarray, parents: int) -> None:
+        """Words `w` of `parents` more contexts, ascending for each."""
+        widths = np.zeros(parents, np.int64)
+        last = np.flatnonzero(np.append(own[1:] != own[:-1], True)) if len(own) else np.zeros(0, np.int64)
+        widths[own[last]] = w[last] + 1
+        ends = np.cumsum(widths) + self.pointers[-1][-1]
+        self.followers.append((ends - widths)[own] + w)
+        if parents:
+            self.pointers.append(ends)
+
+    def arrays(self) -> list[np.ndarray]:
+        top = int(self.pointers[-1][-1]) + 1
+        coded = [EliasFano.encode(np.concatenate(x), top).arrays() for x in (self.pointers, self.followers)]
+        return [*coded[0], *coded[1], np.concatenate(self.codes), np.concatenate(self.weights)]
+
+
+def _levels(ranges: Iterator[tuple[list[np.ndarray], np.ndarray]], order: int, none: int, totals, words: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The arrays of a shard's file from its ranges of distinct windows in order; also its contexts of order 1 and their numbers of followers.
 
     `totals` gives the counts of word ids.
     """
-    contexts, parent = np.unique(columns[0], return_inverse=True)
-    total = totals(contexts).astype(np.float64)
-    arrays = EliasFano.encode(contexts, words).arrays()
-    degrees_1 = None
-    for k in range(1, len(columns)):
-        word = columns[k]
-        rows = np.flatnonzero(word != none)
-        parent, word, counts, columns = parent[rows], word[rows], counts[rows], [c[rows] for c in columns]
-        first = np.flatnonzero(np.concatenate([[True], (parent[1:] != parent[:-1]) | (word[1:] != word[:-1])])) if len(rows) else np.zeros(0, np.int64)
-        node = np.zeros(len(rows), np.int64)
-        node[first[1:]] = 1
-        node = np.cumsum(node)
-        own, w = parent[first], word[first]
-        c = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
-        if total is None:  # contexts of order 2 and more: how often anything followed them
-            total = np.bincount(own, c, parents)
-        degrees = np.bincount(own, minlength=len(total))
-        if k == 1:
-            degrees_1 = degrees
-        else:
-            # the level below gets its weights: a context that nothing followed is passed over
-            arrays[-1] = _code(np.where(total > 0, DISCOUNT * degrees / np.maximum(total, 1), 1.0), FINE)
-        widths = np.zeros(len(total), np.int64)
-        last = np.flatnonzero(np.append(own[1:] != own[:-1], True)) if len(own) else np.zeros(0, np.int64)
-        widths[own[last]] = w[last] + 1  # the words of a context ascend
-        pointers = np.concatenate([[0], np.cumsum(widths)])
-        top = int(pointers[-1]) + 1
-        levels = COARSE if k == len(columns) - 1 else FINE
-        codes = _code((c - DISCOUNT) / total[own], levels)
-        arrays += [*EliasFano.encode(pointers, top).arrays(), *EliasFano.encode(pointers[own] + w, top).arrays(), codes, np.zeros(0, np.uint16)]
-        parent, parents, total = node, len(own), None
-    return arrays, contexts, degrees_1
+    grown = [_Growing(COARSE if k == order - 1 else FINE) for k in range(1, order)]
+    contexts, degrees_1 = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for columns, counts in ranges:
+        met, parent = np.unique(columns[0], return_inverse=True)
+        contexts.append(met)
+        total = totals(met).astype(np.float64)
+        for k, level in enumerate(grown, 1):
+            word = columns[k]
+            rows = np.flatnonzero(word != none)
+            parent, word, counts, columns = parent[rows], word[rows], counts[rows], [c[rows] for c in columns]
+            first = np.flatnonzero(np.concatenate([[True], (parent[1:] != parent[:-1]) | (word[1:] != word[:-1])])) if len(rows) else np.zeros(0, np.int64)
+            node = np.zeros(len(rows), np.int64)
+            node[first[1:]] = 1
+            node = np.cumsum(node)
+            own, w = parent[first], word[first]
+            c = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
+            if total is None:  # contexts of order 2 and more: how often anything followed them
+                total = np.bincount(own, c, parents)
+            degrees = np.bincount(own, minlength=len(total))
+            if k == 1:
+                degrees_1.append(degrees)
+            else:
+                # the level below gets its weights: a context that nothing followed is passed over
+                grown[k - 2].weights.append(_code(np.where(total > 0, DISCOUNT * degrees / np.maximum(total, 1), 1.0), FINE))
+            level.add(own, w, len(total))
+            level.codes.append(_code((c - DISCOUNT) / total[own], COARSE if k == order - 1 else FINE))
+            parent, parents, total = node, len(own), None
+    met = np.concatenate(contexts)
+    arrays = EliasFano.encode(met, words).arrays()
+    for level in grown:
+        arrays += level.arrays()
+    return arrays, met, np.concatenate(degrees_1)
 
 
 def train(texts: DataFrame, *, text_col: str = "text", folder: str | None = None, shards: int | None = None, order: int = ORDER) -> Model:
@@ -423,31 +478,28 @@ def train(texts: DataFrame, *, text_col: str = "text", folder: str | None = None
     shift = _word_shift(shards)
 
     def words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def sent() -> pa.RecordBatch:
+        def sent(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             edges = np.searchsorted(_word_shard(keys, shards), np.arange(shards + 1))
             found = [(s, keys[a:b].astype("<u8").tobytes(), _packed(counts[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
             return _batch(found, ["shard", "words", "counts"])
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            new = np.concatenate([*waiting, np.zeros(0, U)])
-            return _counted(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
+            keys = np.concatenate([np.zeros(0, U), *(x for x, _ in waiting)])
+            return _counted(keys, np.concatenate([np.zeros(0, np.int64), *(n for _, n in waiting)]))
 
         for texts in _text_blocks(batches):
-            hashes = token_stream(texts)[0]
-            waiting.append(hashes)
-            size += len(hashes)
+            waiting.append(np.unique(token_stream(texts)[0], return_counts=True))
+            size += len(waiting[-1][0])
             if size > GATHER:
-                keys, counts = merged()
-                waiting, size = [], 0
-                if len(keys) > GATHER:
-                    yield sent()
-                    keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
-        keys, counts = merged()
-        yield sent()
+                waiting = [merged()]
+                size = len(waiting[0][0])
+                if size > GATHER // 2:
+                    yield sent(*waiting.pop())
+                    size = 0
+        yield sent(*merged())
 
     def words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in _by_shard(batches):
@@ -472,38 +524,45 @@ def train(texts: DataFrame, *, text_col: str = "text", folder: str | None = None
     def grams_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(model)
         end = int(words.find(np.array([END]))[0][0])
-        waiting: list[list[np.ndarray]] = []
+        waiting: list[list[np.ndarray]] = [[] for _ in range(order + 1)]
         size = 0
 
-        def sent() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
-            columns, counts = _distinct(columns, np.ones(len(columns[0]), np.int64))
-            shard = pair_shard(columns[0], columns[1], shards)
-            order_ = np.argsort(shard.astype(np.uint32), kind="stable")
-            columns, counts = [c[order_] for c in columns], counts[order_]
-            found = []
-            for s, a, b in _stretches(shard[order_]):
-                first = np.diff(columns[0][a:b], prepend=0)  # ascending within a shard
-                found.append((s, _packed(first), *(_packed(c[a:b]) for c in columns[1:]), _packed(counts[a:b])))
-            return _batch(found, ["shard", *names])
+        def sent() -> Iterator[pa.RecordBatch]:
+            held = []
+            for column in waiting:
+                held.append(np.concatenate(column))
+                column.clear()
+            by_shard = np.argsort(held[0], kind="stable")
+            # some shards at a time
+            for a, b in _slices(held[0][by_shard], SLICE):
+                columns, counts = _distinct([c[by_shard[a:b]].astype(np.int64) for c in held[1:]], np.ones(b - a, np.int64))
+                shard = pair_shard(columns[0], columns[1], shards)
+                order_ = np.argsort(shard.astype(np.uint32), kind="stable")
+                columns, counts = [c[order_] for c in columns], counts[order_]
+                found = []
+                for s, i, j in _stretches(shard[order_]):
+                    first = np.diff(columns[0][i:j], prepend=0)  # ascending within a shard
+                    found.append((s, _packed(first), *(_packed(c[i:j]) for c in columns[1:]), _packed(counts[i:j])))
+                yield _batch(found, ["shard", *names])
 
         for texts in _text_blocks(batches):
             hashes, sizes = token_stream(texts)
             distinct, inverse = np.unique(hashes, return_inverse=True)
-            waiting.append(_windows(words.find(distinct)[0][inverse], sizes, end, order, none))
+            columns = _windows(words.find(distinct)[0][inverse], sizes, end, order, none)
+            shard = pair_shard(columns[0], columns[1], shards).astype(np.uint16 if shards <= 1 << 16 else np.uint32)
+            for held, column in zip(waiting, [shard, *map(_narrow, columns)], strict=True):
+                held.append(column)
             size += len(hashes)
             if size > GATHER:
-                yield sent()
-                waiting, size = [], 0
+                yield from sent()
+                size = 0
         if size:
-            yield sent()
+            yield from sent()
 
     def grams_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(model)
         for shard, parts in _by_shard(batches):
-            columns = [np.concatenate([np.cumsum(_unpacked(p[0])) for p in parts])] + [np.concatenate([_unpacked(p[k]) for p in parts]) for k in range(1, order)]
-            columns, counts = _distinct(columns, np.concatenate([_unpacked(p[-1]) for p in parts]))
-            arrays, contexts, degrees = _levels(columns, counts, none, words.totals, model.words)
+            arrays, contexts, degrees = _levels(_merged(parts), order, none, words.totals, model.words)
             write_level(f"{folder}/grams/{shard}", arrays)
             # each context's number of followers, to the shard of the word
             owner = np.searchsorted(words.bases, contexts, "right") - 1

@@ -13,8 +13,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one numpy pass covers; a longer text is passed in parts, cut between words.
-BLOCK = 2 << 20
+#: Bytes of texts that are taken together, and those that are hashed at once: parts of them, cut between words.
+BLOCK, PART = 2 << 20, 256 << 10
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _TABLE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -65,10 +65,10 @@ def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parts(data: bytes) -> Iterator[bytes]:
-    """A text in parts of about `BLOCK` bytes, cut at gaps."""
+    """A text in parts of about `PART` bytes, cut at gaps."""
     at = 0
-    while len(data) - at > BLOCK:
-        end = at + BLOCK
+    while len(data) - at > PART:
+        end = at + PART
         while end < len(data) and not _GAP[data[end]]:
             end += 1
         yield data[at:end]
@@ -78,12 +78,14 @@ def _parts(data: bytes) -> Iterator[bytes]:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words of each text."""
-    if len(texts) == 1:
-        hashes = np.concatenate([_hashed(part)[0] for part in _parts(texts[0])])
-        return hashes, np.array([len(hashes)], np.int64)
-    hashes, starts = _hashed(b"\n".join(texts))
+    hashes, starts, at = [], [], 0
+    for part in _parts(b"\n".join(texts)):
+        found, places = _hashed(part)
+        hashes.append(found)
+        starts.append(places + at)
+        at += len(part)
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(starts, begins))
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), begins))
 
 
 def blocks(texts: Iterable[pa.Scalar]) -> Iterator[list[bytes]]:

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -176,6 +177,23 @@ def test_shards_and_holding_give_the_same_scores(spark, monkeypatch):
     assert lm.train(docs).shards > 16  # they grow with the text
 
 
+def test_a_shard_is_built_in_bounded_memory():
+    r = np.random.default_rng(5)
+    none, n, parts = 5000, 50_000, []
+    for _ in range(8):
+        ids = (none * r.random(n) ** 3).astype(np.int64)
+        columns, counts = lm._distinct(lm._windows(ids, np.full(n // 50, 50), 0, 3, none), np.ones(n, np.int64))
+        parts.append((lm._packed(np.diff(columns[0], prepend=0)), *map(lm._packed, columns[1:]), lm._packed(counts)))
+    built = lambda most: lm._levels(lm._merged(list(parts), most), 3, none, lambda ids: ids + 1_000_000, none)
+    whole = built(8 * n)
+    tracemalloc.start()
+    sliced = built(10_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(x.dtype == y.dtype and np.array_equal(x, y) for x, y in zip([*whole[0], *whole[1:]], [*sliced[0], *sliced[1:]], strict=True))
+    assert peak < 80 * 8 * n  # bytes of a window; 54 measured, 229 with a shard at once
+
+
 def test_documents_that_occur_twice_score_apart(spark):
     texts = [prose(i, 150) for i in range(200)]
     docs = docs_frame(spark, list(enumerate(texts + texts[:40])))
