@@ -52,6 +52,29 @@ def test_rank_queue_gives_lowest_rank_then_leftmost():
     assert not queue.top
 
 
+def test_few_spans_wait_that_are_not_merged(library):
+    """Of the spans of a pre-token only those wait that can be next, so hardly more are popped than merged."""
+
+    class Counting(dict):
+        popped = 0
+
+        def __delitem__(self, rank):
+            self.popped += 1
+            super().__delitem__(rank)
+
+    bpe, r = byte_bpe.ByteBPE(RANKS, P.PATTERN), random.Random(2)
+    bpe.queue.buckets = popped = Counting()
+    tokens = list(bpe.ranks)
+    pieces = [b"".join(r.choices(tokens, k=r.randint(2, 6))) for _ in range(400)]
+    pieces += [bytes(r.choices(b"etaoinshrdlu", k=12)) for _ in range(2000)]
+    merged = 0
+    for piece in pieces:
+        ids = bpe.merge(piece)
+        assert ids == library._encode_single_piece(piece)
+        merged += len(piece) - len(ids) if len(ids) > 1 else 0
+    assert popped.popped < 1.3 * merged
+
+
 def test_edge_rows(edge_docs, empty_docs):
     rows = count_tokens(edge_docs, JSON, P.PATTERN).collect()
     assert len(rows) == len(TEXTS)
